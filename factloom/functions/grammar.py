@@ -214,9 +214,9 @@ def _rust_class(token: str, _words={w: k for k, v in _RUST_WORDS.items() for w i
 
 def _rust_rules() -> dict:
     p_expr, p_type, p_pat, p_param = (_having(_PAREN, 5, 1 << k) for k in range(4))
-    any_p, any_k, any_b = _any(_PAREN, 5), _any(_SQUARE, 3), _any(_BRACE, 7)
+    any_p, any_k, any_b = _any(_PAREN, 5), _any(_SQUARE, 3), _any(_BRACE, 8)  # the last bit of each: any token tree, as in macros
     k_expr, k_type, k_attr = (_having(_SQUARE, 3, 1 << k) for k in range(3))
-    b_block, b_fields, b_variants, b_arms, b_use, b_lit, b_items = (_having(_BRACE, 7, 1 << k) for k in range(7))
+    b_block, b_fields, b_variants, b_arms, b_use, b_lit, b_items = (_having(_BRACE, 8, 1 << k) for k in range(7))
     group = rf"(?:{any_p}|{any_k}|{any_b})"
     attr = rf"(?:#!?{any_k})"
     vis = rf"(?:V{any_p}?)?"
@@ -247,12 +247,12 @@ def _rust_rules() -> dict:
     fn = rf"(?:(?:C|u|Xs?)*f[i]{gen}?{p_param}(?:A{ty})?{where}(?:{b_block}|;))"
     use = rf"(?:U@?(?:(?:[ik]@)*(?:[ik](?:a[i_])?|\*|{b_use}));)"
     bounds = rf"(?::[^;={any_b[1:-1]}]*)?"
-    item = rf"(?>{attr}*{vis}(?:{fn}|{use}|(?:Cq?|Tq?)[i_]:{ty}(?:={expr})?;|S[i]{gen}?{where}(?:{b_fields}|{any_p}{where};|;)|E[i]{gen}?{where}{b_variants}|u?I{gen}?!?{ty}(?:r{ty})?{where}{b_items}|u?Ri{gen}?{bounds}{where}{b_items}|Mi(?:;|{b_items})|Yi{gen}?{bounds}(?:={ty})?{where};|Xki(?:a[i_])?;|u?Xs?{b_items}|i!i?(?:{any_b}|{any_p};|{any_k};)))"
+    item = rf"(?>{attr}*{vis}(?:{fn}|{use}|(?:Cq?|Tq?)[i_]:{ty}(?:={expr})?;|S[i]{gen}?{where}(?:{b_fields}|{p_type}{where};|;)|E[i]{gen}?{where}{b_variants}|u?I{gen}?!?{ty}(?:r{ty})?{where}{b_items}|u?Ri{gen}?{bounds}{where}{b_items}|Mi(?:;|{b_items})|Yi{gen}?{bounds}(?:={ty})?{where};|Xki(?:a[i_])?;|u?Xs?{b_items}|i!i?(?:{any_b}|{any_p};|{any_k};)))"
     let = rf"(?:{attr}*l{pat}(?::{ty})?(?:={expr}(?:e{b_block})?)?;)"
     statement = rf"(?>;|{let}|{item}|{attr}*(?:{ctl}|(?:L:)?u?{b_block}|{path}!{any_b})(?![.?a]);?|{attr}*{expr};)"
     field = rf"{attr}*{vis}i:{ty}"
     tfield = rf"{attr}*{vis}{ty}"
-    variant = rf"{attr}*i(?:{any_p}|{b_fields})?(?:={expr})?"
+    variant = rf"{attr}*i(?:{p_type}|{b_fields})?(?:={expr})?"
     arm = rf"{attr}*{pat}(?:h(?:l{pat}=)?{leaf})?F"
     lit = rf"{attr}*(?:[in](?::{expr})?|t{expr}?)"
     plit = rf"{attr}*(?:[in]:{pat}|q*i|t)"
@@ -263,6 +263,7 @@ def _rust_rules() -> dict:
         rf"(?:{tfield}(?:,{tfield})*,?)?(?:t)?",
         rf"(?:{pat}(?:,{pat})*,?)?",
         rf"(?:{param}(?:,{param})*,?)?",
+        r"[\s\S]*",
     ]
     square = [rf"(?:{expr}(?:,{expr})*,?|{expr};{expr}|{pat}(?:,{pat})*,?|i?Bt.*)?", rf"{ty}(?:;{expr})?", r"[\s\S]+"]
     brace = [
@@ -273,6 +274,7 @@ def _rust_rules() -> dict:
         rf"(?:{use_item}(?:,{use_item})*,?)?",
         rf"(?:{lit}(?:,{lit})*,?)?|(?:{plit}(?:,{plit})*,?)?",
         rf"(?:#!{any_k})*(?:{item}|;)*+",
+        r"[\s\S]*",
     ]
     return {
         "(": (_PAREN, [re.compile(x) for x in paren]),
@@ -309,8 +311,8 @@ def _candidate_roles(language: str, kind: str, content: str, n: int):
         return range(n)
     if language == "rust":
         if "F" in content:
-            return (3,)
-        return (0, 6) if ";" in content else (0, 1, 2, 4, 5, 6)
+            return (3, 7)
+        return (0, 6, 7) if ";" in content else (0, 1, 2, 4, 5, 6, 7)
     if any(x in content for x in "RIWFHDb"):
         return (1,)
     return (1, 2, 4) if ";" in content else range(n)
