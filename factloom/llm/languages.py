@@ -22,6 +22,8 @@ LANGUAGES = ("en", "zh", "de", "fr", "es", "ja", "ru")
 STATES = ("code", *LANGUAGES)
 #: Log cost of changing the state between two characters; the state a span begins in is free.
 SWITCH = 25.0
+#: Weight of a state's single characters against its bigrams.
+BACKED_OFF = 20.0
 #: Bound of the labelled sample the emissions are fitted on, in documents and characters of each.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_CHARACTERS = 3000
@@ -87,16 +89,26 @@ class SpanModel:
 
     def __init__(self, texts: dict[str, list[str]]):
         states = len(STATES)
-        pairs = np.full((states, _SYMBOLS, _SYMBOLS), 0.05)
+        pairs = np.zeros((states, _SYMBOLS, _SYMBOLS))
         ideographs = np.full((states, _HAN_BUCKETS), 0.02)
         for s, state in enumerate(STATES):
             for text in (_SEEDS[state] * 3, *texts.get(state, ())):
                 classes, han = _encode(" " + text[:SAMPLE_CHARACTERS])
                 np.add.at(pairs[s], (classes[:-1], classes[1:]), 1.0)
                 np.add.at(ideographs[s], han[han >= 0], 1.0)
-        self.pairs = np.log(pairs / pairs.sum(axis=2, keepdims=True)).transpose(1, 2, 0).astype(np.float32)
+        # rows seen rarely fall back on the state's own characters: else a few foreign words would look certain
+        alone = pairs.sum(axis=1, keepdims=True) + 0.5
+        alone /= alone.sum(axis=2, keepdims=True)
+        smoothed = (pairs + BACKED_OFF * alone) / (pairs.sum(axis=2, keepdims=True) + BACKED_OFF)
+        self.pairs = np.log(smoothed).transpose(1, 2, 0).astype(np.float32)
         self.ideographs = np.log(ideographs / ideographs.sum(axis=1, keepdims=True)).T.astype(np.float32)
 
+    def likeliest(self, text: str) -> str:
+        """Language under which the beginning of a text is likeliest as a whole."""
+        classes, han = _encode(" " + text[:600])
+        score = self.pairs[classes[:-1], classes[1:]].sum(axis=0) + self.ideographs[han[han >= 0]].sum(axis=0)
+        return LANGUAGES[int(score[1:].argmax())]
+
     def paths(self, spans: list[str]) -> list[np.ndarray]:
         """Viterbi state of each character of each span, all spans of a block advancing together."""
         out: list[np.ndarray | None] = [None] * len(spans)
@@ -152,7 +164,7 @@ class SpanModel:
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _IDEOGRAPH = re.compile("[\u3041-\u30ff\u3400-\u9fff\u3005]")
-_IDENTIFIER = re.compile(r"[A-Za-z0-9_]*(?:_[A-Za-z0-9]|[A-Za-z]\d|\d[A-Za-z])[A-Za-z0-9_]*|[A-Za-z0-9_-]+(?:[./\\][A-Za-z0-9_-]+)+|(?:^|(?<=[\s(]))[^\W\d_]+(?: [^\W\d_]+)?:(?=\s|$)|%[sdif]|\{[^{}\n]*\}", re.M)
+_IDENTIFIER = re.compile(r"[A-Za-z0-9_]*(?:_[A-Za-z0-9]|[A-Za-z]\d|\d[A-Za-z])[A-Za-z0-9_]*|[A-Za-z0-9_-]+(?:[./\\][A-Za-z0-9_-]+)+|^\s*[^\W\d_]+(?: [^\W\d_]+)?:(?=\s|$)|%[sdif]|\{[^{}\n]*\}", re.M)
 _CODE_LINE = re.compile(
     r"^\s*(?:(?:if|while|for|switch)\s*\(.*\).*[;{]?|(?:if|elif|while)\s.*[<>=!]=?\s*[-\w.]+\s*(?::.*|\{.*)|for\s.*\s(?:in|=)\s.*[:{;].*|(?:return|break|continue|raise|goto)\b[^;]*;"
     r"|return\s+[\w.]+(?:\s*[-+*/]\s*[\w.]+)*\s*|[\w.\[\]>*&:-]+(?:\s+[\w*&]+)*\s*(?:[-+*/|&^]?=|:=)\s*[^=].*|.*[;{}]\s*|(?:from\s+\S+\s+)?import\s+[\w., *]+|(?:use|#include|let|def|fn|class|struct)\s+\S+.*[;:{>)].*|[\w.:]+\(.*\);?)\s*$"
@@ -325,7 +337,7 @@ def decode_spans(model: SpanModel, spans: list[str]) -> list[dict[str, int]]:
 
 
 def fit(spark: SparkSession, directory: str) -> SpanModel:
-    """Fit the emissions on at most SAMPLE_DOCUMENTS documents with a language label; wrong labels are outvoted."""
+    """Fit the emissions on at most SAMPLE_DOCUMENTS documents with a language label, without those whose label a model of the seeds denies."""
     rows = (
         table(spark, directory, "documents")
         .select("doc_id", F.lower("lang").alias("lang"), F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
@@ -334,9 +346,16 @@ def fit(spark: SparkSession, directory: str) -> SpanModel:
         .limit(SAMPLE_DOCUMENTS)
         .collect()
     )
+    return fitted([(row.lang, row.text) for row in rows])
+
+
+def fitted(labelled: list[tuple[str, str]]) -> SpanModel:
+    """Model of the labelled texts that the seeds' model agrees with."""
+    seeds = SpanModel({})
     texts: dict[str, list[str]] = defaultdict(list)
-    for row in rows:
-        texts[row.lang].append(row.text)
+    for language, text in labelled:
+        if seeds.likeliest(text) == language:
+            texts[language].append(text)
     return SpanModel(texts)
 
 
