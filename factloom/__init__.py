@@ -1,0 +1 @@
+"""Spark-first review of source text and preparation of training data."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factloom.operators import tables as t
-from factloom.plans import catalog
+from factloom.plans import catalog, review
 
 _PATH = r"regexp_replace(replace({}, '\', '/'), '^(\./)+', '')"
 _RULES = "(VALUES " + ", ".join(f"('{r}', '{c}', {k}, {catalog.GRADES.index(g)})" for k, (r, g, c) in enumerate(catalog.RULES)) + ") AS r(rule, chapter, rule_rank, grade_rank)"
@@ -80,4 +80,8 @@ SELECT l_orderkey, island::BIGINT AS island, count(*)::BIGINT AS items, min(l_li
     "profile_totals": f"""WITH {_ADMITTED}, x AS (SELECT language, octet_length(content) AS b, try(decode(content)) IS NOT NULL AS ok, coalesce({_LINES.format(_TEXT)}, 0) AS n FROM l WHERE language IS NOT NULL)
 SELECT language, count(*)::BIGINT AS files, sum(n)::BIGINT AS lines, sum(b)::BIGINT AS n_bytes, count(*) FILTER (NOT ok)::BIGINT AS invalid FROM x GROUP BY language""",
 }
-QUERIES = {name: getattr(t, name) for name in ORACLE}
+QUERIES = {name: getattr(t, name) for name in ORACLE} | {
+    "review_findings": review.stored_findings,
+    "review_coverage": review.stored_coverage,
+    "review_observations": review.stored_observations,
+}

@@ -20,6 +20,7 @@ from factloom.functions.contract import judge
 from factloom.functions.lexing import language_of
 from factloom.functions.observe import observe
 from factloom.plans import catalog
+from factloom.plans.shipping import ship_package
 from factloom.sources.authority import Authority, Rejection, normalise_path
 
 #: Identities of the observation methods, by language.
@@ -52,9 +53,11 @@ def _checkpointed(frame: DataFrame) -> DataFrame:
 
 
 def facts(documents: DataFrame, authority: Authority) -> DataFrame:
-    """Fact rows of ``documents(relative_path, content)``; unmanaged files give none."""
+    """Fact rows of ``documents(relative_path, content)``; unmanaged files give none.  A ``language`` column, if present, is taken as decided."""
     import pyarrow as pa
 
+    ship_package(documents.sparkSession)
+    given = "language" in documents.columns
     headers = documents.sparkSession.sparkContext.broadcast(dict(authority.header_languages))
     schema = T._parse_datatype_string(_FACTS)
     names = [f.name for f in schema]
@@ -65,15 +68,18 @@ def facts(documents: DataFrame, authority: Authority) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 rows = []
-                for path, content in zip(part.column("relative_path").to_pylist(), part.column("content").to_pylist()):
+                paths, contents = part.column("relative_path").to_pylist(), part.column("content").to_pylist()
+                decided = part.column("language").to_pylist() if given else [None] * len(paths)
+                for path, content, language in zip(paths, contents, decided):
                     own = (path or "").replace("\\", "/")
-                    language = "unlisted" if own.endswith(".h") and own not in headers.value else language_of(own, headers.value.get(own))
-                    if language and language != "unlisted":
+                    if not given and not (own.endswith(".h") and own not in headers.value):
+                        language = language_of(own, headers.value.get(own))
+                    if language:
                         rows += [(own, language, *fact) for fact in observe(content, language)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return documents.select("relative_path", "content").mapInArrow(run, schema)
+    return documents.select("relative_path", "content", *["language"] * given).mapInArrow(run, schema)
 
 
 def _finding(frame: DataFrame, rule, observation, message, question=None, subject="subject") -> DataFrame:
@@ -322,6 +328,7 @@ def review_workspace(spark: SparkSession, root: str, authority: Authority) -> Re
     """Review the managed files below a directory."""
     from factloom.sources.workspace import WorkspaceSource
 
+    ship_package(spark)
     spark.dataSource.register(WorkspaceSource)
     documents = spark.read.format("workspace").load(root)
     unlisted = documents.filter(F.col("relative_path").endswith(".h"))
@@ -380,4 +387,35 @@ def to_text(result: Review) -> str:
     return "\n".join(out + (rows or ["  none"]))
 
 
+def stored_facts(spark: SparkSession, directory: str) -> tuple[DataFrame, Authority]:
+    """Checkpointed facts of the stored files, each once, and project facts that suit them: the words of the part names as vocabulary."""
+    from factloom.operators.tables import language_admission
+    from factloom.sources.tables import table as stored
+
+    words = stored(spark, directory, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("w")).filter("w <> ''").distinct().orderBy("w").limit(10_000).collect()
+    authority = Authority(token_vocabulary=tuple(r.w for r in words), dependency_classes=(("itertools", "standard"), ("json", "standard"), ("math", "standard"), ("os", "standard"), ("sys", "standard")), python_reorder_safe=True, rust_reorder_safe=True)
+    languages = language_admission(spark, directory).filter("language is not null").select("file_id", "language")
+    files = stored(spark, directory, "source_documents").select("file_id", "relative_path", "content").join(languages, "file_id").dropDuplicates(["file_id"])
+    return _checkpointed(facts(files, authority)), authority
+
+
+def stored_findings(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings of all rules over the stored files."""
+    table, authority = stored_facts(spark, directory)
+    subjects = _subjects(table, authority)
+    return source_rules(table).unionByName(identifier_rules(table, authority)).unionByName(documentation_rules(subjects)).unionByName(dependency_rules(table, authority)).select(*_FINDING).distinct()
+
+
+def stored_coverage(spark: SparkSession, directory: str) -> DataFrame:
+    """Coverage cells of the stored files."""
+    table, authority = stored_facts(spark, directory)
+    return coverage(table, _subjects(table, authority), authority)
+
+
+def stored_observations(spark: SparkSession, directory: str) -> DataFrame:
+    """Observed facts per language, kind and role."""
+    table, _ = stored_facts(spark, directory)
+    return table.groupBy("language", "fact", F.when(F.col("fact").isin("name", "subject", "import", "damage"), F.col("role")).alias("role")).agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("path").alias("files"))
+
+
 __all__ = ["Review", "normalise_path", "review", "review_workspace", "to_json", "to_text", "canonical", "error_json"]

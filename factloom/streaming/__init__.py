@@ -1,0 +1 @@
+"""Reviews are independent batches without state, so there is no streaming operator to express; the package marks that on purpose."""

@@ -21,7 +21,7 @@ def _plain(value):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
-@pytest.mark.parametrize("name", sorted(_registered()[0]))
+@pytest.mark.parametrize("name", sorted(_registered()[1]))
 def test_against_sql(spark, name):
     queries, oracle = _registered()
     con = duckdb.connect()
