@@ -104,8 +104,7 @@ def _python(text: str, at):
         line = node.lineno
         if name is not None:
             source = lines[line - 1].encode()
-            found = re.search(rb"(?<!\w)" + re.escape(name.encode()) + rb"(?!\w)", source[column:])
-            column += found.start() if found else 0
+            column = _word_at(source, name.encode(), column)
         return line, column + 1
 
     out = []
@@ -212,6 +211,20 @@ def _python(text: str, at):
     return out
 
 
+_WORD_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
+
+
+def _word_at(line: bytes, word: bytes, start: int) -> int:
+    """Where the whole word stands in a line from ``start`` on; ``start`` itself when it stands nowhere."""
+    at = line.find(word, start)
+    while at >= 0:
+        end = at + len(word)
+        if (not at or line[at - 1] not in _WORD_BYTES) and (end >= len(line) or line[end] not in _WORD_BYTES):
+            return at
+        at = line.find(word, at + 1)
+    return start
+
+
 def _arguments(args: ast.arguments) -> list[ast.arg]:
     return [*args.posonlyargs, *args.args, *([args.vararg] if args.vararg else []), *args.kwonlyargs, *([args.kwarg] if args.kwarg else [])]
 
