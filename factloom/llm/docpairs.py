@@ -51,7 +51,7 @@ def _python(text: str):
             if documentation:
                 lines = lines if lines is not None else text.split("\n")
                 line = node.lineno
-                while line < len(lines) and not re.search(rf"\b{re.escape(node.name)}\b", lines[line - 1]):
+                while line < len(lines) and node.name not in lines[line - 1]:
                     line += 1
                 yield line, node.name, documentation, "\n".join(lines[node.lineno - 1 : node.end_lineno])
         for field in ("body", "orelse", "finalbody", "handlers", "cases"):
