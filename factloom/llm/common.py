@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -34,6 +35,14 @@ def scan(frame: DataFrame, per_slice: Callable[[dict[str, list]], Iterable[tuple
     return frame.mapInArrow(run, target)
 
 
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Write small per-file results that several branches read to the session's shared checkpoint folder; a temporary one only where none is set."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
+    return frame.checkpoint(eager=True)
+
+
 def managed_language(path: str | None) -> str | None:
     """``h`` for headers whose language the facts decide, the language for other managed files, ``None`` otherwise."""
     name = (path or "").rpartition("/")[2]
