@@ -8,7 +8,7 @@ are joined, matches are extended both ways, and pairs of classes become pairs of
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import scan
@@ -105,10 +105,11 @@ def shared_classes(spark: SparkSession, directory: str, spans: bool = False) ->
 
     prints = scan(_files(spark, directory), seeds, "file_id bigint, hash binary, anchors array<bigint>")
     # equal contents have equal anchors; an anchor is of interest when different contents have it
-    rows = prints.select("file_id", F.xxhash64("hash").alias("kind"), F.explode("anchors").alias("anchor"))
+    # one exchange by anchor serves the de-duplication, the test for several contents and both sides of the self-join
+    rows = prints.select("file_id", F.xxhash64("hash").alias("kind"), F.explode("anchors").alias("anchor")).repartition("anchor")
     one = rows.groupBy("anchor", "kind").agg(F.min("file_id").alias("file_id"))
-    several = one.groupBy("anchor").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low <> high").select("anchor")
-    held = one.join(several, "anchor", "left_semi").select("anchor", "file_id")
+    same = Window.partitionBy("anchor")
+    held = one.withColumn("low", F.min("kind").over(same)).withColumn("high", F.max("kind").over(same)).filter("low <> high").select("anchor", "file_id")
     pairs = (
         held.alias("l").join(held.alias("r"), (F.col("l.anchor") == F.col("r.anchor")) & (F.col("l.file_id") < F.col("r.file_id")))
         .select(F.col("l.file_id").alias("a"), F.col("r.file_id").alias("b")).distinct()
@@ -146,8 +147,6 @@ def shares(spark: SparkSession, directory: str) -> DataFrame:
     ends = spans.select(F.col("a").alias("class_id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
         spans.select(F.col("b").alias("class_id"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
     ).distinct()
-    from pyspark.sql import Window
-
     order = Window.partitionBy("class_id").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = ends.withColumn("part", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(reach, F.lit(0)))))
