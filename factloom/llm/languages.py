@@ -338,14 +338,14 @@ def decode_spans(model: SpanModel, spans: list[str]) -> list[dict[str, int]]:
 
 def fit(spark: SparkSession, directory: str) -> SpanModel:
     """Fit the emissions on at most SAMPLE_DOCUMENTS documents with a language label, without those whose label a model of the seeds denies."""
-    rows = (
+    labelled = (
         table(spark, directory, "documents")
-        .select("doc_id", F.lower("lang").alias("lang"), F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
+        .select("doc_id", F.lower("lang").alias("lang"), "text")
         .filter(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & ~F.col("text").rlike(r"[;{}]\s*\n|^(import|use|#include) |def \w+\(|```"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(SAMPLE_DOCUMENTS)
-        .collect()
     )
+    # ids alone are ranked: each partition would else send the driver the texts of a whole sample
+    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    rows = labelled.join(F.broadcast(chosen.distinct()), "doc_id").select("lang", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text")).collect()
     return fitted([(row.lang, row.text) for row in rows])
 
 
