@@ -169,6 +169,15 @@ _CODE_LINE = re.compile(
     r"^\s*(?:(?:if|while|for|switch)\s*\(.*\).*[;{]?|(?:if|elif|while)\s.*[<>=!]=?\s*[-\w.]+\s*(?::.*|\{.*)|for\s.*\s(?:in|=)\s.*[:{;].*|(?:return|break|continue|raise|goto)\b[^;]*;"
     r"|return\s+[\w.]+(?:\s*[-+*/]\s*[\w.]+)*\s*|[\w.\[\]>*&:-]+(?:\s+[\w*&]+)*\s*(?:[-+*/|&^]?=|:=)\s*[^=].*|.*[;{}]\s*|(?:from\s+\S+\s+)?import\s+[\w., *]+|(?:use|#include|let|def|fn|class|struct)\s+\S+.*[;:{>)].*|[\w.:]+\(.*\);?)\s*$"
 )
+#: Words that code and prose share or that only code has; they are no evidence of prose by themselves.
+_KEYWORDS = frozenset(
+    "if else elif for while do switch case default break continue return goto raise try except finally with as in is not and or lambda yield await async def class pass del import from global "
+    "fn let mut pub use mod impl trait struct enum union match loop move ref where type dyn unsafe crate self super const static extern inline volatile register constexpr mutable virtual explicit "
+    "unsigned signed long short int char float double bool void auto typedef typename template using namespace operator new delete throw sizeof public private protected true false none null nullptr".split()
+)
+#: Words in a row: blanks between them, besides punctuation after a word, numbers, and brackets around words.
+_IN_A_ROW = re.compile(r"(?<![\w.])[^\W\d_]+(?:['’-][^\W\d_]+)*(?:[,.:;!?)\"»]*\s+(?:[(#]*\d[\d.,]*[),.:;]*\s+)*[(\"«]*[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w(\[]))+")
+_PLAIN_PAIR = re.compile(r"(?=(?<![^\W\d_])([^\W\d_]+(?:['’-][^\W\d_]+)*)\s+([^\W\d_]+))")
 _MARKERS = re.compile(r"^[ \t]*(?://[/!]*|/\*+!?|\*+/?|#+!?)[ \t]?", re.M)
 _ESCAPES = re.compile(r"\\(?:u\{([0-9a-fA-F_]+)\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|((?:x[0-9a-fA-F]{2}\\?)+)|([0-7]{1,3})|N\{([^}]*)\}|(\r?\n[ \t]*)|(.))", re.S)
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "a": " ", "b": " ", "f": " ", "v": " ", "0": " "}
@@ -227,11 +236,21 @@ def literal_text(token: str) -> str:
     return unescape(body)
 
 
+def is_code(line: str) -> bool:
+    """Whether a comment line is commented-out code: of its form, and without WORDS words in a row that hold two plain ones side by side."""
+    if not _CODE_LINE.match(line) or _IDEOGRAPH.search(line):
+        return False
+    for row in _IN_A_ROW.finditer(_IDENTIFIER.sub(" ", line)):
+        if len(_WORD.findall(row[0])) >= WORDS and any(a.lower() not in _KEYWORDS and b.lower() not in _KEYWORDS for a, b in _PLAIN_PAIR.findall(row[0])):
+            return False
+    return True
+
+
 def comment_text(token: str) -> str:
     """A comment without its markers, commented-out code dropped line by line."""
     body = re.sub(r"\*+/\s*$", "", token) if token.startswith("/*") else token
     lines = _MARKERS.sub("", body).split("\n")
-    return "\n".join("" if _CODE_LINE.match(line) and not _IDEOGRAPH.search(line) else line for line in lines)
+    return "\n".join("" if is_code(line) else line for line in lines)
 
 
 _DIGITS = re.compile(r"\d+")

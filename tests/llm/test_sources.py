@@ -33,6 +33,21 @@ def test_languages(spark, tables, source_rows):
     assert found == [(1, "de"), (1, "en"), (1, "zh"), (3, "fr"), (3, "ru"), (6, "ja")]
 
 
+def test_prose_that_ends_like_code(spark, tables, source_rows):
+    """A stray bracket or semicolon does not make a sentence code; commented-out code stays out."""
+    prose = {
+        "en": "Callers must hold the gradient lock while they sample the shard {", "es": "La primera fila pertenece al grupo espectro de la tabla (#209) {",
+        "de": "Wird nur einmal gelesen, weil es sonst veraltet ist;", "fr": "ne pas modifier tant que c'est encore utilisé (#708) }",
+    }
+    code = ("if (horizon > 272.5917) return horizon;", "if ingot > 44.2729 { return residual; }", "for value in items: total = total + value", "unsigned long long int counter;", "merge(alpha, beta, gamma, delta);", "let mut count = first + second;")
+    files = {f"a/{language}.rs": f"fn f() {{}}\n// {line}\n" for language, line in prose.items()} | {"a/code.rs": "fn f() {}\n" + "".join(f"\n// {line}\n" for line in code)}
+    found = sorted((r.file_id, r.lang) for r in languages.found(spark, tables(source_documents=source_rows(files))).collect())
+    assert found == [(k, language) for k, language in enumerate(prose, 1)]
+    assert all(languages.is_code(line) for line in code)
+    for line in ("use the old value {", "for each of the values in the list: keep the first;", "falls back to 724 samples when the profile has no ingot {", "return early so that the other part stays as it was;"):
+        assert not languages.is_code(line)
+
+
 def test_language_accuracy():
     """Held-out lines: every second seed sentence decodes to its language."""
     model = languages.SpanModel({})
