@@ -122,11 +122,13 @@ def flagged(spark: SparkSession, directory: str) -> DataFrame:
     """
     files = checkpointed(profiled_files(spark, directory))
     prints = files.select("file_id", repository().alias("repo"), F.explode("prints").alias("print"))
+    # repositories are counted exactly, in two steps that both combine before their exchange
     common = (
-        prints.select("print", F.pmod(F.xxhash64("repo"), F.lit(64)).cast("int").alias("slot"))
+        prints.select("print", "repo")
+        .distinct()
         .groupBy("print")
-        .agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("repos"))
-        .filter(F.bit_count("repos") >= REPOSITORIES)
+        .agg(F.count("*").alias("repos"))
+        .filter(F.col("repos") >= REPOSITORIES)
         .select("print")
     )
     copies = (

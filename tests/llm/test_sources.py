@@ -72,6 +72,20 @@ def test_provenance(spark, tables, source_rows):
     assert found[3] == "minified" and "generated_notice" in found[4] and "outside_notice" in found[5] and "data" in found[6] and "recurring" in found[10]
 
 
+def test_repositories_are_counted_exactly(spark, tables, source_rows):
+    """Copies in exactly REPOSITORIES repositories are found, whatever their names hash to; copies in one fewer are not."""
+    names = [f"r{k}" for k in range(200)]
+    slots = {r.id: r.slot for r in spark.createDataFrame([(n,) for n in names], "id string").selectExpr("id", "pmod(xxhash64(id), 64) AS slot").collect()}
+    slot = max(slots.values(), key=list(slots.values()).count)
+    alike = [n for n in names if slots[n] == slot][:2]
+    five, four = alike + [n for n in names if slots[n] != slot][:3], [n for n in names if slots[n] != slot][3:7]
+    body = lambda word: "".join(f"def {word}_{j}(alpha, beta):\n    gamma = alpha * {j} - beta\n    return gamma + {word}_delta_{chr(97 + j)}(beta)\n\n" for j in range(12))
+    files = {f"{n}/src/{k}.py": body("shared") for n in five for k in "xy"} | {f"{n}/src/{k}.py": body("other") for n in four for k in "xy"}
+    assert len(alike) == 2
+    found = sorted(r.file_id for r in provenance.found(spark, tables(source_documents=source_rows(files))).collect())
+    assert found == list(range(1, 11))
+
+
 def test_documentation_pairs(spark, tables, source_rows):
     files = {
         "a/x.py": 'class A:\n    @d\n    async def run_all(\n        self):\n        """Runs every job once."""\n    def go(self):\n        """Go."""\n    def todo(self):\n        """TODO: document"""\n',
