@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import json
 import re
 import warnings
@@ -24,8 +25,6 @@ def _positions(text: str):
         starts.append(m.end())
 
     def at(offset: int) -> tuple[int, int]:
-        import bisect
-
         k = bisect.bisect_right(starts, offset) - 1
         return k + 1, len(text[starts[k] : offset].encode("utf-8")) + 1
 
@@ -266,7 +265,11 @@ def _python_imports(tree):
 _RUST_ITEM = re.compile(
     r"(?P<vis>pub(?:\s*\([^)]*\))?\s+)?(?P<unsafe>(?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*)(?P<kw>fn|struct|enum|union|trait|type|mod|static|const|macro_rules!)\s+(?:mut\s+)?(?P<name>(?:r#)?[^\W\d]\w*)"
 )
-_RUST_BIND = re.compile(r"\blet\s+(?:mut\s+|ref\s+)*(?P<name>(?:r#)?[a-z_]\w*)|\bfor\s+(?:mut\s+)?(?P<loop>(?:r#)?[a-z_]\w*)\s+in\b|(?P<life>'[a-z_]\w*)(?=\s*[,:>])")
+_RUST_LIFE = re.compile(r"(?P<life>'[a-z_]\w*)(?=\s*[,:>])")
+_RUST_PATTERN = re.compile(r"\b(?P<let>let)\s|\b(?P<for>for)\s|\b(?P<match>match)\b|(?:(?<=[=(,{;\[:>&])|\bmove\b|\breturn\b)\s*(?P<closure>\|)(?!\|)(?P<params>[^|;{}]*)\|")
+_PATTERN_MARK = re.compile(r"::|\.\.=|=>|[-=!<>+*/%^&|]=|->|[()\[\]{}:=;,]|\b(?:in|if)\b")
+_BINDING = re.compile(r"(?<![\w'.#\"])(?<!::)(?P<name>(?:r#)?[a-z_]\w*)(?!\w|\s*(?:::|[({!]|:(?!:)))")
+_NOT_BINDINGS = frozenset("_ ref mut box true false self super crate const".split())
 _RUST_PARAM = re.compile(r"(?:^|,)\s*(?:#\[[^\]]*\]\s*)*(?:mut\s+)?(?P<name>(?:r#)?[a-z_]\w*)\s*:")
 _FIELD = re.compile(r"(?:^|[,{])\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?P<name>(?:r#)?[a-z_]\w*)\s*:(?!:)")
 _C_NAME = re.compile(r"\b(?P<kw>struct|union|enum|class|namespace)\s+(?:class\s+)?(?P<name>[^\W\d]\w*)\s*(?=[{:;])|#\s*define\s+(?P<macro>\w+)|\busing\s+(?P<alias>\w+)\s*=|\btypedef\b[^;{}]*?\b(?P<typedef>\w+)\s*(?:\[[^\]]*\])?;|\b(?:typename|class)\s+(?P<tparam>\w+)(?=\s*[,>=])")
@@ -290,13 +293,47 @@ def _masked(text: str, language: str):
             at = m.end(1)
             rust_doc = language == "rust" and ((token.startswith("///") and not token.startswith("////")) or (token.startswith("/**") and token[3:4] not in ("*", "/")))
             if rust_doc or (language != "rust" and token.startswith("/**") and token[3:4] not in ("*", "/", "<")):
-                docs.append((start, m.end(1), token))
+                docs.append((start, m.end(1), _doc_text(token)))
         elif token[-1:] in "\"'" and len(token) > 1 or (language == "rust" and '"' in token):
             out.append(source[at:start])
             out.append('"' + re.sub(r"[^\n]", " ", token[2:]) + '"')
             at = m.end(1)
     out.append(source[at:])
-    return source, "".join(out), docs, tokens
+    masked = "".join(out)
+    if language == "rust":
+        docs = sorted(docs + list(_doc_attributes(source, masked)), key=lambda d: d[0])
+    return source, masked, docs, tokens
+
+
+_DOC_ATTRIBUTE = re.compile(r"#\s*(\[)\s*doc\s*=")
+_RUST_LITERAL = re.compile(r'r(#*)"([\s\S]*)"\1|"([\s\S]*)"')
+_RUST_ESCAPE = re.compile(r"\\(?:x([0-7][0-9a-fA-F])|u\{([0-9a-fA-F_]+)\}|\r?\n\s*|(.))")
+
+
+def _doc_attributes(source: str, masked: str):
+    """``#[doc = "..."]`` as carriers with the text of their literal, ``None`` where the value is no text literal."""
+    for m in _DOC_ATTRIBUTE.finditer(masked):
+        value = TOKEN["rust"].match(source, m.end())
+        end = _close(masked, m.start(1), "[]")
+        literal = _RUST_LITERAL.fullmatch(value[1]) if value and not masked[value.end() : end].strip() else None
+        yield m.start(), end + 1, None if literal is None else literal[2] if literal[2] is not None else _decoded(literal[3])
+
+
+def _decoded(body: str) -> str:
+    """Text of a Rust literal: escapes decoded, line continuations gone with the blanks that follow."""
+
+    def one(m: re.Match) -> str:
+        point = m[1] or m[2]
+        if point:
+            value = int(point.replace("_", "") or "0", 16)
+            return chr(value) if value < 0xD800 or 0xE000 <= value < 0x110000 else "\ufffd"
+        return {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(m[3], m[3] or "")
+
+    return _RUST_ESCAPE.sub(one, body)
+
+
+#: Stands for documentation whose text the source does not hold, such as ``#[doc = include_str!(...)]``.
+UNREAD = object()
 
 
 def _doc_text(token: str) -> str:
@@ -308,19 +345,21 @@ def _doc_text(token: str) -> str:
 def _attached(masked: str, docs, start: int, text: str, rust: bool):
     """Documentation directly above a declaration: neighbouring carriers, attributes and template lines may stand between."""
     parts, first, end = [], None, start
-    k = len(docs) - 1
+    k = bisect.bisect_left(docs, start, key=lambda d: d[0]) - 1
     while k >= 0:
-        a, b, token = docs[k]
+        a, b, body = docs[k]
         k -= 1
         if a >= end:
             continue
         between = re.sub(r"#\[[^\]]*\]|template\s*<[^{};]*>|\[\[[^\]]*\]\]", "", masked[b:end])
         if between.strip():
             break
-        parts.append(_doc_text(token))
+        parts.append(body)
         first, end = a, a
         if not rust:
             break
+    if None in parts:
+        return UNREAD, first
     return ("\n".join(reversed(parts)) if parts else None), first
 
 
@@ -333,6 +372,72 @@ def _close(masked: str, at: int, pair: str = "()") -> int:
     return len(masked)
 
 
+def _until(masked: str, at: int, stops: tuple[str, ...]) -> int:
+    """Where the first of some marks stands outside all brackets opened from ``at`` on, or where the brackets around it close."""
+    depth = 0
+    for m in _PATTERN_MARK.finditer(masked, at):
+        if not depth and m[0] in stops:
+            return m.start()
+        if m[0] in "([{":
+            depth += 1
+        elif m[0] in ")]}":
+            if not depth:
+                return m.start()
+            depth -= 1
+    return len(masked)
+
+
+def _bound(masked: str, start: int, end: int):
+    """Names that a Rust pattern binds: no paths, constructors, fields given a pattern of their own, or capitalised references."""
+    for m in _BINDING.finditer(masked, start, end):
+        if m["name"] not in _NOT_BINDINGS:
+            yield m.start("name"), m["name"]
+
+
+def _parameters(masked: str, start: int, end: int):
+    """Spans of the patterns of a parameter list, types left out."""
+    plain = masked[start:end]
+    while plain != (inner := re.sub(r"<[^<>]*>", lambda m: " " * len(m[0]), plain.replace("->", "  "))):
+        plain = inner
+    at = 0
+    while at < len(plain):
+        stop = _until(plain, at, (",",))
+        yield start + at, start + min(_until(plain, at, (":", ",")), stop)
+        at = stop + 1
+
+
+def _rust_bindings(masked: str):
+    """``(offset, name)`` bound by let, for, closure parameters and match arms."""
+    for m in _RUST_PATTERN.finditer(masked):
+        if m["let"]:
+            yield from _bound(masked, m.end(), _until(masked, m.end(), (":", "=", ";")))
+        elif m["for"]:
+            if not re.search(r"\bimpl\b[^;{}]*$", masked[max(0, m.start() - 400) : m.start()]):
+                stop = _until(masked, m.end(), ("in", ";"))
+                if masked.startswith("in", stop):
+                    yield from _bound(masked, m.end(), stop)
+        elif m["closure"]:
+            for start, end in _parameters(masked, m.start("params"), m.end("params")):
+                yield from _bound(masked, start, end)
+        else:
+            at = m.end()
+            while at < len(masked) and masked[at] not in "{;}":
+                at = _close(masked, at, "()") + 1 if masked[at] == "(" else _close(masked, at, "[]") + 1 if masked[at] == "[" else at + 1
+            if masked[at : at + 1] != "{":
+                continue
+            at, body = at + 1, _close(masked, at, "{}")
+            while at < body:
+                arrow = _until(masked, at, ("=>",))
+                if arrow >= body:
+                    break
+                yield from _bound(masked, at, min(arrow, _until(masked, at, ("if", "=>"))))
+                at = re.compile(r"\s*").match(masked, arrow + 2).end()
+                if masked[at : at + 1] == "{":
+                    at = re.compile(r"\s*,?").match(masked, _close(masked, at, "{}") + 1).end()
+                else:
+                    at = _until(masked, at, (",",)) + 1
+
+
 def _rust(text: str, at):
     source, masked, docs, tokens = _masked(text, "rust")
     out, used = [], set()
@@ -345,7 +450,9 @@ def _rust(text: str, at):
         position = at(m.start("name"))
         out.append(_fact("name", position, m["name"], roles[m["kw"]]))
         doc, first = _attached(masked, docs, m.start(), source, True)
-        if doc is not None:
+        unread = {"unread": True} if doc is UNREAD else {}
+        doc = None if unread else doc
+        if first is not None:
             used |= {a for a, b, _ in docs if first <= a < m.start()}
         nested = any(a < m.start() < b for a, b in bodies)
         exported = any(a < m.start() < b for a, b in public_traits)
@@ -358,6 +465,9 @@ def _rust(text: str, at):
             for p in _RUST_PARAM.finditer(inside):
                 params.append(p["name"].removeprefix("r#"))
                 out.append(_fact("name", at(a + 1 + p.start("name")), p["name"], "variable"))
+            for start, end in _parameters(masked, a + 1, b):
+                if re.match(r"[\s&]*[\[(]|[\s&]*[A-Z]\w*(?:::\w+)*\s*[({]", masked[start:end]):
+                    out += [_fact("name", at(k), spelled, "variable") for k, spelled in _bound(masked, start, end)]
             tail = masked[b + 1 : b + 400]
             arrow = re.match(r"\s*->\s*([^;{]+)", tail)
             kind = arrow[1].split(" where ")[0].strip() if arrow else "()"
@@ -365,9 +475,9 @@ def _rust(text: str, at):
             brace = re.match(r"[^;{]*\{", masked[b + 1 :])
             if brace:
                 bodies.append((b + brace.end(), _close(masked, b + brace.end(), "{}")))
-            out.append(_fact("subject", position, m["name"], "callable", tier="public" if public else "internal", params=params, shape=shape, doc=doc, unsafe="unsafe" in m["unsafe"]))
+            out.append(_fact("subject", position, m["name"], "callable", tier="public" if public else "internal", params=params, shape=shape, doc=doc, unsafe="unsafe" in m["unsafe"], **unread))
         elif public or (m["kw"] == "trait" and "unsafe" in m["unsafe"]):
-            out.append(_fact("subject", position, m["name"], "item", tier="internal", doc=doc, unsafe=m["kw"] == "trait" and "unsafe" in m["unsafe"]))
+            out.append(_fact("subject", position, m["name"], "item", tier="internal", doc=doc, unsafe=m["kw"] == "trait" and "unsafe" in m["unsafe"], **unread))
         if m["kw"] in ("struct", "enum"):
             a = re.match(r"[^;{(]*\{", masked[m.end() :])
             if a:
@@ -377,11 +487,8 @@ def _rust(text: str, at):
                     out += [_fact("name", at(start + f.start("name")), f["name"], "variable") for f in _FIELD.finditer(inside)]
                 else:
                     out += [_fact("name", at(start + v.start(1)), v[1], "enum_member") for v in re.finditer(r"(?:^\{|,)\s*(?:#\[[^\]]*\]\s*)*([A-Za-z_]\w*)", inside)]
-    for m in _RUST_BIND.finditer(masked):
-        spelled = m["name"] or m["loop"] or m["life"]
-        if spelled in ("_", "'static", "'_", "self", "mut", "ref"):
-            continue
-        out.append(_fact("name", at(m.start("name") if m["name"] else m.start("loop") if m["loop"] else m.start("life")), spelled, "lifetime" if m["life"] else "variable"))
+    out += [_fact("name", at(k), spelled, "variable") for k, spelled in _rust_bindings(masked)]
+    out += [_fact("name", at(m.start()), m["life"], "lifetime") for m in _RUST_LIFE.finditer(masked) if m["life"] not in ("'static", "'_")]
     seen = set()
     out = [f for f in out if not (f[0] == "name" and f[4] == "lifetime" and (f[3] in seen or seen.add(f[3])))]
     out += _rust_uses(source, masked, at)

@@ -169,7 +169,7 @@ def identifier_rules(table: DataFrame, authority: Authority) -> DataFrame:
 def _subjects(table: DataFrame, authority: Authority) -> DataFrame:
     """Documentation subjects with the tier that the public-callable facts decide."""
     spark = table.sparkSession
-    detail = "struct<tier:string, params:array<string>, shape:string, doc:string, unsafe:boolean, template:array<string>>"
+    detail = "struct<tier:string, params:array<string>, shape:string, doc:string, unsafe:boolean, template:array<string>, unread:boolean>"
     subjects = table.filter("fact = 'subject'").withColumn("d", F.from_json("detail", detail)).select("path", "language", "line", "column_no", "subject", "role", "d.*")
     public = spark.createDataFrame(list(authority.public_callables), "path string, subject string").withColumn("listed", F.lit(True))
     paths = spark.createDataFrame([(p,) for p in authority.listed_paths], "path string").withColumn("has_list", F.lit(True))
@@ -192,7 +192,8 @@ def documentation_rules(subjects: DataFrame) -> DataFrame:
             out.append(judge(lang, kind, t, text, list(p) if p is not None else [], s, list(tp) if tp is not None else [], False, bool(u) if u is not None else False))
         return pd.Series(out)
 
-    rows = subjects.withColumn("rule", F.explode(broken("language", "role", "tier", "doc", "params", "shape", "template", "unsafe")))
+    read = subjects.filter(~F.coalesce("unread", F.lit(False)))
+    rows = read.withColumn("rule", F.explode(broken("language", "role", "tier", "doc", "params", "shape", "template", "unsafe")))
     grade = F.when(F.col("rule") == "documentation.parentheses", "review_required").otherwise("hard_violation")
     return rows.select(
         "rule", grade.alias("grade"), "path", "line", "column_no", "subject", F.col("role").alias("observation"),
@@ -243,8 +244,9 @@ def coverage(table: DataFrame, subjects: DataFrame, authority: Authority) -> Dat
 
     at = F.concat_ws(":", "line", "column_no")
     tier_gap, return_gap = F.col("tier") == "unknown", (F.col("shape") == "Unknown") & F.col("tier").isin("public", "unknown")
-    gaps = subjects.filter((F.col("role") == "callable") & (tier_gap | return_gap)).withColumn(
-        "gap", F.concat(F.col("subject"), F.lit("@"), at, F.when(tier_gap, "[tier]").otherwise(""), F.when(return_gap, "[return]").otherwise(""))
+    unread, called = F.coalesce("unread", F.lit(False)), F.col("role") == "callable"
+    gaps = subjects.filter(called & (tier_gap | return_gap) | unread).withColumn(
+        "gap", F.concat(F.col("subject"), F.lit("@"), at, F.when(called & tier_gap, "[tier]").otherwise(""), F.when(called & return_gap, "[return]").otherwise(""), F.when(unread, "[text]").otherwise(""))
     )
     documentation = joined(gaps, "documentation", ["subject", "line"]).withColumn("gap", F.concat(F.lit("unresolved callable documentation facts: "), F.col("gap")))
     imports = _imports(table, authority)

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from factloom.functions.observe import observe
 from factloom.plans import review as plan
 from factloom.sources.authority import Authority, Rejection, admit
 
@@ -77,6 +78,26 @@ def test_documentation(spark):
     assert cells["c.py", "documentation"] == "unresolved callable documentation facts: calculate_velocity@1:5[return]" and cells["a.py", "documentation"] is None
 
 
+def test_documentation_attributes_of_rust(spark):
+    """#[doc = "..."] and comments are one text in source order; literals are decoded, values that are no literal block the family."""
+    body = "/// # Arguments\n#[doc = \"- 无\"]\n/// # Returns\n#[inline]\n/// - 无\n#[doc = r#\"# Errors\"#]\n/// - 无\npub fn calculate() {}\n"
+    files = {
+        "a.rs": '#[doc = "计算\\u{901f}度"]\n///\n' + body, "b.rs": '#[doc = "计算\\\n    速度\\n\\n# Arguments"]\n' + body.replace("/// # Arguments\n", ""), "c.rs": '#[doc = "x"]\npub fn calculate() {}\n',
+        "d.rs": '/// 计算速度\n#[doc = include_str!("a.md")]\nfn calculate() {}\n', "e.rs": "#[doctor]\nfn calculate() {}\n",
+    }
+    result = run(spark, files)
+    rules = {(r.path, r.rule) for r in result.findings.collect() if r.rule.startswith("documentation.")}
+    assert rules == {("c.rs", "documentation.summary"), ("c.rs", "documentation.public_contract"), ("e.rs", "documentation.carrier")}
+    blocked = [r.path for r in result.coverage.filter("family = 'documentation' AND state = 'blocked'").collect()]
+    assert blocked == ["d.rs"]
+
+
+def test_patterns_of_rust():
+    source = "fn f((a, b): (u8, u8), n: u8) {\n    let (c, mut d) = g();\n    if let Some(e) = h { }\n    let Point { x: k, y } = p;\n    for (i, v) in w.iter() { }\n    let z: u8 = q.map(|(l, m): (u8, Vec<u8>), &o| l | m | o);\n    match r {\n        Some(s) if s > t => 1,\n        Kind::One { u } | Kind::Two(u) => { 2 }\n        other @ (3 | 4) => other,\n        None => 5,\n    }\n}\nimpl Shape for Other { fn j() {} }\n"
+    names = [f[3] for f in observe(source.encode(), "rust") if f[0] == "name" and f[4] == "variable"]
+    assert sorted(names) == sorted("a b n c d e k y i v z l m o s u u other".split())
+
+
 DEPENDENCY = {"python_standard_library": ["os", "sys"], "python_third_party": ["numpy"], "python_project_roots": ["project"], "python_reorder_safe": True, "rust_reorder_safe": True}
 
 
