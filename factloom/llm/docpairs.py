@@ -63,10 +63,10 @@ _MASK = {
     "c": re.compile(r"//(?:[^\n\\]|\\(?:\r?\n|.)|\\$)*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|(?<![0-9A-Fa-f])'(?:[^'\\\n]|\\.)+'"),
 }
 _BLANK = re.compile(r"[^\n]")
-_RUST_FN = re.compile(r"(?:pub\b\s*(?:\([^)]*\))?\s*)?(?:(?:default|const|async|unsafe|extern)\b\s*)*fn\s+((?:r#)?\w+)")
+_RUST_FN = re.compile(r"(?:pub\b\s*(?:\([^)]*\))?\s*)?(?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"\n]*\")?+)(?!\w)\s*)*fn\s+((?:r#)?\w+)")
 _ATTRIBUTE = re.compile(r"\s*(?:#!?\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\]|\[\[[^\]]*\]\]|__attribute__\s*\(\((?:[^()]|\([^()]*\))*\)\)|__declspec\s*\([^)]*\)|alignas\s*\([^)]*\))")
 _TEMPLATE = re.compile(r"\s*template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>(?:\s*requires\s+[\w:<>,\s]+?(?=\n))?")
-_C_HEAD = re.compile(r"\s*((?:[\w:~*&<>,\s]|\[\[[^\]]*\]\])*?)((?:\w+\s*::\s*)*~?[^\W\d]\w*|operator\s*[^\s\w(]{1,3})\s*\(")
+_C_HEAD = re.compile(r"\s*(?:extern\s*\"[^\"\n]*\"\s*)?((?:[\w:~*&,\s]|(?><(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*>)*>)*>|[<>])|\[\[[^\]]*\]\])*?)((?:\w+\s*::\s*)*~?[^\W\d]\w*|operator\s*[^\s\w(]{1,3})\s*\(")
 #: Words before a parenthesis that declare no function.
 _C_NOT = frozenset("if for while switch return sizeof catch typedef using struct class union enum namespace define do else case throw new delete goto static_assert alignof decltype __attribute__".split())
 _DOC_ATTRIBUTE = re.compile(r"#\[\s*doc\s*=\s*(r?#*\"[\s\S]*?\"#*)\s*\]")
@@ -149,7 +149,7 @@ def _braced(text: str, language: str):
                 continue
             before = head[1].split()
             name = head[2].split("::")[-1].strip()
-            if name in _C_NOT or (before and (before[0] in _C_NOT - {"struct", "class", "union", "enum"} or "=" in head[1])) or name.startswith("operator"):
+            if name in _C_NOT or (before and (before[0] in _C_NOT - {"struct", "class", "union", "enum"} or "=" in head[1])) or re.match(r"operator(?!\w)", name) or "operator" in before:
                 continue
             if not before and not name.startswith("~") and "::" not in head[2] and not re.match(r"[A-Z]", name) and language == "c":
                 continue

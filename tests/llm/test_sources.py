@@ -100,6 +100,17 @@ def test_documentation_pairs(spark, tables, source_rows):
     assert pairs["c"][0] == "Text of two\nlines" and pairs["add"][1] == "pub(crate) fn add(a: u8) {}"
 
 
+def test_documented_heads():
+    """An ABI literal, parentheses in template arguments and names that begin with "operator" do not hide a function."""
+    rust = '/// Adds both given numbers\npub unsafe extern "C" fn add(a: u8) {}\n/// Frees what was given\nextern fn release() {}\n'
+    assert [f[:2] for f in docpairs.documented_functions(rust, "rust")] == [(2, "add"), (4, "release")]
+    cpp = (
+        '/// Reads one value of it\nextern "C" int load(int x);\n/// Gives what is called later\nstd::function<void(int)> later(int x);\n/// Tells how many there are\nint operator_count(int x);\n'
+        "/// Adds two of a kind\nT operator+(T x);\n/// Makes it a number at once\noperator int() const;\n/// Keeps nested ones of each\nstd::map<int, std::function<bool(int, char)>> nested();\n"
+    )
+    assert [f[:2] for f in docpairs.documented_functions(cpp, "cpp")] == [(2, "load"), (4, "later"), (6, "operator_count"), (12, "nested")]
+
+
 def test_licenses(spark, tables, source_rows):
     body = "Everybody may copy\n// this work in any shape they like. Nobody answers\n// for what breaks."
     files = {
