@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.sources.tables import table
+from factloom.sources.tables import bounded, table
 
 #: Units of a phrase: words, and characters for Chinese; symbols of a shard; distance of sampled suffix positions; bound of the test set in rows.
 WORDS, CHARACTERS, SHARD, SAMPLED, ITEMS = 13, 26, 400_000, 8, 100_000
@@ -176,7 +176,7 @@ def leaks(spark: SparkSession, directory: str) -> DataFrame:
 
     Null and empty texts hold nothing, items shorter than a phrase cannot leak, repeated rows give their spans once.
     """
-    rows = table(spark, directory, "benchmark").select("item_id", "text", "lang").filter("item_id is not null and text is not null").distinct().limit(ITEMS).collect()
+    rows = bounded(table(spark, directory, "benchmark").select("item_id", "text", "lang").filter("item_id is not null and text is not null").distinct(), ITEMS, "benchmark")
     by_word = Phrases([(r.item_id, _words(r.text)) for r in rows if (r.lang or "").lower() != "zh"], WORDS)
     by_character = Phrases([(r.item_id, _characters(r.text)) for r in rows if (r.lang or "").lower() == "zh"], CHARACTERS)
     shared = spark.sparkContext.broadcast((by_word, by_character))

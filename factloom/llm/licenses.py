@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.lexing import EXTENSION_LANGUAGE
 from factloom.llm.common import repository, scan
-from factloom.sources.tables import table
+from factloom.sources.tables import bounded, table
 
 #: Bound of the licence catalogue that is sent to the workers, rows; and copies of the directory table in the salted join.
 CATALOGUE_ROWS, SALTS = 10_000, 16
@@ -86,7 +86,7 @@ def statements(spark: SparkSession, directory: str) -> DataFrame:
     """``(file_id, repo, revision, folder, kind, stated)`` of each managed file (leading comments) and licence file (whole text)."""
     catalogue = [
         (r.license_id, r.title, r.edition, r.body)
-        for r in table(spark, directory, "license_catalog").filter(F.col("license_id").isNotNull()).select("license_id", "title", "edition", "body").distinct().limit(CATALOGUE_ROWS).collect()
+        for r in bounded(table(spark, directory, "license_catalog").filter(F.col("license_id").isNotNull()).select("license_id", "title", "edition", "body").distinct(), CATALOGUE_ROWS, "license_catalog")
     ]
     matcher = spark.sparkContext.broadcast(Matcher(catalogue))
     extensions = "|".join(["h", *EXTENSION_LANGUAGE])

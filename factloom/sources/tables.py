@@ -11,6 +11,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def bounded(rows: DataFrame, bound: int, what: str) -> list:
+    """All rows on the driver; more of them than ``bound`` are an error, never cut."""
+    found = rows.limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"{what} has more than {bound} rows")
+    return found
+
+
 def normalised_path(column) -> F.Column:
     """``\\`` becomes ``/`` and leading ``./`` go; null stays null."""
     return F.regexp_replace(F.translate(F.col(column) if isinstance(column, str) else column, "\\", "/"), r"^(\./)+", "")
