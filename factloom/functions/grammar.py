@@ -12,7 +12,7 @@ import re
 import warnings
 from functools import lru_cache
 
-from factloom.functions.lexing import PYTHON_TOKEN, tokens
+from factloom.functions.lexing import PYTHON_TOKEN, TOKEN, flattened, tokens
 
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: .*)?\r?$|^={7}\r?$", re.M)
 _PAREN, _SQUARE, _BRACE = 0xE000, 0xE100, 0xE200
@@ -51,10 +51,11 @@ _C_WORDS = {
     "q": "const static inline extern volatile register restrict typedef _Noreturn _Thread_local constexpr thread_local _Atomic __inline __extension__ noreturn",
     "S": "struct union enum", "I": "if", "E": "else", "W": "while", "F": "for", "D": "do", "H": "switch", "C": "case", "d": "default",
     "R": "return", "b": "break continue", "g": "goto", "z": "sizeof _Alignof alignof", "n": "true false nullptr NULL",
+    "a": "__attribute__ __attribute __declspec _Alignas alignas asm __asm__ __asm",
 }
 #: What C++ adds.
 _CPP_WORDS = {
-    "t": "char8_t char16_t char32_t decltype", "q": "virtual explicit mutable friend typename noexcept consteval constinit requires",
+    "t": "char8_t char16_t char32_t decltype", "q": "virtual explicit mutable friend typename noexcept consteval constinit requires export",
     "S": "class", "N": "namespace", "T": "template", "U": "using", "A": "public private protected", "O": "operator", "z": "new delete throw co_await co_yield co_return typeid",
     "X": "try", "x": "catch", "i": "this", "o": "and or xor bitand bitor", "!": "not compl",
     "l": "static_cast dynamic_cast const_cast reinterpret_cast",
@@ -65,6 +66,8 @@ _C_PUNCT = {
     "(": "(", ")": ")", "[": "[", "]": "]", "{": "{", "}": "}",
 }
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w*)")
+#: Spellings that a macro of another file may have; and a mark before words that only the place makes keywords.
+_MACRO_NAME, _MODULE = re.compile(r"[A-Z][A-Z0-9_]{2,}$|__[a-z]\w*$"), "\x02"
 #: Preprocessor directive names.
 _DIRECTIVES = set("include include_next define undef if ifdef ifndef elif elifdef elifndef else endif pragma error warning line import embed".split()) | {""}
 _NUMBER_OK = re.compile(
@@ -95,7 +98,9 @@ def _c_class(cpp: bool):
         if first.isdigit() or (first == "." and len(token) > 1):
             return "n" if _NUMBER_OK.match(token) else _BAD
         if first.isalpha() or first == "_":
-            return "i"
+            return "M" if _MACRO_NAME.match(token) else "i"
+        if first == _MODULE:
+            return "J"
         if token in ("/", "%", "^", "|", "||", "==", "!=", "<=", ">=", "<=>", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="):
             return "o"
         return "i" if token == "$" else _BAD
@@ -109,40 +114,43 @@ def _c_rules(cpp: bool) -> dict:
     any_p, any_k, any_b = _any(_PAREN, 5), _any(_SQUARE, 2), _any(_BRACE, 5)
     k_expr, k_attr = _having(_SQUARE, 2, 1), _having(_SQUARE, 2, 2)
     b_init, b_block, b_class, b_enum, b_ext = (_having(_BRACE, 5, 1 << k) for k in range(5))
-    targs = rf"(?:<[itqSmvn@,:=s<>.u{any_p[1:-1]}{any_k[1:-1]}]*>)" if cpp else r"(?!)"
-    attr = rf"(?:{k_attr}|q?(?!){any_p})" if cpp else rf"{k_attr}"
+    targs = rf"(?:<[itqSmvn@,:=s<>.u!o?zl{any_p[1:-1]}{any_k[1:-1]}]*>)" if cpp else r"(?!)"
+    attr = rf"(?:{k_attr}|a{any_p})"
     name = rf"(?:@?!?i{targs}?(?:@(?:T)?!?i{targs}?)*)" if cpp else "i"
-    opname = rf"(?:(?:i{targs}?@)*O(?:[-+oum!p<>=,.t]{{1,3}}|{any_p}|{any_k}|[tqi@m]+))" if cpp else r"(?!)"
-    kind = rf"(?:S{attr}*{name}?(?:i)?(?::(?:[Aq,@]|{name})+)?(?:{b_class}|{b_enum})?|S{name}:[tq]+{b_enum}?)" if cpp else rf"(?:S{attr}*i?(?:{b_class}|{b_enum})?)"
+    opname = rf"(?:(?:i{targs}?@)*O(?:[-+oum!p<>=,.t]{{1,3}}|{any_p}|{any_k}|si?|(?:[tqm]|{name})+))" if cpp else r"(?!)"
+    kind = rf"(?:SS?{attr}*{name}?(?:i)?(?::(?:[Aqt,@]|{name})+)?(?:{b_class}|{b_enum})?|S{name}:[tq]+{b_enum}?)" if cpp else rf"(?:S{attr}*i?(?:{b_class}|{b_enum})?)"
     base = rf"(?:t(?:t|q|{any_p})*|{kind}|{name})"
-    specs = rf"(?:(?:q{p_args}?|{attr}|qs)*+{base}(?:q|{attr})*)"
-    pointer = rf"(?:m|q|{attr}|v)*"
-    suffix = rf"(?:{k_expr}|{p_params}(?:q|{attr}|m)*)"
+    arrow = rf"(?:\.(?:[tqmS]|{any_p}|{name})+)" if cpp else r"(?!)"
+    specs = rf"(?:(?:qs|q{p_args}?|{attr})*+{base}(?:q|{attr})*)"
+    member = r"|(?:i@)+m" if cpp else ""
+    pointer = rf"(?:m|q|{attr}|v{member})*"
+    suffix = rf"(?:{k_expr}|{p_params}(?:q|{attr}|m)*{arrow}?)"
     declr = rf"(?:{pointer}(?:{name}|{opname}|{p_decl}|{k_expr}(?=[:=])|){suffix}*{attr}*)"
-    lam = rf"(?:{any_k}{targs}?{p_params}?(?:q)*(?:\.[tqi@m<>,]+)?{b_block})" if cpp else r"(?!)"
+    lam = rf"(?:{any_k}{targs}?{p_params}?(?:q)*{arrow}?{b_block})" if cpp else r"(?!)"
     cast_kw = rf"(?:l{targs}{p_args})" if cpp else r"(?!)"
-    typed = rf"(?:[tq]+(?:{p_args}|{b_init}))" if cpp else r"(?!)"
-    prim = rf"(?:n|(?:s|i(?=s))+i?|{cast_kw}|{typed}|{lam}|{name}(?:{b_init})?|{p_args}|{p_type}{b_init}|{b_block}(?!))"
+    typed = rf"(?:[tq]+(?:{p_args}|{b_init})(?:@{name})*|q{p_params}?{b_block})" if cpp else r"(?!)"
+    prim = rf"(?:n|(?:s|i(?=s))+i?|{opname}{targs}?|{cast_kw}|{typed}|{lam}|{name}(?:{b_init})?|{p_args}|{p_type}{b_init}|{b_block}(?!))"
     postfix = rf"(?:p|{k_expr}|{p_args}|\.T?!?{name}|v)*"
     sizeof = rf"(?:z(?:{p_type}|v{p_args}|[tqi@m]+{k_expr}?{p_args}?|{k_expr}))"
     unary = rf"(?:(?:[um!pz]|{p_type}|z{k_expr})*(?:{prim}|{sizeof}){postfix}|z)"
-    binary = r"(?:[oum=?:]|<<?|>>?)"
-    expr = rf"(?:{unary}(?:{binary}(?:{unary}|{b_init}))*)"
+    binary = r"(?:[oum=?:]|<<?|>>?|\.m)"
+    fold = rf"(?:v{binary})?" if cpp else ""
+    expr = rf"(?:{fold}{unary}(?:{binary}(?:{unary}|{b_init}|v))*)" if cpp else rf"(?:{unary}(?:{binary}(?:{unary}|{b_init}))*)"
     exprs = rf"(?:{expr}(?:,{expr})*)"
     init = rf"(?:=(?:{expr}|{b_init}|[d]|zi?)|{b_init}|{p_args})"
     declaration = rf"(?:{specs}(?:{declr}(?::{expr})?{init}?(?:,{declr}(?::{expr})?{init}?)*)?)"
-    template = rf"(?:T{targs}(?:q(?:{p_args}|{expr}))?)*" if cpp else ""
+    template = rf"(?:q?T{targs}?(?:q(?:{p_args}|{expr}))?)*" if cpp else ""
     ctor_init = rf"(?::{name}(?:{p_args}|{b_init})v?(?:,{name}(?:{p_args}|{b_init})v?)*)?" if cpp else ""
-    function = rf"(?:{template}(?:{specs}|(?:q|{attr})*){pointer}(?:{name}|{opname}|{p_decl}){p_params}(?:q{p_args}?|i|m|{attr}|{p_params}|{k_expr})*(?:\.[tqi@m<>,]+)?{ctor_init}{b_block})"
+    function = rf"(?:{template}(?:{specs}|(?:q|{attr})*){pointer}(?:{name}|{opname}|{p_decl}){p_params}(?:q{p_args}?|i|m|{attr}|{p_params}|{k_expr})*{arrow}?{ctor_init}{b_block})"
     access = r"(?:A:)" if cpp else r"(?!)"
     namespace = rf"(?:q?N(?:{name})?{b_ext}|Ni={name};)" if cpp else r"(?!)"
-    using = rf"(?:{template}U[Niq@t<>,m=v.S{any_p[1:-1]}{any_k[1:-1]}]+;)" if cpp else r"(?!)"
-    linkage = rf"(?:qs{b_ext})"
+    using = rf"(?:{template}U[Niq@t<>,m=v.Sa!on?uzl{any_p[1:-1]}{any_k[1:-1]}]+;)" if cpp else r"(?!)"
+    linkage = rf"(?:qs{b_ext}|q?J(?:i(?:\.i)*)?(?::(?:i(?:\.i)*|A))?{attr}?;|q?J(?:s|<[^;]*>){attr}?;|q{b_ext}|a{any_p};)" if cpp else rf"(?:qs{b_ext}|aq?{any_p};)"
     outer = rf"(?>;|{access}|{namespace}|{linkage}|{using}|{function}|{template}{declaration};)"
     special = rf"(?>{template}(?:q|{attr})*!?{name}{p_params}(?:q|i)*(?:=[dz]|=zi?)?;|{template}q*{opname}{p_params}(?:q|i)*(?:=[dz])?;)" if cpp else r"(?!)"
     prefix = rf"(?:Iq?(?:{p_args}|{p_for})|W(?:{p_args}|{p_for})|F{p_for}|H(?:{p_args}|{p_for})|E|D|C{expr}(?:v{expr})?:|d:|i:(?!:)|{attr})"
     catch = rf"(?:X{b_block}(?:x{any_p}{b_block})+)" if cpp else r"(?!)"
-    simple = rf"(?:;|{b_block}|{catch}|R(?:{exprs}|{b_init})?;|b;|gi;|{using}|{exprs};|{template}{declaration};|{function})"
+    simple = rf"(?:;|aq?{any_p};|{b_block}|{catch}|R(?:{exprs}|{b_init})?;|b;|gi;|{using}|{exprs};|{template}{declaration};|{function})"
     statement = rf"(?>{prefix}*{simple})"
     variadic = r"(?:,?v)?"
     param = rf"(?:{specs}{declr}(?:=(?:{expr}|{b_init}))?|q?v)"
@@ -155,7 +163,7 @@ def _c_rules(cpp: bool) -> dict:
         rf"(?:{declaration}|{exprs})?;{expr}?(?:;(?:{exprs})?)?|{specs}{declr}:(?:{expr}|{b_init})|{declaration}",
         rf"{pointer}(?:{name}|{p_decl})?{suffix}*",
     ]
-    square = [rf"(?:[m=]?)(?:,?m?i(?:={expr})?v?)*|{expr}|q?{expr}|", rf"{any_k}"]
+    square = [rf"(?:[m=]?)(?:,?m?i(?:={expr})?v?)*|{expr}|q?{expr}|(?:[iq@]+{any_p}?(?:,[iq@]+{any_p}?)*)?", rf"{any_k}"]
     brace = [
         rf"(?:{init_item}(?:,{init_item})*,?)?",
         rf"{statement}*+(?:(?:C{expr}|d|i):)*",
@@ -168,6 +176,7 @@ def _c_rules(cpp: bool) -> dict:
         "[": (_SQUARE, [re.compile(x) for x in square]),
         "{": (_BRACE, [re.compile(x) for x in brace]),
         "file": re.compile(rf"(?:{outer}|{special})*+" if cpp else rf"{outer}*+"),
+        "start": re.compile(rf"(?:{statement}|{outer}|{special})*+"),
     }
 
 
@@ -239,15 +248,15 @@ def _rust_rules() -> dict:
     binary = r"(?:[-+*&|o=^]|Z|<<?=?|>>?=?)"
     un = rf"(?:{prefix}{prim}{postfix})"
     expr = rf"(?:(?:t|yL?)?{un}(?:(?:{binary}|t)(?:{un}|yL?))*t?|t|yL?)"
-    head = rf"(?:(?:l{pat}=)?{expr})"
+    head = rf"(?:(?:l{pat}=)?{expr}(?:&l{pat}={expr})*)"
     arms = b_arms
     control = rf"(?:L:)?(?:h{head}{b_block}(?:eh{head}{b_block})*(?:e{b_block})?|w{head}{b_block}|p{b_block}|r{pat}j{expr}{b_block}|c{expr}{arms})"
     ctl, leaf = "Q", expr
     where = rf"(?:W(?:[^;{any_b[1:-1]}])*)?"
     fn = rf"(?:(?:C|u|Xs?)*f[i]{gen}?{p_param}(?:A{ty})?{where}(?:{b_block}|;))"
     use = rf"(?:U@?(?:(?:[ik]@)*(?:[ik](?:a[i_])?|\*|{b_use}));)"
-    bounds = rf"(?::[^;={any_b[1:-1]}]*)?"
-    item = rf"(?>{attr}*{vis}(?:{fn}|{use}|(?:Cq?|Tq?)[i_]:{ty}(?:={expr})?;|S[i]{gen}?{where}(?:{b_fields}|{p_type}{where};|;)|E[i]{gen}?{where}{b_variants}|u?I{gen}?!?{ty}(?:r{ty})?{where}{b_items}|u?Ri{gen}?{bounds}{where}{b_items}|Mi(?:;|{b_items})|Yi{gen}?{bounds}(?:={ty})?{where};|Xki(?:a[i_])?;|u?Xs?{b_items}|i!i?(?:{any_b}|{any_p};|{any_k};)))"
+    bounds = rf"(?::(?:[^;=<{any_b[1:-1]}]|{gen})*)?"
+    item = rf"(?>{attr}*{vis}(?:{fn}|{use}|(?:Cq?|Tq?)[i_]:{ty}(?:={expr})?;|S[i]{gen}?{where}(?:{b_fields}|{p_type}{where};|;)|E[i]{gen}?{where}{b_variants}|u?I{gen}?!?{ty}(?:r{ty})?{where}{b_items}|u?Ri{gen}?{bounds}{where}{b_items}|Mi(?:;|{b_items})|Yi{gen}?{bounds}(?:={ty})?{where};|Xki(?:a[i_])?;|u?Xs?{b_items}|{path}!i?(?:{any_b}|{any_p};|{any_k};)))"
     let = rf"(?:{attr}*l{pat}(?::{ty})?(?:={expr}(?:e{b_block})?)?;)"
     statement = rf"(?>;|{let}|{item}|{attr}*(?:{ctl}|(?:L:)?u?{b_block}|{path}!{any_b})(?![.?a]);?|{attr}*{expr};)"
     field = rf"{attr}*{vis}i:{ty}"
@@ -281,6 +290,7 @@ def _rust_rules() -> dict:
         "[": (_SQUARE, [re.compile(x) for x in square]),
         "{": (_BRACE, [re.compile(x) for x in brace]),
         "file": re.compile(rf"(?:#!{any_k})*(?:{item}|;)*+"),
+        "start": re.compile(rf"(?:#!{any_k})*(?:{item}|{statement})*+"),
         "control": re.compile(control),
     }
 
@@ -294,7 +304,29 @@ def _machine(language: str):
 
 _BRACKET = re.compile(r"[(){}\[\]]")
 _OPENS = {")": "(", "]": "[", "}": "{"}
-_memo: dict[tuple[str, str, str], str] = {}
+_memo: dict[tuple, str] = {}
+_IF_ZERO = re.compile(r"\s*#\s*if\s+0\s*$")
+_DEFINED = re.compile(r"(?m)^\s*#\s*define\s+(\w+)")
+
+
+def _contextual(lexed: list[str], language: str) -> list[str]:
+    """Words that are keywords by their place: ``union`` before a name in Rust, ``module`` and ``import`` at the start of a C++ declaration."""
+    words = ("union",) if language == "rust" else ("module", "import")
+    if not any(w in lexed for w in words):
+        return lexed
+    out = list(lexed)
+    code = [k for k, t in enumerate(lexed) if not t.startswith(("//", "/*"))]
+    for n, k in enumerate(code):
+        if lexed[k] in words:
+            before = lexed[code[n - 1]] if n else ";"
+            after = lexed[code[n + 1]] if n + 1 < len(code) else ""
+            if language == "rust":
+                if after[:1].isalpha() and before not in (".", "::", "let", "&", "(", ",", "mut"):
+                    out[k] = "struct"
+            elif (before in (";", "}", "{", "export") or before[:1] == "#") and (after[:1].isalpha() or after[:1] in '<";:_'):
+                out[k] = _MODULE + lexed[k]
+    return out
+
 
 
 def reduce_control(rules: dict, content: str) -> str:
@@ -318,17 +350,47 @@ def _candidate_roles(language: str, kind: str, content: str, n: int):
     return (1, 2, 4) if ";" in content else range(n)
 
 
-def _reduce_group(language: str, rules: dict, kind: str, content: str) -> str:
-    key = (language, kind, content)
+def _roles(language: str, rules: dict, kind: str, content: str) -> int:
+    """Bits of the grammar roles that the content of a bracket group parses as."""
+    checks, bits = rules[kind][1], 0
+    plain = reduce_control(rules, content) if "control" in rules and any(x in content for x in "hwprc") else content
+    for k in _candidate_roles(language, kind, plain, len(checks)):
+        if checks[k].fullmatch(plain):
+            bits |= 1 << k
+    return bits
+
+
+_AROUND = f"[{chr(_PAREN)}-{chr(_PAREN + 255)}]", f"[{chr(_SQUARE)}-{chr(_SQUARE + 255)}]", f"[{chr(_BRACE)}-{chr(_BRACE + 255)}]"
+#: Places where a macro of another file may stand for anything: before a type or name, as a whole statement, behind a declarator.
+_MACRO_PLACES = tuple(
+    re.compile(x.format(p=_AROUND[0], k=_AROUND[1][1:-1], b=_AROUND[2][1:-1], pp=_AROUND[0][1:-1]))
+    for x in (
+        r"(?<=I)M(?={p})|(?:(?<=^)|(?<=[;:{b}]))M{p}?(?:[{b}]|(?=[IWFHDCdRbgzUXp]|$))|M{p}?(?=[itqSTOMNA@!])|(?<=[iM{pp}{k}])M{p}?(?=[;=,:{{{b}]|$)",
+        r"(?<=[itqSm{b}])M(?=[m)]|$)|(?<=m)M(?=i)",
+    )
+)
+_MACRO_PREFIX = re.compile(rf"(?:(?<=^)|(?<=[;{_AROUND[2][1:-1]}]))i(?=[tqS])")
+
+
+def _without_macros(content: str):
+    """The content with its macros as names, then with those left out that stand where no name may."""
+    yield content.replace("M", "i")
+    content = _MACRO_PLACES[0].sub("", content)
+    content = _MACRO_PREFIX.sub("", content)
+    yield content.replace("M", "i")
+    yield _MACRO_PLACES[1].sub("", content).replace("M", "i")
+
+
+def _reduce_group(language: str, rules: dict, kind: str, content: str, lenient: bool = False) -> str:
+    key = (language, kind, content, lenient)
     found = _memo.get(key)
     if found is None:
-        base, checks = rules[kind]
         bits = 0
-        plain = reduce_control(rules, content) if "control" in rules and any(x in content for x in "hwprc") else content
-        for k in _candidate_roles(language, kind, plain, len(checks)):
-            if checks[k].fullmatch(plain):
-                bits |= 1 << k
-        found = chr(base + bits)
+        for variant in _without_macros(content) if lenient else (content,):
+            bits |= _roles(language, rules, kind, variant)
+            if bits:
+                break
+        found = chr(rules[kind][0] + bits)
         if len(_memo) > 200_000:
             _memo.clear()
         if len(content) < 400:
@@ -336,21 +398,51 @@ def _reduce_group(language: str, rules: dict, kind: str, content: str) -> str:
     return found
 
 
-def _braced_problem(lexed: list[str], language: str) -> str | None:
-    classes, rules = _machine(language)
-    shape = "".join(map(classes.__getitem__, lexed))
-    if _BAD in shape:
-        return "unterminated literal or stray character"
-    if language != "rust" and "#" in shape:
-        depth = 0
-        for mark in re.findall(r"#[123]", shape):
-            depth += {"#1": 1, "#2": -1, "#3": 0}[mark]
-            if depth < 0 or (depth == 0 and mark == "#3"):
-                return "unbalanced preprocessor condition"
-        if depth:
-            return "input ended inside a preprocessor condition"
-        shape = re.sub(r"#[123]?", "", shape)
-    stack: list[tuple[str, list[str]]] = []
+def _unskipped(lexed: list[str], kinds: list[str]) -> list[str]:
+    """Classes with what stands below ``#if 0`` emptied: it need not be source at all."""
+    out, stack = [], []
+    for token, kind in zip(lexed, kinds):
+        if kind == "#1":
+            stack.append(_IF_ZERO.match(token) is not None)
+        elif kind == "#3" and stack:
+            stack[-1] = False
+        elif kind == "#2" and stack:
+            stack.pop()
+        out.append("" if any(stack) and kind not in ("#1", "#2", "#3") else kind)
+    return out
+
+
+def _branches(lexed: list[str], shape: list[str], last: bool) -> list[str]:
+    """Classes without directives and with one branch of each condition: the first, or the last; ``#if 0`` is always skipped."""
+    followed, revived, open_at = set(), set(), []
+    for at, kind in enumerate(shape):
+        if kind == "#1":
+            open_at.append(at)
+        elif kind == "#2":
+            open_at.pop()
+        elif kind == "#3":
+            followed.add(open_at[-1])
+            if _IF_ZERO.match(lexed[open_at[-1]]):
+                revived.add(at)
+            open_at[-1] = at
+    out, stack = [], []
+    for at, (token, kind) in enumerate(zip(lexed, shape)):
+        if kind[:1] != "#":
+            if all(stack):
+                out.append(kind)
+        elif kind == "#1":
+            stack.append(_IF_ZERO.match(token) is None and (not last or at not in followed))
+        elif kind == "#2":
+            stack.pop()
+        elif kind == "#3":
+            stack[-1] = (last and at not in followed) or at in revived
+    return out
+
+
+def _reduced(shape: str, language: str, lenient: bool) -> tuple[str, int] | None:
+    """``(reason, place in the shape)`` of the first damage that the stack meets."""
+    rules = _machine(language)[1]
+    stack: list[tuple[str, list[str], int]] = []
     parts: list[str] = []
     at = 0
     for m in _BRACKET.finditer(shape):
@@ -359,20 +451,106 @@ def _braced_problem(lexed: list[str], language: str) -> str | None:
             parts.append(shape[at:k])
         at = k + 1
         if mark in "([{":
-            stack.append((mark, parts))
+            stack.append((mark, parts, k))
             parts = []
         else:
             if not stack or stack[-1][0] != _OPENS[mark]:
-                return "unbalanced delimiter"
-            symbol = _reduce_group(language, rules, stack[-1][0], "".join(parts))
+                return "unbalanced delimiter", k
+            symbol = _reduce_group(language, rules, stack[-1][0], "".join(parts), lenient)
+            opening, outer, start = stack.pop()
             if ord(symbol) & 0xFF == 0:
-                return f"damaged content between {stack[-1][0]} and {mark}"
-            parts = stack.pop()[1]
+                # what stands in the arguments of a macro or an attribute need not be an expression
+                before = outer[-1][-1] if outer and opening == "(" else ""
+                if not before or (before not in ("Ma" if lenient else "a") and outer[-1][-2:] != "aq"):
+                    return f"damaged content between {opening} and {mark}", start
+                symbol = chr(_PAREN + 1)
+            parts = outer
             parts.append(symbol)
     if stack:
-        return "input ended inside a delimiter"
+        return "input ended inside a delimiter", stack[-1][2]
     parts.append(shape[at:])
-    return None if rules["file"].fullmatch("".join(parts)) else "damaged item"
+    whole = "".join(parts)
+    for variant in _without_macros(whole) if lenient else (whole,):
+        if rules["file"].fullmatch(variant):
+            return None
+    return "damaged item", _place(shape, rules["file"].match(whole).end())
+
+
+def _place(shape: str, taken: int) -> int:
+    """Place in the shape of the symbol number ``taken`` of its outermost level."""
+    depth = 0
+    for k, c in enumerate(shape):
+        if c in ")]}":
+            depth -= 1
+            continue
+        if not depth:
+            if not taken:
+                return k
+            taken -= 1
+        depth += c in "([{"
+    return max(0, len(shape) - 1)
+
+
+def _braced_problem(lexed: list[str], language: str) -> str | None:
+    classes = _machine(language)[0]
+    if language == "rust":
+        shape = "".join(map(classes.__getitem__, _contextual(lexed, language)))
+        found = ("unterminated literal or stray character", 0) if _BAD in shape else _reduced(shape, language, False)
+        return found and found[0]
+    kinds = [classes[t] for t in (_contextual(lexed, language) if language == "cpp" else lexed)]
+    shape = "".join(kinds)
+    if "#1" in shape and any(k == "#1" and _IF_ZERO.match(t) for t, k in zip(lexed, kinds)):
+        kinds = _unskipped(lexed, kinds)
+        shape = "".join(kinds)
+    if _BAD in shape:
+        return "unterminated literal or stray character"
+    conditions = "#1" in shape or "#2" in shape or "#3" in shape
+    if conditions:
+        depth = 0
+        for mark in re.findall(r"#[123]", shape):
+            depth += {"#1": 1, "#2": -1, "#3": 0}[mark]
+            if depth < 0 or (depth == 0 and mark == "#3"):
+                return "unbalanced preprocessor condition"
+        if depth:
+            return "input ended inside a preprocessor condition"
+    whole = re.sub(r"#[123]?", "", shape)
+    found = _reduced(whole.replace("M", "i"), language, False)
+    if found is None:
+        return None
+    # a program of some configuration is one: macros of other files may stand for anything, and each condition has one branch at a time
+    own = set(_DEFINED.findall("\n".join(t for t in lexed if t.lstrip()[:1] == "#"))) if "#" in shape else set()
+    if own:
+        kinds = ["M" if k == "i" and t in own else k for t, k in zip(lexed, kinds)]
+    texts = dict.fromkeys(("".join(k for k in kinds if k[:1] != "#"), *("".join(_branches(lexed, kinds, last)) for last in (False, True) if conditions)))
+    for text in texts:
+        if ("M" in text or text != whole) and _reduced(text, language, True) is None:
+            return None
+    return found[0]
+
+
+def damage_offset(text: str, language: str) -> int:
+    """Where the damage of a Rust, C or C++ text begins: the token that the stack could not take, or the bracket around it."""
+    found = list(TOKEN[language].finditer(flattened(text, language)))
+    lexed = [m[1] for m in found]
+    classes = _machine(language)[0]
+    kinds = [classes[t] for t in _contextual(lexed, language)]
+    for m, kind in zip(found, kinds):
+        if kind == _BAD:
+            return m.start(1)
+    depth = []
+    for m, kind in zip(found, kinds):
+        if kind == "#1":
+            depth.append(m.start(1))
+        elif kind in ("#2", "#3") and language != "rust":
+            if not depth:
+                return m.start(1)
+            if kind == "#2":
+                depth.pop()
+    if depth and language != "rust":
+        return depth[-1]
+    kept = [(k.replace("M", "i"), m.start(1)) for k, m in zip(kinds, found) if k and (language == "rust" or k[0] != "#")]
+    problem = _reduced("".join(k for k, _ in kept), language, False)
+    return kept[problem[1]][1] if problem and kept else 0
 
 
 def _python_problem(text: str) -> str | None:
@@ -396,7 +574,7 @@ def _python_problem(text: str) -> str | None:
             return "unterminated literal or stray character"
     if stack:
         return "input ended inside a delimiter"
-    return reason.replace("\n", " ")[:120] or None
+    return reason.replace("\n", " ") or None
 
 
 def analyse(content: bytes | None, language: str | None, lex_python: bool = True) -> tuple[str | None, str, list[str]]:

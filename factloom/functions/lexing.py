@@ -27,11 +27,11 @@ _C_OPERATOR = r"->\*?|\+\+|--|<<=|>>=|<=>|<=|>=|[-+*/%&|^!=]=|&&|\|\||::|\.\.\.|
 _WORD_FIRST = r"[^\W\d]\w*+(?![\"'#])"
 
 
-def _token(*alternatives: str) -> re.Pattern:
-    return re.compile(rf"\s*({'|'.join(alternatives)})")
+def _token(*alternatives: str, blank: str = r"\s*") -> re.Pattern:
+    return re.compile(rf"{blank}({'|'.join(alternatives)})")
 
 
-C_TOKEN = _token(_WORD_FIRST, _C_COMMENT, _C_DIRECTIVE, _C_STRING, _C_CHAR, _NUMBER, _IDENT, _C_OPERATOR, r"[^\s]")
+C_TOKEN = _token(_WORD_FIRST, _C_COMMENT, _C_DIRECTIVE, _C_STRING, _C_CHAR, _NUMBER, _IDENT, _C_OPERATOR, r"[^\s]", blank=r"(?:\s|\\\r?\n)*")
 _C_RAW_SCAN = re.compile("|".join((_C_COMMENT, _C_RAW, _C_STRING, _C_CHAR)))
 
 _RUST_BLOCK0 = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
@@ -41,7 +41,7 @@ _RUST_COMMENT = rf"//[^\n]*|{_RUST_BLOCK2}"
 _RUST_RAW = r'[bc]?r"[^"]*"|[bc]?r#"[\s\S]*?"#|[bc]?r##"[\s\S]*?"##|[bc]?r###"[\s\S]*?"###'
 _RUST_STRING = r'[bc]?"(?:[^"\\]|\\[\s\S])*+"'
 _RUST_CHAR = r"b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[^}']*\}|.))'"
-_RUST_NUMBER = r"\d\w*(?:\.\d\w*)?(?:(?<=[eE])[+-]\d\w*)?|\d\w*\.(?![\w.])"
+_RUST_NUMBER = r"\d\w*\.(?![\w.])|\d\w*(?:\.\d\w*)?(?:(?<=[eE])[+-]\d\w*)?"
 _RUST_OPERATOR = r"->|=>|::|\.\.=|\.\.\.|\.\.|<=|>=|[-+*/%&|^!=]=|&&|\|\|"
 RUST_TOKEN = _token(_WORD_FIRST, _RUST_COMMENT, _RUST_RAW, _RUST_STRING, _RUST_CHAR, r"'[^\W\d]\w*", r"r#" + _IDENT, _RUST_NUMBER, _IDENT, _RUST_OPERATOR, r"[^\s]")
 
@@ -77,6 +77,51 @@ def flatten_raw_strings(text: str) -> str:
     return _C_RAW_SCAN.sub(plain, text)
 
 
+_RUST_MARK = re.compile(r"/\*|\*/")
+_RUST_OUTER = re.compile(rf"//[^\n]*|(?P<open>/\*)|(?<!\w)[bc]?r(?P<hash>#+)\"(?P<raw>[\s\S]*?)\"(?P=hash)|{_RUST_RAW}|{_RUST_STRING}|{_RUST_CHAR}")
+_RUST_HASHES = re.compile(r'r####+"')
+
+
+def _deep(text: str) -> bool:
+    """Whether the marks of block comments ever stand deeper than the token expression nests."""
+    depth = 0
+    for m in _RUST_MARK.finditer(text):
+        depth = depth + 1 if m[0] == "/*" else max(0, depth - 1)
+        if depth > 3:
+            return True
+    return False
+
+
+def flatten_rust(text: str) -> str:
+    """Comments nested deeper and raw strings with more marks than the token expression knows become plain ones of equal length."""
+    if not _RUST_HASHES.search(text) and (text.count("/*") < 4 or not _deep(text)):
+        return text
+    out, at = [], 0
+    while m := _RUST_OUTER.search(text, at):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m["open"]:
+            depth = 1
+            while depth and (mark := _RUST_MARK.search(text, at)):
+                depth += 1 if mark[0] == "/*" else -1
+                at = mark.end()
+            if depth:
+                out.append(text[m.start() :])
+                return "".join(out)
+            out.append("/*" + _RUST_MARK.sub("  ", text[m.start() + 2 : at - 2]) + "*/")
+        elif m["hash"] and len(m["hash"]) > 3:
+            lead = m.start("hash") - m.start()
+            out.append(" " * len(m["hash"]) + m[0][:lead] + '"' + m["raw"].replace('"', " ") + '"' + " " * len(m["hash"]))
+        else:
+            out.append(m[0])
+    return "".join(out) + text[at:]
+
+
+def flattened(text: str, language: str) -> str:
+    """The text as the token expressions can lex it, of equal length."""
+    return flatten_raw_strings(text) if language == "cpp" else flatten_rust(text) if language == "rust" else text
+
+
 def language_of(path: str, header_profile: str | None) -> str | None:
     """Language a path stands for, or ``None`` for an unmanaged extension."""
     name = path.rpartition("/")[2]
@@ -88,12 +133,12 @@ def language_of(path: str, header_profile: str | None) -> str | None:
 
 def tokens(text: str, language: str) -> list[str]:
     """All tokens, comments and directives included, in source order."""
-    return TOKEN[language].findall(flatten_raw_strings(text) if language == "cpp" else text)
+    return TOKEN[language].findall(flattened(text, language))
 
 
 def spans(text: str, language: str):
     """Yield ``(kind, start, end)`` of each comment (``c``) and string literal (``s``)."""
-    source = flatten_raw_strings(text) if language == "cpp" else text
+    source = flattened(text, language)
     for m in SPAN[language].finditer(source):
         if m.lastgroup:
             yield m.lastgroup, m.start(), m.end()

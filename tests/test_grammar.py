@@ -42,3 +42,34 @@ def test_edges():
     assert syntax_problem(b"\xff\xfe", "python") == "source is not valid UTF-8"
     assert syntax_problem(("int a" + "[1]" * 20000 + ";\n").encode(), "c") is None
     assert syntax_problem(b"int x = " + b"(" * 3000 + b"1" + b")" * 3000 + b";", "c") is None
+
+
+REAL = {
+    "c": [
+        "ZEXTERN int ZEXPORT inflate(z_streamp strm, int flush);\nint x[3] ALIGN8 = {1};\n", "local int bits(struct state *s) { unsigned char FAR *w; UNITTEST_BEGIN(f(&x))\n int n; EXPECT(n, int) }\n",
+        "#ifdef A\nint f(int a) {\n#else\nint f(void) {\n#endif\n return 1; }\n", "#if 0\nthis isn't code (\n#endif\nint x;\n", "int f(const char *s, ...) __attribute__((format(printf, 1, 2)));\n__asm__ volatile(\"nop\" : : );\n",
+        'int f() { printf("a" \\\n "b"); }\n', "#define each(x) for (;;)\nvoid f() { each(item) { g(); } }\n",
+    ],
+    "cpp": [
+        "export module a.b:part;\nimport std;\nimport <vector>;\nimport \"x.h\";\nexport namespace n { int f(); }\n", "auto f(int a) -> decltype(a + 1) { return (a)->*b; }\nextern \"C\" int g(int x) { return x; }\nenum class E : int { x, y };\n",
+        "struct A { operator n::view<char>() const { return v; } template <typename T> A &operator=(T &&) = delete; };\ntemplate <typename... T> bool all(T... t) { return (t && ...); }\ntemplate class X<int>;\n",
+        "template <typename T> concept C = requires(T t) { t.x(); };\nTEST(a, namespace) { f(); }\nauto operator\"\"_cf() { return 1; }\n",
+    ],
+    "rust": [
+        "union U { x: u8 }\nfn f() { let union = 3; if a && let Some(x) = y && b { } }\n", "a::b!(|x: &str| { y });\ntrait T { type S: U<Ok = Self::Ok>; }\nfn g() { h(0., [1.; 3]); }\n",
+        "/*a/*b/*c/*d/*e*/*/*/*/*/ fn f() { let x = r#####\"a\"#### \"b\"#####; }\n",
+    ],
+}
+
+
+@pytest.mark.parametrize("language,text", [(k, t) for k, own in REAL.items() for t in own])
+def test_macros_conditions_and_modules(language, text):
+    """Macros of other files, one branch of a condition at a time, and words that are keywords by their place."""
+    assert syntax_problem(text.encode(), language) is None
+
+
+@pytest.mark.parametrize("language,text,at", [("rust", "fn f() {}\nfn g( { }\n", 14), ("rust", "fn f() {}\nstruct {}\n", 10), ("c", "int x;\nint y = ;\n", 7), ("c", "#if A\nint x;\n", 0), ("cpp", "int a;\n}\n", 7), ("c", "int f() {\n return 1 }\n", 8)])
+def test_place_of_damage(language, text, at):
+    from factloom.functions.grammar import damage_offset
+
+    assert syntax_problem(text.encode(), language) and damage_offset(text, language) == at
