@@ -17,6 +17,7 @@ QUERIES = {
     "p6_found": licenses.licenses,
     "p7_found": shared_spans.found,
     "p7_shares": shared_spans.shares,
+    "p7_links": shared_spans.links,
     "p8_ids": encoding.ids,
     "p9_found": leakage.found,
     "p9_spans": leakage.leaks,

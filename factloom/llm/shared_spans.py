@@ -1,8 +1,9 @@
 """Long exact spans shared between files (problem 7): seed and extend.
 
-Anchors are winnowed hashes of SEED bytes, dense enough that any common span of MINIMUM bytes holds one.  Exact copies are one class with one
-representative; only representatives carry anchors.  Candidate pairs of classes meet on anchors that several classes have, their contents
-are joined, matches are extended both ways, and pairs of classes become pairs of files at the very end.
+Anchors are winnowed hashes of SEED bytes, dense enough that any common span of MINIMUM bytes holds one at the same place of the span.  An anchor
+that several contents have is extended both ways: every MINIMUM-byte window around it whose bytes several contents have is a shared window, and the
+union of a file's shared windows are its maximal repeats.  Where all contents agree on everything around an anchor the two outermost windows say it
+all; all windows are looked at only where they disagree, so work follows the number of edges of spans, not of pairs.  Exact copies are one class.
 """
 
 from __future__ import annotations
@@ -11,149 +12,221 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import scan
+from factloom.llm.common import checkpointed, scan
 from factloom.sources.tables import table
 
-#: Least length of a shared span; bytes of a seed.  The window follows: SEED + WINDOW - 1 == MINIMUM.
-MINIMUM, SEED = 400, 320
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Least length of a shared span; bytes of a seed.  Every MINIMUM bytes hold MINIMUM - SEED + 1 seeds, the window of the winnowing.
+MINIMUM, SEED = 400, 256
+#: Holders of one span that a task pairs with as many others; a larger group is split into blocks of this size.
+BLOCK = 2000
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BYTES = tuple(np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (7, 8))
 
 
-def rolling(data: bytes, size: int) -> np.ndarray:
-    """Mixed 64-bit hash of every ``size`` consecutive bytes."""
+def rolling(data: bytes, size: int, variant: int = 0) -> np.ndarray:
+    """Mixed 64-bit hash of every ``size`` consecutive bytes; two variants are independent of each other."""
     if len(data) < size:
         return np.empty(0, np.uint64)
-    values = _BYTE[np.frombuffer(data, np.uint8)]
+    base = _BASES[variant] | 1
+    values = _BYTES[variant][np.frombuffer(data, np.uint8)]
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(values), _BASE, np.uint64))
+        powers = np.cumprod(np.full(len(values), base, np.uint64))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(values * powers)])
-        hashes = (sums[size:] - sums[:-size]) * np.cumprod(np.full(len(values) - size + 1, _INVERSE, np.uint64))
+        hashes = (sums[size:] - sums[:-size]) * np.cumprod(np.full(len(values) - size + 1, pow(base, -1, 1 << 64), np.uint64))
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(32)
     return hashes
 
 
-_BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
+def _window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Least value of every ``width`` consecutive ones: prefix minima of one block and suffix minima of the block before cover every window."""
+    n = len(hashes)
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = hashes
+    blocks = padded.reshape(-1, width)
+    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
+    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(suffix[: n - width + 1], prefix[width - 1 : n])
 
 
 def anchors(data: bytes, minimum: int = MINIMUM, seed: int = SEED) -> np.ndarray:
     """Distinct minimum hashes of the windows of ``minimum - seed + 1`` seeds."""
-    hashes = rolling(data, seed)
-    width = minimum - seed + 1
     if len(data) < minimum:
         return np.empty(0, np.int64)
-    # running minima by blocks: prefix minima of one block and suffix minima of the block before cover every window
+    return np.unique(_window_minima(rolling(data, seed), minimum - seed + 1)).view(np.int64)
+
+
+def placed_anchors(data: bytes, minimum: int = MINIMUM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, positions)`` of all seeds that are the least of some window; every equal one counts, so that the choice depends on the window alone."""
+    if len(data) < minimum:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    hashes, width = rolling(data, seed), minimum - seed + 1
+    least = _window_minima(hashes, width)
+    # a seed is chosen when it equals the greatest of the minima of the windows it lies in
     n = len(hashes)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = hashes
-    blocks = padded.reshape(-1, width)
-    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
-    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.unique(np.minimum(suffix[: n - width + 1], prefix[width - 1 : n])).view(np.int64)
-
-
-def shared_stretches(a: bytes, b: bytes, minimum: int = MINIMUM) -> list[tuple[int, int, int]]:
-    """Maximal repeats ``(start_a, start_b, length)`` of at least ``minimum`` bytes, seeds extended both ways and compared byte by byte."""
-    ha, hb = rolling(a, minimum), rolling(b, minimum)
-    if not len(ha) or not len(hb):
-        return []
-    order = np.argsort(hb, kind="stable")
-    ranked = hb[order]
-    at = np.searchsorted(ranked, ha)
-    hit = np.nonzero(ranked[np.minimum(at, len(ranked) - 1)] == ha)[0]
-    out, covered = [], {}
-    for i in hit.tolist():
-        k = at[i]
-        while k < len(ranked) and ranked[k] == ha[i]:
-            j = int(order[k])
-            k += 1
-            if covered.get(i - j, -1) > i or a[i : i + minimum] != b[j : j + minimum]:
-                continue
-            x, y = i, j
-            while x and y and a[x - 1] == b[y - 1]:
-                x, y = x - 1, y - 1
-            end = i + minimum
-            shift = i - j
-            while end < len(a) and end - shift < len(b) and a[end] == b[end - shift]:
-                end += 1
-            covered[shift] = end - minimum + 1
-            out.append((x, y, end - x))
-    return out
+    around = np.zeros(n + width - 1, np.uint64)
+    around[width - 1 : width - 1 + len(least)] = least
+    greatest = ~_window_minima(~around, width)
+    positions = np.nonzero(hashes == greatest[:n])[0]
+    return hashes[positions], positions
+
+
+def _contexts(data: bytes, hashes: np.ndarray, positions: np.ndarray, own: int) -> np.ndarray:
+    """What surrounds each anchor: the windows that end and begin the reach of its extension; a value of the file's own where the file ends before."""
+    reach = MINIMUM - SEED
+    wide = rolling(data, MINIMUM)
+    inside = (positions >= reach) & (positions < len(wide))
+    left = wide[np.clip(positions - reach, 0, len(wide) - 1)]
+    right = wide[np.clip(positions, 0, len(wide) - 1)]
+    with np.errstate(over="ignore"):
+        return np.where(inside, left * np.uint64(3) ^ right, np.uint64(own) ^ hashes)
+
+
+def windows(data: bytes, edges: dict[int, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, second key, first, last)`` of the windows of MINIMUM bytes around the given anchors, starts of equal windows that overlap as one run.
+
+    ``edges`` tells of each anchor whether contents disagree around it: then all windows that hold its seed count, else the outermost two.
+    """
+    reach, n = MINIMUM - SEED, len(data) - MINIMUM + 1
+    hashes, positions = placed_anchors(data)
+    known = np.array(sorted(edges), np.int64)
+    flags = np.array([edges[k] for k in known.tolist()], bool)
+    at = np.searchsorted(known, hashes.view(np.int64))
+    at = np.minimum(at, max(0, len(known) - 1))
+    held = known[at] == hashes.view(np.int64) if len(known) else np.zeros(len(hashes), bool)
+    edge, plain = positions[held & flags[at]], positions[held & ~flags[at]]
+    change = np.zeros(n + MINIMUM + 1, np.int64)
+    np.add.at(change, np.maximum(edge - reach, 0), 1)
+    np.add.at(change, edge + 1, -1)
+    taken = np.cumsum(change)[:n] > 0
+    for starts in (plain, plain - reach):
+        taken[starts[(starts >= 0) & (starts < n)]] = True
+    starts = np.nonzero(taken)[0]
+    key, second = rolling(data, MINIMUM)[starts], rolling(data, MINIMUM, 1)[starts]
+    order = np.lexsort((starts, second, key))
+    key, second, starts = key[order], second[order], starts[order]
+    if not len(starts):
+        return key.view(np.int64), second.view(np.int64), starts, starts
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1]) | (starts[1:] - starts[:-1] > MINIMUM)])
+    first = np.nonzero(new)[0]
+    last = np.concatenate([first[1:] - 1, [len(starts) - 1]])
+    return key[first].view(np.int64), second[first].view(np.int64), starts[first], starts[last]
 
 
 def _files(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "source_documents").select("file_id", "content").filter(F.col("file_id").isNotNull() & (F.length("content") >= MINIMUM))
 
 
-def _classes(spark: SparkSession, directory: str) -> DataFrame:
-    """``(file_id, class_id)``: files of equal content (by SHA-256) share the least file id as their class."""
-    hashed = _files(spark, directory).select("file_id", F.sha2("content", 256).alias("hash"))
-    least = hashed.groupBy("hash").agg(F.min("file_id").alias("class_id"))
-    return hashed.dropDuplicates(["file_id"]).join(least, "hash").select("file_id", "class_id")
-
-
-def shared_classes(spark: SparkSession, directory: str, spans: bool = False) -> DataFrame:
-    """Pairs of classes that share a span, with its positions if asked: ``(a, b[, start_a, start_b, length])``, ``a < b``."""
+def _anchored(spark: SparkSession, directory: str) -> DataFrame:
+    """``(file_id, hash, seeds, contexts)`` of each delivery that can share anything: one pass over the contents, written once for all that follows."""
 
     def seeds(columns):
         import hashlib
 
         for file_id, content in zip(columns["file_id"], columns["content"]):
-            yield file_id, hashlib.sha256(content).digest()[:16], anchors(content).tolist()
-
-    prints = scan(_files(spark, directory), seeds, "file_id bigint, hash binary, anchors array<bigint>")
-    # equal contents have equal anchors; an anchor is of interest when different contents have it
-    # one exchange by anchor serves the de-duplication, the test for several contents and both sides of the self-join
-    rows = prints.select("file_id", F.xxhash64("hash").alias("kind"), F.explode("anchors").alias("anchor")).repartition("anchor")
-    one = rows.groupBy("anchor", "kind").agg(F.min("file_id").alias("file_id"))
-    same = Window.partitionBy("anchor")
-    held = one.withColumn("low", F.min("kind").over(same)).withColumn("high", F.max("kind").over(same)).filter("low <> high").select("anchor", "file_id")
-    pairs = (
-        held.alias("l").join(held.alias("r"), (F.col("l.anchor") == F.col("r.anchor")) & (F.col("l.file_id") < F.col("r.file_id")))
-        .select(F.col("l.file_id").alias("a"), F.col("r.file_id").alias("b")).distinct()
-    )
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
-    contents = _files(spark, directory).join(involved, "file_id", "left_semi").dropDuplicates(["file_id"])
-    joined = pairs.join(contents.select(F.col("file_id").alias("a"), F.col("content").alias("content_a")), "a").join(
-        contents.select(F.col("file_id").alias("b"), F.col("content").alias("content_b")), "b"
-    )
+            digest = hashlib.sha256(content).digest()[:16]
+            hashes, positions = placed_anchors(content)
+            around = _contexts(content, hashes, positions, int.from_bytes(digest[:8], "little"))
+            pairs = np.unique(np.stack([hashes, around]), axis=1) if len(hashes) else np.empty((2, 0), np.uint64)
+            yield file_id, digest, pairs[0].view(np.int64).tolist(), pairs[1].view(np.int64).tolist()
+
+    return checkpointed(scan(_files(spark, directory), seeds, "file_id bigint, hash binary, seeds array<bigint>, contexts array<bigint>"))
+
+
+def _classes(anchored: DataFrame) -> DataFrame:
+    """``(file_id, class_id)``: files of equal content share the least file id as their class."""
+    once = anchored.select("file_id", "hash").dropDuplicates(["file_id"])
+    least = once.groupBy("hash").agg(F.min("file_id").alias("class_id"))
+    return once.join(least, "hash").select("file_id", "class_id")
+
+
+def _windows(spark: SparkSession, directory: str, anchored: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(key, second, file_id, first, last)``: windows of class representatives around anchors that several contents have."""
+    seeds = anchored.select("file_id", F.xxhash64("hash").alias("kind"), F.explode(F.arrays_zip("seeds", "contexts")).alias("s")).select("file_id", "kind", F.col("s.seeds").alias("seed"), F.col("s.contexts").alias("context"))
+    shared = (
+        seeds.groupBy("seed").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min("context").alias("least"), F.max("context").alias("most"))
+        .filter("low <> high").select("seed", (F.col("least") != F.col("most")).alias("edge"))
+    )
+    own = seeds.select("file_id", "seed").join(shared, "seed").groupBy("file_id").agg(F.collect_set(F.struct("seed", "edge")).alias("held"))
+    representatives = classes.filter("file_id = class_id").select("file_id")
+    contents = _files(spark, directory).join(own.join(representatives, "file_id", "left_semi"), "file_id").dropDuplicates(["file_id"])
 
     def extend(columns):
-        for a, b, x, y in zip(columns["a"], columns["b"], columns["content_a"], columns["content_b"]):
-            found = shared_stretches(x, y)
-            if found and spans:
-                yield from ((a, b, *s) for s in found)
-            elif found:
-                yield a, b, *found[0]
+        for file_id, content, held in zip(columns["file_id"], columns["content"], columns["held"]):
+            for row in zip(*(x.tolist() for x in windows(content, {h["seed"]: h["edge"] for h in held}))):
+                yield row[0], row[1], file_id, row[2], row[3]
 
-    out = scan(joined.select("a", "b", "content_a", "content_b"), extend, "a bigint, b bigint, start_a bigint, start_b bigint, length bigint")
-    return out if spans else out.select("a", "b")
+    return checkpointed(scan(contents.select("file_id", "content", "held"), extend, "key bigint, second bigint, file_id bigint, first bigint, last bigint"))
+
+
+def _pairs_within(members: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """Distinct pairs ``(a, b)``, ``a < b``, of the ``file_id`` of each group; a group of ``n`` above BLOCK is split into blocks that meet pairwise."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("file_id"), blocks).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        *keys, "file_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*keys, "low", "high")]
+    apart = (F.col("l.low") == F.col("l.high")) | (F.col("l.block") != F.col("r.block"))
+    condition = (F.col("l.file_id") < F.col("r.file_id")) & apart
+    for c in on:
+        condition = condition & c
+    return met.alias("l").join(met.alias("r"), condition).select(F.col("l.file_id").alias("a"), F.col("r.file_id").alias("b")).distinct()
+
+
+def _held_windows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members ``(key, second, file_id)`` of all windows, and the windows of several files with their size, one for each set of files."""
+    members = found.select("key", "second", "file_id").distinct()
+    groups = members.groupBy("key", "second").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("file_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "file_id")).alias("y")
+    ).filter("n > 1")
+    return members, groups.groupBy("n", "x", "y").agg(F.min(F.struct("key", "second")).alias("one")).select("one.key", "one.second", "n")
+
+
+def _linked(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Classes and distinct pairs ``(a, b)`` of class representatives that share a span."""
+    anchored = _anchored(spark, directory)
+    classes = checkpointed(_classes(anchored))
+    members, groups = _held_windows(_windows(spark, directory, anchored, classes))
+    return classes, _pairs_within(members, ["key", "second"], groups)
 
 
 def found(spark: SparkSession, directory: str) -> DataFrame:
-    """``p7_found(file_id_a, file_id_b)``; null, empty and short contents share nothing, repeated deliveries count once."""
-    classes = _classes(spark, directory)
+    """``p7_found(file_id_a, file_id_b)``; null, empty and short contents share nothing, repeated deliveries count once.
+
+    Every pair is listed, those of exact copies too, so the result of a group that shares a span is quadratic in it; :func:`links` is not.
+    """
+    classes, pairs = _linked(spark, directory)
     left, right = classes.select(F.col("file_id").alias("x"), F.col("class_id").alias("a")), classes.select(F.col("file_id").alias("y"), F.col("class_id").alias("b"))
-    between = shared_classes(spark, directory).join(left, "a").join(right, "b").select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"))
-    within = left.join(right.withColumnRenamed("b", "a"), "a").filter("x < y").select(F.col("x").alias("file_id_a"), F.col("y").alias("file_id_b"))
-    return between.unionByName(within).distinct()
+    between = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"))
+    sizes = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    within = _pairs_within(classes, ["class_id"], sizes).select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
+    return between.unionByName(within)
+
+
+def links(spark: SparkSession, directory: str) -> DataFrame:
+    """``p7_links(file_id, class_id, copies, links)``: the class of each file that can share a span, its files, and the files of other classes it shares one with."""
+    classes, pairs = _linked(spark, directory)
+    copies = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = both.join(copies.withColumnRenamed("class_id", "b"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("copies").alias("links"))
+    return classes.join(copies, "class_id").join(counted, "class_id", "left").select("file_id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def shares(spark: SparkSession, directory: str) -> DataFrame:
-    """``(file_id, n_bytes, shared_bytes, share)``: how much of each file lies in spans that another file has too."""
-    spans = shared_classes(spark, directory, spans=True)
-    ends = spans.select(F.col("a").alias("class_id"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).unionByName(
-        spans.select(F.col("b").alias("class_id"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
-    ).distinct()
+    """``(file_id, n_bytes, shared_bytes, share)``: how much of each file lies in spans that another file has too; empty files share 0.0."""
+    anchored = _anchored(spark, directory)
+    classes = checkpointed(_classes(anchored))
+    spans = _windows(spark, directory, anchored, classes)
+    shared = spans.groupBy("key", "second").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).filter("low <> high").select("key", "second")
+    ends = spans.join(shared, ["key", "second"], "left_semi").select(F.col("file_id").alias("class_id"), F.col("first").alias("s"), (F.col("last") + MINIMUM).alias("e"))
     order = Window.partitionBy("class_id").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = ends.withColumn("part", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(reach, F.lit(0)))))
     covered = new.groupBy("class_id").agg(F.sum("part").alias("part"))
-    classes = _classes(spark, directory)
     copies = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("files"))
     sizes = table(spark, directory, "source_documents").filter("file_id is not null").groupBy("file_id").agg(F.max(F.coalesce(F.length("content"), F.lit(0))).cast("bigint").alias("n_bytes"))
     joined = sizes.join(classes, "file_id", "left").join(copies, "class_id", "left").join(covered, "class_id", "left")
-    shared = F.when(F.col("files") > 1, F.col("n_bytes")).otherwise(F.coalesce("part", F.lit(0))).cast("bigint")
-    return joined.select("file_id", "n_bytes", shared.alias("shared_bytes"), F.when(F.col("n_bytes") > 0, F.round(shared / F.col("n_bytes"), 6)).otherwise(0.0).alias("share"))
+    taken = F.when(F.col("files") > 1, F.col("n_bytes")).otherwise(F.coalesce("part", F.lit(0))).cast("bigint")
+    return joined.select("file_id", "n_bytes", taken.alias("shared_bytes"), F.when(F.col("n_bytes") > 0, F.round(taken / F.col("n_bytes"), 6)).otherwise(0.0).alias("share"))
