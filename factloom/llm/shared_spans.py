@@ -2,8 +2,8 @@
 
 Anchors are winnowed hashes of SEED bytes, dense enough that any common span of MINIMUM bytes holds one at the same place of the span.  An anchor
 that several contents have is extended both ways: every MINIMUM-byte window around it whose bytes several contents have is a shared window, and the
-union of a file's shared windows are its maximal repeats.  Where all contents agree on everything around an anchor the two outermost windows say it
-all; all windows are looked at only where they disagree, so work follows the number of edges of spans, not of pairs.  Exact copies are one class.
+union of a file's shared windows are its maximal repeats.  Where all contents agree on one side of an anchor the outermost window of that side links
+them all; all windows are looked at only where they disagree, so work follows the edges of spans, not the pairs.  Exact copies are one class.
 """
 
 from __future__ import annotations
@@ -72,21 +72,20 @@ def placed_anchors(data: bytes, minimum: int = MINIMUM, seed: int = SEED) -> tup
     return hashes[positions], positions
 
 
-def _contexts(data: bytes, hashes: np.ndarray, positions: np.ndarray, own: int) -> np.ndarray:
-    """What surrounds each anchor: the windows that end and begin the reach of its extension; a value of the file's own where the file ends before."""
+def _contexts(data: bytes, hashes: np.ndarray, positions: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that reach as far as the extension of each anchor does to the left and right; a value of the file's own where the file ends before."""
     reach = MINIMUM - SEED
     wide = rolling(data, MINIMUM)
-    inside = (positions >= reach) & (positions < len(wide))
-    left = wide[np.clip(positions - reach, 0, len(wide) - 1)]
-    right = wide[np.clip(positions, 0, len(wide) - 1)]
-    with np.errstate(over="ignore"):
-        return np.where(inside, left * np.uint64(3) ^ right, np.uint64(own) ^ hashes)
+    alone = np.uint64(own) ^ hashes
+    left = np.where(positions >= reach, wide[np.clip(positions - reach, 0, len(wide) - 1)], alone)
+    right = np.where(positions < len(wide), wide[np.clip(positions, 0, len(wide) - 1)], alone)
+    return left, right
 
 
 def windows(data: bytes, edges: dict[int, bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(key, second key, first, last)`` of the windows of MINIMUM bytes around the given anchors, starts of equal windows that overlap as one run.
 
-    ``edges`` tells of each anchor whether contents disagree around it: then all windows that hold its seed count, else the outermost two.
+    ``edges`` tells of each anchor whether all windows that hold its seed count, or the outermost two.
     """
     reach, n = MINIMUM - SEED, len(data) - MINIMUM + 1
     hashes, positions = placed_anchors(data)
@@ -119,7 +118,7 @@ def _files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _anchored(spark: SparkSession, directory: str) -> DataFrame:
-    """``(file_id, hash, seeds, contexts)`` of each delivery that can share anything: one pass over the contents, written once for all that follows."""
+    """``(file_id, hash, seeds, lefts, rights)`` of each delivery that can share anything: one pass over the contents, written once for all that follows."""
 
     def seeds(columns):
         import hashlib
@@ -127,11 +126,12 @@ def _anchored(spark: SparkSession, directory: str) -> DataFrame:
         for file_id, content in zip(columns["file_id"], columns["content"]):
             digest = hashlib.sha256(content).digest()[:16]
             hashes, positions = placed_anchors(content)
-            around = _contexts(content, hashes, positions, int.from_bytes(digest[:8], "little"))
-            pairs = np.unique(np.stack([hashes, around]), axis=1) if len(hashes) else np.empty((2, 0), np.uint64)
-            yield file_id, digest, pairs[0].view(np.int64).tolist(), pairs[1].view(np.int64).tolist()
+            rows = np.stack([hashes, *_contexts(content, hashes, positions, int.from_bytes(digest[:8], "little"))])
+            if len(np.unique(hashes)) < len(hashes):
+                rows = np.unique(rows, axis=1)
+            yield file_id, digest, *(x.view(np.int64).tolist() for x in rows)
 
-    return checkpointed(scan(_files(spark, directory), seeds, "file_id bigint, hash binary, seeds array<bigint>, contexts array<bigint>"))
+    return checkpointed(scan(_files(spark, directory), seeds, "file_id bigint, hash binary, seeds array<bigint>, lefts array<bigint>, rights array<bigint>"))
 
 
 def _classes(anchored: DataFrame) -> DataFrame:
@@ -141,13 +141,17 @@ def _classes(anchored: DataFrame) -> DataFrame:
     return once.join(least, "hash").select("file_id", "class_id")
 
 
-def _windows(spark: SparkSession, directory: str, anchored: DataFrame, classes: DataFrame) -> DataFrame:
-    """``(key, second, file_id, first, last)``: windows of class representatives around anchors that several contents have."""
-    seeds = anchored.select("file_id", F.xxhash64("hash").alias("kind"), F.explode(F.arrays_zip("seeds", "contexts")).alias("s")).select("file_id", "kind", F.col("s.seeds").alias("seed"), F.col("s.contexts").alias("context"))
-    shared = (
-        seeds.groupBy("seed").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min("context").alias("least"), F.max("context").alias("most"))
-        .filter("low <> high").select("seed", (F.col("least") != F.col("most")).alias("edge"))
-    )
+def _windows(spark: SparkSession, directory: str, anchored: DataFrame, classes: DataFrame, extents: bool) -> DataFrame:
+    """``(key, second, file_id, first, last)``: windows of class representatives around anchors that several contents have.
+
+    Contents that agree on either side of an anchor are linked by the window of that side; all windows are needed where they agree on neither, and
+    for the ``extents`` of the spans wherever they disagree at all.
+    """
+    zipped = F.explode(F.arrays_zip("seeds", "lefts", "rights")).alias("s")
+    seeds = anchored.select("file_id", F.xxhash64("hash").alias("kind"), zipped).select("file_id", "kind", F.col("s.seeds").alias("seed"), F.col("s.lefts").alias("left"), F.col("s.rights").alias("right"))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("kind", "left", "right") for f in (F.min, F.max)]
+    left, right = (F.col(f"min_{c}") != F.col(f"max_{c}") for c in ("left", "right"))
+    shared = seeds.groupBy("seed").agg(*ends).filter("min_kind <> max_kind").select("seed", (left | right if extents else left & right).alias("edge"))
     own = seeds.select("file_id", "seed").join(shared, "seed").groupBy("file_id").agg(F.collect_set(F.struct("seed", "edge")).alias("held"))
     representatives = classes.filter("file_id = class_id").select("file_id")
     contents = _files(spark, directory).join(own.join(representatives, "file_id", "left_semi"), "file_id").dropDuplicates(["file_id"])
@@ -188,7 +192,7 @@ def _linked(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """Classes and distinct pairs ``(a, b)`` of class representatives that share a span."""
     anchored = _anchored(spark, directory)
     classes = checkpointed(_classes(anchored))
-    members, groups = _held_windows(_windows(spark, directory, anchored, classes))
+    members, groups = _held_windows(_windows(spark, directory, anchored, classes, extents=False))
     return classes, _pairs_within(members, ["key", "second"], groups)
 
 
@@ -218,7 +222,7 @@ def shares(spark: SparkSession, directory: str) -> DataFrame:
     """``(file_id, n_bytes, shared_bytes, share)``: how much of each file lies in spans that another file has too; empty files share 0.0."""
     anchored = _anchored(spark, directory)
     classes = checkpointed(_classes(anchored))
-    spans = _windows(spark, directory, anchored, classes)
+    spans = _windows(spark, directory, anchored, classes, extents=True)
     shared = spans.groupBy("key", "second").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).filter("low <> high").select("key", "second")
     ends = spans.join(shared, ["key", "second"], "left_semi").select(F.col("file_id").alias("class_id"), F.col("first").alias("s"), (F.col("last") + MINIMUM).alias("e"))
     order = Window.partitionBy("class_id").orderBy("s", "e")
