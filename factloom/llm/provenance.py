@@ -1,8 +1,8 @@
 """Generated, minified, vendored or data-only source files (problem 4).
 
 One Arrow pass gives each file its signs (path, notices, layout, literals, repetition) and the winnowed fingerprints of its normalized token
-stream.  Fingerprints that recur across many unrelated repositories make a file a vendored copy; their counts are aggregated per
-fingerprint with map-side combination, so no group is ever gathered.
+stream: hashes of GRAM consecutive tokens, comments and layout dropped.  A file is a vendored copy when RECURRING of its fingerprints occur in
+REPOSITORIES or more unrelated repositories.  Counting is exact and in steps that combine before their exchange, so no group is ever gathered.
 """
 
 from __future__ import annotations
@@ -13,13 +13,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.lexing import EXTENSION_LANGUAGE
-from factloom.llm.common import checkpointed, repository, scan
-from factloom.llm.shared_spans import anchors
+from factloom.functions.lexing import EXTENSION_LANGUAGE, tokens
+from factloom.llm.common import checkpointed, managed_language, repository, scan
+from factloom.llm.shared_spans import _window_minima
 from factloom.sources.tables import table
 
-#: Bytes of normalized tokens in a fingerprint, fingerprints of a window, repositories that make a fingerprint common, share of common ones.
-GRAM, WINDOW, REPOSITORIES, RECURRING = 160, 160, 5, 0.5
+#: Tokens of a fingerprint, fingerprints of a window, repositories that make a fingerprint common, share of common ones in a copy: files that were
+#: edited after they were taken over count as own work.
+GRAM, WINDOW, REPOSITORIES, RECURRING = 20, 20, 5, 0.9
+#: Repositories with so many files or more are related when their file sketches agree; the sketches, each the least hash over the files.
+SKETCHED_FILES, SKETCHES = 3, 8
+#: Lines of one shape that make a file a listing, and their share.
+REPEATED_LINES, REPEATED_SHARE = 9, 0.7
 
 #: Directory names that stand for outside code and for tool output.
 OUTSIDE_DIRECTORIES = frozenset(
@@ -29,7 +34,7 @@ GENERATED_DIRECTORIES = frozenset("gen generated _generated _autogen autogen aut
 
 _GENERATED = re.compile(
     r"@generated|\bauto-?generated\b|automatically (?:produced|generated|created)|\bgenerated (?:by|from|with|using|automatically)\b|machine[- ](?:made|generated)"
-    r"|\b(?:was|were) (?:written|created|produced|emitted) by \S+|\boutput of \w+|do not (?:edit|modify)(?: (?:this file|by hand|manually)\b|\s*[.!]|\s+--)|edits will be (?:lost|overwritten)"
+    r"|\b(?:was|were) (?:written|created|produced|emitted) by (?:\S*gen\b|\S*generator\b|\S+ v?\d+\.\d|\S+\.(?:py|sh|pl|rb|js)\b|an? (?:tool|script|program|generator)\b)|\boutput of \w+|do not (?:edit|modify)(?: (?:this file|by hand|manually)\b|\s*[.!]|\s+--)|edits will be (?:lost|overwritten)"
     r"|(?:automatisch|maschinell) (?:erzeugt|erstellt|generiert)|\berzeugt\b.*(?:überschrieben|nicht von hand)|nächsten lauf überschrieben"
     r"|自动生成|自動生成|générée? automatiquement|généré par|généré à partir|generado automáticamente|generado por|сгенерирован|создан автоматически|автоматически создан",
     re.I,
@@ -41,13 +46,28 @@ _OUTSIDE = re.compile(
     re.I | re.M,
 )
 _LEAD = re.compile(r"(?:\s*(?:#(?!\s*(?:include|define|ifndef|ifdef|if|pragma|endif|undef|else|error)\b)(?!!?\[)[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->))*")
-_TRAIL = re.compile(r"(?:^[ \t]*(?:#(?!\s*(?:include|define|ifndef|ifdef|if|pragma|endif|undef|else|error)\b)|//)[^\n]*\s*|/\*(?:[^*]|\*(?!/))*\*/\s*)+\Z", re.M)
+_COMMENT_START = re.compile(r"[ \t]*(?:#(?!\s*(?:include|define|ifndef|ifdef|if|pragma|endif|undef|else|error)\b)|//)")
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xXbBoO][\da-fA-F_']+|\d[\d_']*\.?\d*(?:[eE][-+]?\d+)?)(?:[uUlLfF]*|[iuf]\d+)(?!\w)")
 _LONG_STRING = re.compile(r"[\"'][A-Za-z0-9+/=\\]{40,}[\"']")
 _SHAPE = re.compile(r"0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?|(?<![A-Za-z])(?:get|set|has|is|put|add)(?=_)")
 _COMMENTS = re.compile(r"(?m)^[ \t]*(?://|#(?!\s*(?:include|define|if|endif|pragma|\[))).*\n?|/\*[\s\S]*?\*/")
 
 
+def _trailing(text: str, lead: int) -> int:
+    """Where the comments that end a file begin, however long they are; the length of the text when it ends in code."""
+    begin, end = len(text), len(text.rstrip())
+    while end > lead:
+        line = text.rfind("\n", 0, end) + 1
+        if text.endswith("*/", 0, end):
+            line = text.rfind("/*", lead, end)
+            if line < 0:
+                break
+        elif not _COMMENT_START.match(text, line, end):
+            break
+        begin, end = line, len(text[:line].rstrip())
+    return max(begin, lead)
+
+
 def signs(path: str, text: str) -> list[str]:
     """Reasons why a file is not hand-written source of its own project, from its path and text alone."""
     out = []
@@ -57,44 +77,74 @@ def signs(path: str, text: str) -> list[str]:
     if directories & GENERATED_DIRECTORIES or "/build/out/" in path:
         out.append("generated_directory")
     lead = _LEAD.match(text).end()
-    end = len(text.rstrip())
-    last = text[text.rfind("\n", 0, end) + 1 : end].lstrip()
-    tail = _TRAIL.search(text, max(lead, end - 1500)) if last[:1] == "#" or last[:2] in ("//", "/*") or last[-2:] == "*/" else None
-    for notice in (text[:lead], tail[0] if tail else ""):
+    tail = _trailing(text, lead)
+    for notice in (text[:lead], text[tail:]):
         if notice and _GENERATED.search(notice):
             out.append("generated_notice")
         if notice and _OUTSIDE.search(notice):
             out.append("outside_notice")
-    body = text[lead : tail.start() if tail else len(text)].strip()
-    if len(body) >= 150:
+    body = text[lead:tail].strip()
+    if body:
         lines = [x for x in body.split("\n") if x and not x.isspace()]
         dense = len("".join(body.split()))
         literal = sum(map(len, _LONG_STRING.findall(body)))
         if 1 - dense / len(body) < 0.1 and (len(body) / len(lines) > 160 or sorted(map(len, lines))[-max(1, len(lines) // 10)] > 500) and literal < 0.5 * dense:
             out.append("minified")
-        # the exact measures run only where digits or quoted runs, or repeated line beginnings, make them possible
-        if literal > 0.2 * dense or sum(map(body.count, "0123456789")) > 0.12 * dense:
-            numbers = literal + sum(map(len, _NUMBER.findall(body)))
-            if numbers > 0.5 * (len("".join(_COMMENTS.sub("", body).split())) or 1):
+        code = _COMMENTS.sub("", body)
+        solid = len("".join(code.split()))
+        # digits are at least a third of any number here, so fewer of them cannot make half of the code
+        if literal > 0.3 * solid or sum(map(code.count, "0123456789abcdefxABCDEFX_.")) > 0.2 * solid:
+            numbers = literal + sum(map(len, _NUMBER.findall(code)))
+            if numbers > 0.5 * (solid or 1):
                 out.append("data")
-        if len(lines) >= 12 and len({x.lstrip()[:3] for x in lines}) <= max(4, 0.15 * len(lines)):
+        if len(lines) >= REPEATED_LINES:
             shapes: dict[str, int] = {}
             for line in lines:
                 shape = _SHAPE.sub("0", line.strip())
                 shapes[shape] = shapes.get(shape, 0) + 1
             top = max(shapes, key=shapes.get)
-            if shapes[top] > 0.7 * len(lines) and len(top) > 8:
+            if shapes[top] >= REPEATED_LINES and shapes[top] > REPEATED_SHARE * len(lines) and len(top) > 8:
                 out.append("repetitive")
     return out
 
 
-_ALIKE = bytes(48 if 48 <= c < 58 else c for c in range(256))
+class _TokenHashes(dict):
+    """64-bit hash of a token's normal form: comments have none, blanks inside directives are alike."""
+
+    def __missing__(self, token: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        comment = token.startswith(("//", "/*")) and len(token) > 1
+        value = 0 if comment else xxh64_intdigest(" ".join(token.split())) | 1
+        if len(self) > 200_000:
+            self.clear()
+        if len(token) < 60:
+            self[token] = value
+        return value
+
+
+_hashes = _TokenHashes()
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprints(text: str) -> np.ndarray:
-    """Winnowed fingerprints of the token stream: comments and blanks dropped, digits alike, the minimum hash of each window."""
-    stream = _COMMENTS.sub("", text).encode("utf-8", "replace").translate(_ALIKE, b" \t\r\n\f\v")
-    return anchors(stream, GRAM + WINDOW - 1, GRAM)
+def fingerprints(text: str, language: str) -> np.ndarray:
+    """Winnowed fingerprints of the token stream: the least hash of each WINDOW of GRAM-token runs; a stream shorter than that has one in all."""
+    lexed = tokens(text, language)
+    if language == "python":
+        lexed = [t for t in lexed if t[0] != "#"]
+    stream = np.fromiter(map(_hashes.__getitem__, lexed), np.uint64, len(lexed))
+    stream = stream[stream != 0]
+    if not len(stream):
+        return np.empty(0, np.int64)
+    gram = min(GRAM, len(stream))
+    with np.errstate(over="ignore"):
+        grams = np.zeros(len(stream) - gram + 1, np.uint64)
+        for k in range(gram):
+            grams = grams * _BASE + stream[k : k + len(grams)]
+        grams ^= grams >> np.uint64(31)
+        grams *= np.uint64(0xD6E8FEB86659FD93)
+        grams ^= grams >> np.uint64(32)
+    return np.unique(_window_minima(grams, min(WINDOW, len(grams)))).view(np.int64)
 
 
 def profiled_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -109,11 +159,29 @@ def profiled_files(spark: SparkSession, directory: str) -> DataFrame:
     def per_slice(columns):
         for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
             text = (content or b"").decode("utf-8", "replace")
-            yield file_id, path, signs(path, text), fingerprints(text).tolist()
+            language = managed_language(path)
+            prints = fingerprints(text, language if language in ("python", "rust") else "cpp")
+            yield file_id, path, signs(path, text), prints.tolist()
 
     return scan(rows, per_slice, "file_id bigint, relative_path string, signs array<string>, prints array<bigint>")
 
 
+def _common(files: DataFrame, prints: DataFrame) -> DataFrame:
+    """Fingerprints that REPOSITORIES or more unrelated repositories have.
+
+    Repositories of SKETCHED_FILES or more different files are related as far as their SKETCHES agree, each being equal with the probability that
+    two repositories share a file: copies of one repository count once, and the least count over the sketches decides.
+    """
+    held = prints.select("print", "repo").distinct()
+    often = held.groupBy("print").agg(F.count(F.lit(1)).alias("repos")).filter(F.col("repos") >= REPOSITORIES).select("print")
+    different = files.filter(F.size("prints") > 0).select(repository().alias("repo"), F.xxhash64("prints").alias("stream")).distinct()
+    own = [F.xxhash64(F.lit(k), "repo") for k in range(SKETCHES)]
+    sketches = different.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), *[F.min(F.xxhash64(F.lit(k), "stream")).alias(f"s{k}") for k in range(SKETCHES)])
+    families = sketches.select("repo", *[F.when(F.col("files") >= SKETCHED_FILES, F.col(f"s{k}")).otherwise(own[k]).alias(f"s{k}") for k in range(SKETCHES)])
+    counted = held.join(often, "print", "left_semi").join(families, "repo").groupBy("print").agg(*[F.countDistinct(f"s{k}").alias(f"n{k}") for k in range(SKETCHES)])
+    return counted.filter(F.least(*[F.col(f"n{k}") for k in range(SKETCHES)]) >= REPOSITORIES).select("print")
+
+
 def flagged(spark: SparkSession, directory: str) -> DataFrame:
     """``(file_id, relative_path, signs)`` of every file that is not hand-written source; empty files have no signs.
 
@@ -122,15 +190,7 @@ def flagged(spark: SparkSession, directory: str) -> DataFrame:
     """
     files = checkpointed(profiled_files(spark, directory))
     prints = files.select("file_id", repository().alias("repo"), F.explode("prints").alias("print"))
-    # repositories are counted exactly, in two steps that both combine before their exchange
-    common = (
-        prints.select("print", "repo")
-        .distinct()
-        .groupBy("print")
-        .agg(F.count("*").alias("repos"))
-        .filter(F.col("repos") >= REPOSITORIES)
-        .select("print")
-    )
+    common = _common(files, prints)
     copies = (
         prints.join(common, "print", "left_semi")
         .groupBy("file_id")

@@ -157,3 +157,26 @@ def test_shared_spans(spark, tables, source_rows):
     assert found == expected
     shares = {r.file_id: r.shared_bytes for r in shared_spans.shares(spark, directory).collect()}
     assert shares[1] == 400 and shares[2] == 400 and shares[3] == 0 and shares[5] == 900 and shares[10] == len(files["b/0"]) and shares[7] == 0
+
+
+def test_copies_by_fingerprints_alone(spark, tables, source_rows):
+    """Copies are found without any path or notice, whatever their layout and comments; edited ones, and forks of one repository, are not."""
+    body = lambda word, n=12: "".join(f"int {word}_{j}(int alpha, int beta) {{\n    int gamma = alpha * {j} - beta;\n    return gamma + {word}_{j + 1}(beta);\n}}\n\n" for j in range(n))
+    files = {f"r{k}/src/copy{k}.c": (f"// file {k}\n" + body("shared").replace("\n    ", "\n" + " " * k + "    ")) for k in range(6)}
+    files |= {f"q{k}/src/edited.c": body("other", 6) + body(f"own_{k}", 6) for k in range(6)}
+    files |= {f"f{k}/src/{name}.c": body(name) for k in range(6) for name in ("one", "two", "three", "four")}
+    found = {r.file_id for r in provenance.found(spark, tables(source_documents=source_rows(files))).collect()}
+    assert found == set(range(1, 7))
+
+
+def test_signs_of_whole_files():
+    """Notices at the end count behind comments of any length; people are no tools; few lines can be data, none are a listing."""
+    text = "int f(void) { return 1; }\n"
+    assert provenance.signs("a/x.c", text + "// filler line of a comment\n" * 500 + "// @generated by toolgen\n") == ["generated_notice"]
+    assert provenance.signs("a/x.c", text + "/* " + "filler " * 1000 + "\n Upstream: other-lib 3.2 (synced as is) */\n\n") == ["outside_notice"]
+    assert provenance.signs("a/x.c", text + "/*\n * Upstream: other-lib 3.2 (synced as is)\n" + " * filler\n" * 900 + " */\n\n") == ["outside_notice"]
+    assert provenance.signs("a/x.py", "# This module was created by Bob in 2019\nx = 1\n") == []
+    assert provenance.signs("a/x.py", "# This module was created by beamgen 3.1\nx = 1\n") == ["generated_notice"]
+    assert "data" in provenance.signs("a/x.py", "T = [0x1f2e, 0x3d4c, 0x5b6a, 0x7988]\n")
+    listing = "".join(f"register_value({k * 7}, 'name');\n" for k in range(70)) + "".join(f"{c}_{c}({c});\n" for c in "abcdefghijklmnopqrst")
+    assert "repetitive" in provenance.signs("a/x.js", listing)
