@@ -8,8 +8,10 @@ REPOSITORIES or more unrelated repositories.  Counting is exact and in steps tha
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from factloom.sources.tables import table
 
 #: Tokens of a fingerprint, fingerprints of a window, repositories that make a fingerprint common, share of common ones in a copy: files that were
 #: edited after they were taken over count as own work.
-GRAM, WINDOW, REPOSITORIES, RECURRING = 20, 20, 5, 0.9
+GRAM, WINDOW, REPOSITORIES, RECURRING = 20, 40, 5, 0.9
 #: Repositories with so many files or more are related when their file sketches agree; the sketches, each the least hash over the files.
 SKETCHED_FILES, SKETCHES = 3, 8
 #: Lines of one shape that make a file a listing, and their share.
@@ -49,6 +51,7 @@ _LEAD = re.compile(r"(?:\s*(?:#(?!\s*(?:include|define|ifndef|ifdef|if|pragma|en
 _COMMENT_START = re.compile(r"[ \t]*(?:#(?!\s*(?:include|define|ifndef|ifdef|if|pragma|endif|undef|else|error)\b)|//)")
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xXbBoO][\da-fA-F_']+|\d[\d_']*\.?\d*(?:[eE][-+]?\d+)?)(?:[uUlLfF]*|[iuf]\d+)(?!\w)")
 _LONG_STRING = re.compile(r"[\"'][A-Za-z0-9+/=\\]{40,}[\"']")
+_OPEN_ENDS = frozenset("0123456789gshipa")
 _SHAPE = re.compile(r"0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?|(?<![A-Za-z])(?:get|set|has|is|put|add)(?=_)")
 _COMMENTS = re.compile(r"(?m)^[ \t]*(?://|#(?!\s*(?:include|define|if|endif|pragma|\[))).*\n?|/\*[\s\S]*?\*/")
 
@@ -92,16 +95,19 @@ def signs(path: str, text: str) -> list[str]:
             out.append("minified")
         code = _COMMENTS.sub("", body)
         solid = len("".join(code.split()))
-        # digits are at least a third of any number here, so fewer of them cannot make half of the code
-        if literal > 0.3 * solid or sum(map(code.count, "0123456789abcdefxABCDEFX_.")) > 0.2 * solid:
+        # digits are a third of a decimal number at least, and a hexadecimal one has 24 characters at most: fewer cannot make half of the code
+        if literal + 3 * sum(map(code.count, "0123456789")) + 24 * (code.count("0x") + code.count("0X")) > 0.5 * solid:
             numbers = literal + sum(map(len, _NUMBER.findall(code)))
             if numbers > 0.5 * (solid or 1):
                 out.append("data")
-        if len(lines) >= REPEATED_LINES:
+        # lines of one shape begin and end alike, but for numbers and the verbs that a shape leaves out
+        ends = Counter((x[0] if x[0] not in _OPEN_ENDS else "0") + ("0" if x[-1].isalnum() else x[-1]) for x in map(str.strip, lines))
+        if len(lines) >= REPEATED_LINES and max(ends.values()) > REPEATED_SHARE * len(lines):
             shapes: dict[str, int] = {}
-            for line in lines:
-                shape = _SHAPE.sub("0", line.strip())
-                shapes[shape] = shapes.get(shape, 0) + 1
+            for line in _SHAPE.sub("0", body).split("\n"):
+                shape = line.strip()
+                if shape:
+                    shapes[shape] = shapes.get(shape, 0) + 1
             top = max(shapes, key=shapes.get)
             if shapes[top] >= REPEATED_LINES and shapes[top] > REPEATED_SHARE * len(lines) and len(top) > 8:
                 out.append("repetitive")
@@ -112,10 +118,8 @@ class _TokenHashes(dict):
     """64-bit hash of a token's normal form: comments have none, blanks inside directives are alike."""
 
     def __missing__(self, token: str) -> int:
-        from xxhash import xxh64_intdigest
-
         comment = token.startswith(("//", "/*")) and len(token) > 1
-        value = 0 if comment else xxh64_intdigest(" ".join(token.split())) | 1
+        value = 0 if comment else xxhash.xxh64_intdigest(" ".join(token.split())) | 1
         if len(self) > 200_000:
             self.clear()
         if len(token) < 60:
@@ -125,6 +129,7 @@ class _TokenHashes(dict):
 
 _hashes = _TokenHashes()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def fingerprints(text: str, language: str) -> np.ndarray:
@@ -138,9 +143,8 @@ def fingerprints(text: str, language: str) -> np.ndarray:
         return np.empty(0, np.int64)
     gram = min(GRAM, len(stream))
     with np.errstate(over="ignore"):
-        grams = np.zeros(len(stream) - gram + 1, np.uint64)
-        for k in range(gram):
-            grams = grams * _BASE + stream[k : k + len(grams)]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(stream * np.cumprod(np.full(len(stream), _BASE, np.uint64)))])
+        grams = (sums[gram:] - sums[:-gram]) * np.cumprod(np.full(len(stream) - gram + 1, _INVERSE, np.uint64))
         grams ^= grams >> np.uint64(31)
         grams *= np.uint64(0xD6E8FEB86659FD93)
         grams ^= grams >> np.uint64(32)

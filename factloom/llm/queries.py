@@ -15,6 +15,8 @@ QUERIES = {
     "p5_found": docpairs.found,
     "p5_pairs": docpairs.pairs,
     "p6_found": licenses.licenses,
+    "p6_terms": licenses.terms,
+    "p6_repositories": licenses.repositories,
     "p7_found": shared_spans.found,
     "p7_shares": shared_spans.shares,
     "p7_links": shared_spans.links,

@@ -180,3 +180,34 @@ def test_signs_of_whole_files():
     assert "data" in provenance.signs("a/x.py", "T = [0x1f2e, 0x3d4c, 0x5b6a, 0x7988]\n")
     listing = "".join(f"register_value({k * 7}, 'name');\n" for k in range(70)) + "".join(f"{c}_{c}({c});\n" for c in "abcdefghijklmnopqrst")
     assert "repetitive" in provenance.signs("a/x.js", listing)
+
+
+GPL = [("GPL-2.0", "General Public Terms", "2.0", "", "x"), ("GPL-3.0", "General Public Terms", "3.0", "", "x"), ("MIT", "MIT Grant", None, "", "x"), ("LGPL-2.1", "Lesser Public Terms", "2.1", "", "x"), ("GPL-2.0 WITH Linking-exception", None, None, "", "x")]
+
+
+def test_licence_statements():
+    matcher = licenses.Matcher([row[:4] for row in GPL])
+    read = lambda text: matcher.read(text)[:2]
+    assert read("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0") == (["GPL-2.0"], False)
+    assert matcher.read("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0").exceptions == ["classpath 2"]
+    assert read("GPL-2.0 WITH Linking-exception") == (["GPL-2.0 WITH Linking-exception"], False)
+    later = matcher.read("SPDX-License-Identifier: GPL-2.0-or-later")
+    assert later.stated == ["GPL-2.0"] and later.allowed == ["GPL-2.0", "GPL-3.0"] and matcher.read("GPL-2.0+").allowed == ["GPL-2.0", "GPL-3.0"] and matcher.read("GPL-2.0-only").allowed == ["GPL-2.0"]
+    assert read("GPL-2.0 OR LGPL-2.1") == (["GPL-2.0", "LGPL-2.1"], True) and read("GPL-2.0 AND LGPL-2.1") == (["GPL-2.0", "LGPL-2.1"], False)
+    assert read("GPL-2.0-or-later OR LGPL-2.1") == (["GPL-2.0", "LGPL-2.1"], True) and read("GPL-2.0 or later and LGPL-2.1") == (["GPL-2.0", "LGPL-2.1"], False)
+    assert read("either the General Public Terms version 2, or (at your option) the Lesser Public Terms 2.1") == (["GPL-2.0", "LGPL-2.1"], True)
+    assert read("this is not GPL-2.0") == ([], False) and read("no longer under the terms of the GPL-2.0, but LGPL-2.1") == (["LGPL-2.1"], False) and read("formerly GPL-2.0") == ([], False)
+    assert read("GPLv2") == (["GPL-2.0"], False) and read("GPL v3.0") == (["GPL-3.0"], False) and read("GPL") == ([], False) and read("") == ([], False)
+
+
+def test_licence_choices_and_repositories(spark, tables, source_rows):
+    files = {
+        "a/LICENSE": "General Public Terms 3.0", "a/w.c": "// GPL-2.0 OR GPL-3.0\nint x;\n", "a/x.c": "// GPL-2.0-or-later\nint x;\n", "a/y.c": "// GPL-2.0 OR LGPL-2.1\nint x;\n", "a/z.c": "int x;\n",
+        "b/x.c": "// LGPL-2.1 OR GPL-2.0\nint x;\n", "b/y.c": "// LGPL-2.1 AND GPL-2.0\nint x;\n", "b/z.c": "int x;\n",
+    }
+    directory = tables(source_documents=source_rows(files), license_catalog=GPL)
+    found = {(r.repo, r.file_id): r.license_id for r in licenses.licenses(spark, directory).collect()}
+    assert found == {("a", -1): "GPL-3.0", ("a", 2): "GPL-3.0", ("a", 3): "GPL-2.0", ("a", 4): "conflict", ("a", 5): "GPL-3.0", ("b", -1): "unknown", ("b", 6): "LGPL-2.1", ("b", 7): "conflict", ("b", 8): "unknown"}
+    repositories = {r.repo: tuple(r)[1:] for r in licenses.repositories(spark, directory).collect()}
+    assert repositories == {"a": ("GPL-3.0", 4, 2, 1, 1, 0, 2), "b": ("unknown", 3, 1, 1, 1, 1, 1)}
+    assert {r.file_id: (r.stated, r.choice) for r in licenses.terms(spark, directory).collect()}[7] == ("LGPL-2.1 GPL-2.0", False)
