@@ -42,29 +42,35 @@ class Tokens:
 
     def __init__(self, text: str, language: str):
         self.text = flattened(text, language)
-        self.all: list[tuple[str, int, int]] = [(m[1], m.start(1), m.end(1)) for m in TOKEN[language].finditer(self.text)]
-        c = language != "rust"
-        self.comments, self.directives, code = [], [], []
-        for token in self.all:
-            head = token[0][:2]
-            if head in ("//", "/*"):
-                self.comments.append(token)
-            elif c and head[:1] == "#" and token[0] != "##":
-                self.directives.append(token)
-            elif token[0] != "\\":
-                code.append(token)
-        self.word = [t[0] for t in code]
-        self.start = [t[1] for t in code]
-        self.stop = [t[2] for t in code]
+        self.lexed: list[str] = []
+        self.comments: list[tuple[str, int, int]] = []
+        self.directives: list[tuple[str, int, int]] = []
+        self.word: list[str] = []
+        self.start: list[int] = []
         self.pair: dict[int, int] = {}
-        stack: list[int] = []
-        for k, w in enumerate(self.word):
-            if w in _PAIR:
-                stack.append(k)
-            elif w in _CLOSE and stack:
-                self.pair[stack.pop()] = k
+        rust, stack, word, start, lexed = language == "rust", [], self.word, self.start, self.lexed
+        for m in TOKEN[language].finditer(self.text):
+            w, end = m[1], m.end()
+            lexed.append(w)
+            first = w[0]
+            if first == "/" and w[1:2] in ("/", "*") and len(w) > 1:
+                self.comments.append((w, end - len(w), end))
+                continue
+            if first == "#" and not rust and w != "##":
+                self.directives.append((w, end - len(w), end))
+                continue
+            if first in "([{":
+                stack.append(len(word))
+            elif first in ")]}":
+                if stack:
+                    self.pair[stack.pop()] = len(word)
+            elif first == "\\":
+                continue
+            word.append(w)
+            start.append(end - len(w))
         for k in stack:
-            self.pair[k] = len(self.word)
+            self.pair[k] = len(word)
+        self.stop = [a + len(w) for a, w in zip(start, word)]
 
     def get(self, k: int) -> str:
         return self.word[k] if 0 <= k < len(self.word) else ""
@@ -99,11 +105,8 @@ class Tokens:
         return k
 
 
-_IDENT = re.compile(r"[^\W\d]\w*$|r#\w+$")
-
-
 def _is_name(word: str) -> bool:
-    return bool(_IDENT.match(word))
+    return word.isidentifier() or word[:2] == "r#" and len(word) > 2
 
 
 # ------------------------------------------------------------------------------------------------------------------ C family
@@ -140,8 +143,8 @@ class _Declarator:
 class CReader:
     """Names and documentation subjects of a C or C++ file."""
 
-    def __init__(self, text: str, language: str):
-        self.t = Tokens(text, language)
+    def __init__(self, text: str, language: str, tokens: Tokens | None = None):
+        self.t = tokens or Tokens(text, language)
         self.cpp = language == "cpp"
         self.names: list[tuple[int, str, str]] = []
         self.subjects: list[Declared] = []
@@ -886,8 +889,8 @@ _ROLES = {"struct": "type", "enum": "type", "union": "type", "trait": "type", "t
 class RustReader:
     """Names and documentation subjects of a Rust file."""
 
-    def __init__(self, text: str):
-        self.t = Tokens(text, "rust")
+    def __init__(self, text: str, tokens: Tokens | None = None):
+        self.t = tokens or Tokens(text, "rust")
         self.names: list[tuple[int, str, str]] = []
         self.subjects: list[Declared] = []
         self.uses: list[tuple[int, int, int]] = []  # token range of each use tree, and the block it stands in

@@ -577,7 +577,7 @@ def _python_problem(text: str) -> str | None:
     return reason.replace("\n", " ") or None
 
 
-def analyse(content: bytes | None, language: str | None, lex_python: bool = True) -> tuple[str | None, str, list[str]]:
+def analyse(content: bytes | None, language: str | None, lex_python: bool = True, lexer=tokens) -> tuple[str | None, str, list[str]]:
     """``(problem, text, tokens)`` of one file: why it is no valid program (``None`` when it is), its text and its tokens.
 
     A null content or language is not judged: ``(None, "", [])``.  Bytes that are no UTF-8 give no text.
@@ -590,7 +590,7 @@ def analyse(content: bytes | None, language: str | None, lex_python: bool = True
         return "source is not valid UTF-8", "", []
     if text[:1] == "\ufeff":
         text = text[1:]
-    lexed = tokens(text, language) if lex_python or language != "python" else []
+    lexed = lexer(text, language) if lex_python or language != "python" else []
     problem = _python_problem(text) if language == "python" else _braced_problem(lexed, language)
     if problem and re.search(r"^<{7}", text, re.M) and _CONFLICT.search(text):
         problem = "merge conflict marker"
