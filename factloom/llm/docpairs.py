@@ -1,19 +1,20 @@
 """Functions paired with their documentation (problem 5).
 
-Python goes through the interpreter's syntax tree.  Rust, C and C++ files are masked (comments and literals blanked at equal length) and
-each documentation carrier is followed over attributes and template lines to the declaration it is attached to.
+Python goes through the interpreter's syntax tree.  Rust, C and C++ go through the declaration readers, which visit every function node of a file
+and give its exact source range; documentation comments and attributes directly above a declaration are attached to it.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.functions.declarations import CReader, RustReader, Tokens, doc_attributes
 from factloom.functions.grammar import analyse
-from factloom.functions.lexing import flatten_raw_strings
 from factloom.llm.common import keep_header_language, managed_files, scan, variants
 
 _SCHEMA = "file_id bigint, relative_path string, language string, fn_line bigint, fn_name string, documentation string, code string"
@@ -58,140 +59,88 @@ def _python(text: str):
             stack.extend(getattr(node, field, ()) if isinstance(getattr(node, field, None), list) else ())
 
 
-_MASK = {
-    "rust": re.compile(r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/)*\*/|(?<!\w)[bc]?r(#*)\"[\s\S]*?\"\1|[bc]?\"(?:[^\"\\]|\\[\s\S])*\"|b?'(?:[^'\\\n]|\\(?:x..|u\{[^}']*\}|.))'"),
-    "c": re.compile(r"//(?:[^\n\\]|\\(?:\r?\n|.)|\\$)*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|(?<![0-9A-Fa-f])'(?:[^'\\\n]|\\.)+'"),
-}
-_BLANK = re.compile(r"[^\n]")
-_RUST_FN = re.compile(r"(?:pub\b\s*(?:\([^)]*\))?\s*)?(?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"\n]*\")?+)(?!\w)\s*)*fn\s+((?:r#)?\w+)")
-_ATTRIBUTE = re.compile(r"\s*(?:#!?\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\]|\[\[[^\]]*\]\]|__attribute__\s*\(\((?:[^()]|\([^()]*\))*\)\)|__declspec\s*\([^)]*\)|alignas\s*\([^)]*\))")
-_TEMPLATE = re.compile(r"\s*template\s*<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>(?:\s*requires\s+[\w:<>,\s]+?(?=\n))?")
-_C_HEAD = re.compile(r"\s*(?:extern\s*\"[^\"\n]*\"\s*)?((?:[\w:~*&,\s]|(?><(?:[^<>;{}]|<(?:[^<>;{}]|<[^<>;{}]*>)*>)*>|[<>])|\[\[[^\]]*\]\])*?)((?:\w+\s*::\s*)*~?[^\W\d]\w*|operator\s*[^\s\w(]{1,3})\s*\(")
-#: Words before a parenthesis that declare no function.
-_C_NOT = frozenset("if for while switch return sizeof catch typedef using struct class union enum namespace define do else case throw new delete goto static_assert alignof decltype __attribute__".split())
-_DOC_ATTRIBUTE = re.compile(r"#\[\s*doc\s*=\s*(r?#*\"[\s\S]*?\"#*)\s*\]")
-
-
 def _strip_block(comment: str) -> str:
     body = comment[3:-2]
     return "\n".join(re.sub(r"^[ \t]*\*?[ \t]?", "", line) if k else line.strip() for k, line in enumerate(body.split("\n"))).strip()
 
 
-def _carriers(text: str, language: str):
-    """Yield ``(end, kind, text)`` of documentation comments in source order and the masked text with ordinary comments marked."""
-    masked, docs, last = [], [], 0
-    for m in _MASK[language].finditer(text):
-        token = m[0]
-        masked.append(text[last : m.start()])
-        last = m.end()
-        doc = None
-        if token.startswith("///") and not token.startswith("////"):
-            doc = token[3:]
-        elif language == "c" and token.startswith("//!"):
-            doc = token[3:]
-        elif token.startswith("/**") and not token.startswith("/***") and len(token) > 4 or (language == "c" and token.startswith("/*!") and len(token) > 4):
-            doc = _strip_block(token)
-        if doc is not None and language == "c" and re.match(r"/(?://|\*\*|\*!|/!)<", token):
-            doc = None
-        if doc is not None:
-            docs.append((m.start(), m.end(), doc))
-            masked.append(_BLANK.sub(" ", token))
-        elif token.startswith(("//", "/*")):
-            masked.append(_BLANK.sub("\x01", token))
-        else:
-            masked.append('"' + _BLANK.sub(" ", token[1:-1]) + '"' if len(token) > 1 else token)
-    masked.append(text[last:])
-    return "".join(masked), docs
-
-
-def _braced(text: str, language: str):
+_BEHIND = re.compile(r"/(?://|\*\*|\*!|/!)<")
+
+
+def _doc_comment(token: str, rust: bool) -> str | None:
+    """Text of a documentation comment that stands before what it documents, ``None`` for any other comment."""
+    if not rust and _BEHIND.match(token):
+        return None
+    if token.startswith("///") and not token.startswith("////") or (not rust and token.startswith("//!")):
+        return token[3:]
+    if len(token) > 4 and (token.startswith("/**") and token[3] != "*" or (not rust and token.startswith("/*!"))):
+        return _strip_block(token)
+    return None
+
+
+def _braced(text: str, language: str, tokens: Tokens):
+    """Documented functions of the declaration tree: comments and attributes in a row above a declaration, or between its attributes."""
     rust = language == "rust"
-    if not rust:
-        text = flatten_raw_strings(text) if language == "cpp" else text
-    masked, docs = _carriers(text, "rust" if rust else "c")
+    carriers = [(start, end, _doc_comment(token, rust)) for token, start, end in tokens.comments]
     if rust:
-        for m in re.finditer(r"#\[\s*doc\s*=", masked):
-            a = _DOC_ATTRIBUTE.match(text, m.start())
-            if a:
-                from factloom.llm.languages import literal_text
-
-                docs.append((a.start(), a.end(), literal_text(a[1])))
-        docs.sort()
-    k = 0
-    while k < len(docs):
-        start, end, body = docs[k]
-        parts = [body.strip()]
-        k += 1
-        # neighbouring carriers and attributes between them are one documentation
-        while True:
-            while (a := _ATTRIBUTE.match(masked, end)) and not (rust and _DOC_ATTRIBUTE.match(text, a.end() - len(a[0].lstrip()))):
-                end = a.end()
-            if k < len(docs) and docs[k][0] >= end and not masked[end : docs[k][0]].strip() and masked.count("\n", end, docs[k][0]) <= 1:
-                parts.append(docs[k][2].strip())
-                end = docs[k][1]
-                k += 1
-            else:
-                break
-        if not rust:
-            while (t := _TEMPLATE.match(masked, end)) or (t := _ATTRIBUTE.match(masked, end)):
-                end = t.end()
-        gap = re.compile(r"\s*").match(masked, end).end()
-        if masked.count("\n", end, gap) > 1 and not rust:
+        carriers = sorted(carriers + [(start, end, body) for start, end, body in doc_attributes(tokens)])
+    if all(body is None for _, _, body in carriers):
+        return
+    reader = RustReader(text, tokens) if rust else CReader(text, language, tokens)
+    starts = [c[0] for c in carriers]
+    for s in reader.subjects:
+        if s.kind != "callable" or (s.fixed and s.name.startswith("operator")):
             continue
-        if rust:
-            head = _RUST_FN.match(masked, gap)
-            if not head:
-                continue
-            name, at = head[1].removeprefix("r#"), head.start(1)
-        else:
-            head = _C_HEAD.match(masked, gap)
-            if not head or "\x01" in head[0]:
-                continue
-            before = head[1].split()
-            name = head[2].split("::")[-1].strip()
-            if name in _C_NOT or (before and (before[0] in _C_NOT - {"struct", "class", "union", "enum"} or "=" in head[1])) or re.match(r"operator(?!\w)", name) or "operator" in before:
-                continue
-            if not before and not name.startswith("~") and "::" not in head[2] and not re.match(r"[A-Z]", name) and language == "c":
-                continue
-            depth, p = 1, head.end()
-            while p < len(masked) and depth:
-                depth += {"(": 1, ")": -1}.get(masked[p], 0)
-                p += 1
-            rest = masked[p : p + 200].lstrip()
-            if not re.match(r"[{;:]|const\b|noexcept\b|override\b|final\b|->|__attribute__|=\s*(?:0|default|delete)|try\b|requires\b|&|\[\[|volatile\b|throw\b", rest) or re.match(r"\s*\*", masked[head.end() :]):
-                continue
-            at = head.start(2) + len(head[2]) - len(head[2].split("::")[-1].lstrip())
-        stop = masked.find(";", at)
-        brace = masked.find("{", at)
-        if brace >= 0 and (stop < 0 or brace < stop):
-            depth, stop = 0, brace
-            for b in re.compile(r"[{}]").finditer(masked, brace):
-                depth += 1 if b[0] == "{" else -1
-                if not depth:
-                    stop = b.start()
-                    break
-        yield text.count("\n", 0, at) + 1, name, "\n".join(parts).strip(), text[gap : stop + 1]
-
-
-def documented_functions(text: str, language: str):
+        parts: list[str] = []
+        edge = s.begin
+        if rust:  # carriers among the attributes
+            for start, end, body in carriers[bisect.bisect_left(starts, s.begin) : bisect.bisect_left(starts, s.head)]:
+                if body is None:
+                    parts = []
+                else:
+                    parts.append(body.strip())
+        first = bisect.bisect_left(starts, s.begin) - 1
+        while first >= 0:
+            start, end, body = carriers[first]
+            between = text[end:edge]
+            if body is None or between.strip() or between.count("\n") > 1 and not (rust and edge == s.begin):
+                break
+            parts.insert(0, body.strip())
+            edge, first = start, first - 1
+        if parts:
+            yield text.count("\n", 0, s.at) + 1, s.name.removeprefix("r#"), "\n".join(parts).strip(), text[s.head if rust else s.begin : s.end]
+
+
+def documented_functions(text: str, language: str, tokens: Tokens | None = None):
     """``(fn_line, fn_name, documentation, code)`` of each function of a valid file whose documentation says something."""
-    for line, name, documentation, code in _python(text) if language == "python" else _braced(text, language):
+    for line, name, documentation, code in _python(text) if language == "python" else _braced(text, language, tokens or Tokens(text, language)):
         if not is_trivial(documentation, name):
             yield line, name, documentation, code
 
 
+def _documented(columns: dict[str, list]):
+    """Rows of :data:`_SCHEMA`; a file is lexed once for the check of its grammar and the reading of its declarations."""
+    for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
+        read: list[Tokens] = []
+
+        def lexer(text, language):
+            # the two languages of a header differ in raw strings alone
+            if not read or 'R"' in text:
+                read[:] = [Tokens(text, language)]
+            return read[0].lexed
+
+        for language in variants(path):
+
+            problem, text, _ = analyse(content, language, lex_python=False, lexer=lexer)
+            if problem is None and text:
+                for line, name, documentation, code in documented_functions(text, language, read[0] if read else None):
+                    yield file_id, path, language, line, name, documentation, code
+
+
 def pairs(spark: SparkSession, directory: str) -> DataFrame:
     """``(file_id, relative_path, fn_line, fn_name, documentation, code)`` once per function; damaged, empty and null files give none."""
 
-    def per_slice(columns):
-        for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
-            for language in variants(path):
-                problem, text, _ = analyse(content, language, lex_python=False)
-                if problem is None and text:
-                    for line, name, documentation, code in documented_functions(text, language):
-                        yield file_id, path, language, line, name, documentation, code
-
-    rows = keep_header_language(scan(managed_files(spark, directory), per_slice, _SCHEMA), spark, directory)
+    rows = keep_header_language(scan(managed_files(spark, directory), _documented, _SCHEMA), spark, directory)
     return rows.drop("language").dropDuplicates(["file_id", "fn_line", "fn_name"])
 
 
@@ -199,12 +148,7 @@ def found(spark: SparkSession, directory: str) -> DataFrame:
     """``p5_found(file_id, fn_line, fn_name)``: the pairs without their texts, which are pruned before the only shuffle."""
 
     def per_slice(columns):
-        for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
-            for language in variants(path):
-                problem, text, _ = analyse(content, language, lex_python=False)
-                if problem is None and text:
-                    for line, name, _, _ in documented_functions(text, language):
-                        yield file_id, path, language, line, name
+        return ((*row[:5],) for row in _documented(columns))
 
     rows = scan(managed_files(spark, directory), per_slice, "file_id bigint, relative_path string, language string, fn_line bigint, fn_name string")
     return keep_header_language(rows, spark, directory).select("file_id", "fn_line", "fn_name").distinct()

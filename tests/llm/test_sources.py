@@ -211,3 +211,14 @@ def test_licence_choices_and_repositories(spark, tables, source_rows):
     repositories = {r.repo: tuple(r)[1:] for r in licenses.repositories(spark, directory).collect()}
     assert repositories == {"a": ("GPL-3.0", 4, 2, 1, 1, 0, 2), "b": ("unknown", 3, 1, 1, 1, 1, 1)}
     assert {r.file_id: (r.stated, r.choice) for r in licenses.terms(spark, directory).collect()}[7] == ("LGPL-2.1 GPL-2.0", False)
+
+
+def test_documentation_of_unusual_heads():
+    """Comments and line breaks before a body, returned function pointers, attributes and templates on the way; no macros, operators or objects."""
+    found = lambda text, language: [f[:2] for f in docpairs.documented_functions(text, language)]
+    body = "/** Adds both given numbers */\nint add(int a, int b) /* note */" + "\n" * 300 + "{ return a + b; }\n"
+    assert found(body, "c") == found(body, "cpp") == [(2, "add")]
+    assert found("/** Gives what is called later */\nint (*later(int x))(char);\n/** Counts up to the end */\nCOUNT_TO(end);\n/** Holds what is called */\nint (*held)(char);\n/** Names the kind of it */\ntypedef int (*kind)(char);\n", "c") == [(2, "later")]
+    assert found("struct A {\n/// Tells whether it is set\noperator bool() const;\n/// Adds two of a kind\nA operator+(A);\n/// Makes one of a number\nexplicit A(int x) : b{x} {}\n/// Frees all that it holds\n~A();\n};\n", "cpp") == [(7, "A"), (9, "~A")]
+    assert found("/// Keeps it below the bound\ntemplate <typename T, int N = (3 > 2)>\n[[nodiscard]] auto keep(T x) -> std::vector<T>;\n\n/// Far above\n\nint far(int x);\n", "cpp") == [(3, "keep")]
+    assert found('/// Adds both given numbers\n#[cfg(x)]\n#[doc = r#"and says so"#]\npub const unsafe extern "C" fn add(a: u8) {}\nfn outer() {\n    /// Works on the inside\n    fn inner() {}\n}\nm! {\n    /// Is only a pattern\n    fn none() {}\n}\n', "rust") == [(4, "add"), (7, "inner")]
