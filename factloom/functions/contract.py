@@ -129,6 +129,6 @@ def _contract_ok(language, head, sections, params, shape, template, effect, unsa
                 return False
             if shape == "Never" and not (language == "rust" and len(content) == 1 and text == NEVER_RETURNS):
                 return False
-        elif text == "None":
+        elif text == "None" or (heading == "效果：" and empty):
             return False
     return True

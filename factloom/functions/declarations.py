@@ -72,6 +72,11 @@ class Tokens:
             self.pair[k] = len(word)
         self.stop = [a + len(w) for a, w in zip(start, word)]
 
+    @property
+    def all(self) -> list[tuple[str, int, int]]:
+        """Every token in source order, comments and directives included."""
+        return sorted([*self.comments, *self.directives, *zip(self.word, self.start, self.stop)], key=lambda t: t[1])
+
     def get(self, k: int) -> str:
         return self.word[k] if 0 <= k < len(self.word) else ""
 
@@ -741,7 +746,7 @@ class CReader:
                 elif role == "variable" and self.cpp and kind == "class" and access == "private" and "static" not in words:
                     role = "private_member"
                 self.name(d.name, role)
-                if kind == "class" and not self.cpp:
+                if kind == "class":
                     self.subjects.append(Declared(d.spelled, t.start[d.name], t.start[begin], t.stop[t.until(k, end, _COMMA_END) - 1], "item"))
             if k < end and t.word[k] == ":" and kind == "class":
                 k = t.until(k, end, frozenset(",;={"))
@@ -893,7 +898,7 @@ class RustReader:
         self.t = tokens or Tokens(text, "rust")
         self.names: list[tuple[int, str, str]] = []
         self.subjects: list[Declared] = []
-        self.uses: list[tuple[int, int, int]] = []  # token range of each use tree, and the block it stands in
+        self.uses: list[tuple[int, int, int, int]] = []  # offset of each use declaration, token range of its tree, and the block it stands in
         self.items(0, len(self.t.word), "", False, 0)
         self.names.sort(key=lambda n: n[0])
         self.subjects.sort(key=lambda s: s.at)
@@ -939,7 +944,7 @@ class RustReader:
         if w == "use":
             stop = t.until(k, end, frozenset(";"))
             self.use_tree(k + 1, stop)
-            self.uses.append((k + 1, stop, block))
+            self.uses.append((t.start[k if self.head < 0 else begin], k + 1, stop, block))
             if public:
                 self.subjects.append(Declared(" ".join(t.word[k + 1 : stop]), t.start[k], t.start[begin], t.stop[stop - 1], "item", public=True))
             return stop + 1

@@ -254,7 +254,7 @@ def _rust_rules() -> dict:
     ctl, leaf = "Q", expr
     where = rf"(?:W(?:[^;{any_b[1:-1]}])*)?"
     fn = rf"(?:(?:C|u|Xs?)*f[i]{gen}?{p_param}(?:A{ty})?{where}(?:{b_block}|;))"
-    use = rf"(?:U@?(?:(?:[ik]@)*(?:[ik](?:a[i_])?|\*|{b_use}));)"
+    use = rf"(?:U@?(?:(?:\$?[ik]@)*(?:\$?[ik](?:a[i_])?|\*|{b_use}));)"
     bounds = rf"(?::(?:[^;=<{any_b[1:-1]}]|{gen})*)?"
     item = rf"(?>{attr}*{vis}(?:{fn}|{use}|(?:Cq?|Tq?)[i_]:{ty}(?:={expr})?;|S[i]{gen}?{where}(?:{b_fields}|{p_type}{where};|;)|E[i]{gen}?{where}{b_variants}|u?I{gen}?!?{ty}(?:r{ty})?{where}{b_items}|u?Ri{gen}?{bounds}{where}{b_items}|Mi(?:;|{b_items})|Yi{gen}?{bounds}(?:={ty})?{where};|Xki(?:a[i_])?;|u?Xs?{b_items}|{path}!i?(?:{any_b}|{any_p};|{any_k};)))"
     let = rf"(?:{attr}*l{pat}(?::{ty})?(?:={expr}(?:e{b_block})?)?;)"
@@ -265,7 +265,7 @@ def _rust_rules() -> dict:
     arm = rf"{attr}*{pat}(?:h(?:l{pat}=)?{leaf})?F"
     lit = rf"{attr}*(?:[in](?::{expr})?|t{expr}?)"
     plit = rf"{attr}*(?:[in]:{pat}|q*i|t)"
-    use_item = rf"(?:[ik]@)*(?:[ik](?:a[i_])?|\*|{b_use})"
+    use_item = rf"@?(?:\$?[ik]@)*(?:\$?[ik](?:a[i_])?|\*|{b_use})"
     param = rf"{attr}*(?:&?L?q?i|q?i:{ty}|&?Lq?i|{pat}:{ty}|t|{ty})"
     paren = [
         rf"(?:{expr}(?:,{expr})*,?)?",

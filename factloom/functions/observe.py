@@ -12,8 +12,9 @@ import re
 import warnings
 
 from factloom.functions import prose
-from factloom.functions.grammar import syntax_problem
-from factloom.functions.lexing import TOKEN, flatten_raw_strings
+from factloom.functions.declarations import CReader, Declared, RustReader, Tokens, doc_attributes
+from factloom.functions.grammar import analyse, damage_offset
+from factloom.functions.lexing import TOKEN
 from factloom.functions.prose import natural_key
 
 FIELDS = ("fact", "line", "column_no", "subject", "role", "body", "detail")
@@ -171,6 +172,8 @@ def _python(text: str, at):
                 name(child, child.name, "variable")
             elif isinstance(child, (ast.MatchAs, ast.MatchStar)) and child.name:
                 name(child, child.name, "variable")
+            elif isinstance(child, ast.MatchMapping) and child.rest:
+                name(child, child.rest, "variable")
             elif isinstance(child, (ast.Import, ast.ImportFrom)):
                 for a in child.names:
                     if a.asname:
@@ -262,75 +265,6 @@ def _python_imports(tree):
 
 # -------------------------------------------------------------------------------------------------- Rust, C and C++
 
-_RUST_ITEM = re.compile(
-    r"(?P<vis>pub(?:\s*\([^)]*\))?\s+)?(?P<unsafe>(?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*)(?P<kw>fn|struct|enum|union|trait|type|mod|static|const|macro_rules!)\s+(?:mut\s+)?(?P<name>(?:r#)?[^\W\d]\w*)"
-)
-_RUST_LIFE = re.compile(r"(?P<life>'[a-z_]\w*)(?=\s*[,:>])")
-_RUST_PATTERN = re.compile(r"\b(?P<let>let)\s|\b(?P<for>for)\s|\b(?P<match>match)\b|(?:(?<=[=(,{;\[:>&])|\bmove\b|\breturn\b)\s*(?P<closure>\|)(?!\|)(?P<params>[^|;{}]*)\|")
-_PATTERN_MARK = re.compile(r"::|\.\.=|=>|[-=!<>+*/%^&|]=|->|[()\[\]{}:=;,]|\b(?:in|if)\b")
-_BINDING = re.compile(r"(?<![\w'.#\"])(?<!::)(?P<name>(?:r#)?[a-z_]\w*)(?!\w|\s*(?:::|[({!]|:(?!:)))")
-_NOT_BINDINGS = frozenset("_ ref mut box true false self super crate const".split())
-_RUST_PARAM = re.compile(r"(?:^|,)\s*(?:#\[[^\]]*\]\s*)*(?:mut\s+)?(?P<name>(?:r#)?[a-z_]\w*)\s*:")
-_FIELD = re.compile(r"(?:^|[,{])\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?P<name>(?:r#)?[a-z_]\w*)\s*:(?!:)")
-_C_NAME = re.compile(r"\b(?P<kw>struct|union|enum|class|namespace)\s+(?:class\s+)?(?P<name>[^\W\d]\w*)\s*(?=[{:;])|#\s*define\s+(?P<macro>\w+)|\busing\s+(?P<alias>\w+)\s*=|\btypedef\b[^;{}]*?\b(?P<typedef>\w+)\s*(?:\[[^\]]*\])?;|\b(?:typename|class)\s+(?P<tparam>\w+)(?=\s*[,>=])")
-_C_DECL = re.compile(
-    r"(?:^|(?<=[;{}(,]))\s*(?P<spec>(?:(?:const|static|inline|extern|volatile|register|constexpr|mutable|virtual|explicit|unsigned|signed|long|short|struct|enum|union)\s+)*(?:[A-Za-z_]\w*(?:::\w+)*(?:<[^;{}()]*>)?))(?P<ptr>[\s*&]+(?:const\s+)?)(?P<name>[A-Za-z_]\w*)\s*(?P<next>\[[^\]]*\]|\(|=|;|,|\)|\{|:(?!:))"
-)
-_NOT_TYPES = frozenset("return else goto case new delete throw using namespace typedef sizeof if while for switch do public private protected template operator break continue default".split())
-
-
-def _masked(text: str, language: str):
-    """Text with comments and literals blanked at equal length, and the documentation carriers."""
-    source = flatten_raw_strings(text) if language == "cpp" else text
-    out, docs, at = [], [], 0
-    tokens = []
-    for m in TOKEN[language].finditer(source):
-        token, start = m[1], m.start(1)
-        tokens.append((token, start, m.end(1)))
-        if token.startswith(("//", "/*")):
-            out.append(source[at:start])
-            out.append(re.sub(r"[^\n]", " ", token))
-            at = m.end(1)
-            rust_doc = language == "rust" and ((token.startswith("///") and not token.startswith("////")) or (token.startswith("/**") and token[3:4] not in ("*", "/")))
-            if rust_doc or (language != "rust" and token.startswith("/**") and token[3:4] not in ("*", "/", "<")):
-                docs.append((start, m.end(1), _doc_text(token)))
-        elif token[-1:] in "\"'" and len(token) > 1 or (language == "rust" and '"' in token):
-            out.append(source[at:start])
-            out.append('"' + re.sub(r"[^\n]", " ", token[2:]) + '"')
-            at = m.end(1)
-    out.append(source[at:])
-    masked = "".join(out)
-    if language == "rust":
-        docs = sorted(docs + list(_doc_attributes(source, masked)), key=lambda d: d[0])
-    return source, masked, docs, tokens
-
-
-_DOC_ATTRIBUTE = re.compile(r"#\s*(\[)\s*doc\s*=")
-_RUST_LITERAL = re.compile(r'r(#*)"([\s\S]*)"\1|"([\s\S]*)"')
-_RUST_ESCAPE = re.compile(r"\\(?:x([0-7][0-9a-fA-F])|u\{([0-9a-fA-F_]+)\}|\r?\n\s*|(.))")
-
-
-def _doc_attributes(source: str, masked: str):
-    """``#[doc = "..."]`` as carriers with the text of their literal, ``None`` where the value is no text literal."""
-    for m in _DOC_ATTRIBUTE.finditer(masked):
-        value = TOKEN["rust"].match(source, m.end())
-        end = _close(masked, m.start(1), "[]")
-        literal = _RUST_LITERAL.fullmatch(value[1]) if value and not masked[value.end() : end].strip() else None
-        yield m.start(), end + 1, None if literal is None else literal[2] if literal[2] is not None else _decoded(literal[3])
-
-
-def _decoded(body: str) -> str:
-    """Text of a Rust literal: escapes decoded, line continuations gone with the blanks that follow."""
-
-    def one(m: re.Match) -> str:
-        point = m[1] or m[2]
-        if point:
-            value = int(point.replace("_", "") or "0", 16)
-            return chr(value) if value < 0xD800 or 0xE000 <= value < 0x110000 else "\ufffd"
-        return {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(m[3], m[3] or "")
-
-    return _RUST_ESCAPE.sub(one, body)
-
 
 #: Stands for documentation whose text the source does not hold, such as ``#[doc = include_str!(...)]``.
 UNREAD = object()
@@ -342,292 +276,198 @@ def _doc_text(token: str) -> str:
     return "\n".join(re.sub(r"^\s*\*?\s?", "", x) if k else x.strip() for k, x in enumerate(token[3:-2].split("\n"))).strip("\n ")
 
 
-def _attached(masked: str, docs, start: int, text: str, rust: bool):
-    """Documentation directly above a declaration: neighbouring carriers, attributes and template lines may stand between."""
-    parts, first, end = [], None, start
-    k = bisect.bisect_left(docs, start, key=lambda d: d[0]) - 1
-    while k >= 0:
-        a, b, body = docs[k]
-        k -= 1
-        if a >= end:
-            continue
-        between = re.sub(r"#\[[^\]]*\]|template\s*<[^{};]*>|\[\[[^\]]*\]\]", "", masked[b:end])
-        if between.strip():
-            break
-        parts.append(body)
-        first, end = a, a
-        if not rust:
-            break
-    if None in parts:
-        return UNREAD, first
-    return ("\n".join(reversed(parts)) if parts else None), first
-
-
-def _close(masked: str, at: int, pair: str = "()") -> int:
-    depth = 0
-    for m in re.compile("[" + re.escape(pair) + "]").finditer(masked, at):
-        depth += 1 if m[0] == pair[0] else -1
-        if not depth:
-            return m.start()
-    return len(masked)
-
-
-def _until(masked: str, at: int, stops: tuple[str, ...]) -> int:
-    """Where the first of some marks stands outside all brackets opened from ``at`` on, or where the brackets around it close."""
-    depth = 0
-    for m in _PATTERN_MARK.finditer(masked, at):
-        if not depth and m[0] in stops:
-            return m.start()
-        if m[0] in "([{":
-            depth += 1
-        elif m[0] in ")]}":
-            if not depth:
-                return m.start()
-            depth -= 1
-    return len(masked)
-
-
-def _bound(masked: str, start: int, end: int):
-    """Names that a Rust pattern binds: no paths, constructors, fields given a pattern of their own, or capitalised references."""
-    for m in _BINDING.finditer(masked, start, end):
-        if m["name"] not in _NOT_BINDINGS:
-            yield m.start("name"), m["name"]
-
-
-def _parameters(masked: str, start: int, end: int):
-    """Spans of the patterns of a parameter list, types left out."""
-    plain = masked[start:end]
-    while plain != (inner := re.sub(r"<[^<>]*>", lambda m: " " * len(m[0]), plain.replace("->", "  "))):
-        plain = inner
-    at = 0
-    while at < len(plain):
-        stop = _until(plain, at, (",",))
-        yield start + at, start + min(_until(plain, at, (":", ",")), stop)
-        at = stop + 1
-
-
-def _rust_bindings(masked: str):
-    """``(offset, name)`` bound by let, for, closure parameters and match arms."""
-    for m in _RUST_PATTERN.finditer(masked):
-        if m["let"]:
-            yield from _bound(masked, m.end(), _until(masked, m.end(), (":", "=", ";")))
-        elif m["for"]:
-            if not re.search(r"\bimpl\b[^;{}]*$", masked[max(0, m.start() - 400) : m.start()]):
-                stop = _until(masked, m.end(), ("in", ";"))
-                if masked.startswith("in", stop):
-                    yield from _bound(masked, m.end(), stop)
-        elif m["closure"]:
-            for start, end in _parameters(masked, m.start("params"), m.end("params")):
-                yield from _bound(masked, start, end)
-        else:
-            at = m.end()
-            while at < len(masked) and masked[at] not in "{;}":
-                at = _close(masked, at, "()") + 1 if masked[at] == "(" else _close(masked, at, "[]") + 1 if masked[at] == "[" else at + 1
-            if masked[at : at + 1] != "{":
-                continue
-            at, body = at + 1, _close(masked, at, "{}")
-            while at < body:
-                arrow = _until(masked, at, ("=>",))
-                if arrow >= body:
+def _carrier(token: str, rust: bool) -> bool:
+    """Whether a comment is native documentation of what stands behind it."""
+    if rust and token.startswith("///"):
+        return not token.startswith("////")
+    return token.startswith("/**") and token[3:4] not in ("*", "/") and (rust or token[3:4] != "<")
+
+
+class _Carriers:
+    """Comments and documentation attributes of a file, to be attached to declarations."""
+
+    def __init__(self, text: str, tokens: Tokens, rust: bool):
+        self.text, self.rust = text, rust
+        rows = [(a, b, "inner" if rust and w[:3] in ("//!", "/*!") else "doc" if _carrier(w, rust) else "note", w) for w, a, b in tokens.comments]
+        rows += [(a, b, "doc" if body is not None else "unread", body) for a, b, body in doc_attributes(tokens)] if rust else []
+        self.rows = sorted(rows, key=lambda r: r[0])
+        self.starts = [r[0] for r in self.rows]
+        self.used: set[int] = set()
+
+    def _body(self, row):
+        start, _, kind, text = row
+        return UNREAD if kind == "unread" else _doc_text(text) if self.text.startswith(("//", "/*"), start) else text
+
+    def of(self, begin: int, head: int):
+        """Documentation of the declaration that begins at ``begin``; attributes reach up to ``head``."""
+        parts, edge = [], begin
+        for row in self.rows[bisect.bisect_left(self.starts, begin) : bisect.bisect_left(self.starts, head)]:
+            if row[2] in ("doc", "unread"):
+                parts.append(self._body(row))
+                self.used.add(row[0])
+            elif row[2] == "inner":
+                parts = []
+        k = bisect.bisect_left(self.starts, begin) - 1
+        while k >= 0:
+            row = self.rows[k]
+            if self.text[row[1] : edge].strip() or row[2] == "inner" or (row[2] == "note" and not self.rust):
+                break
+            if row[2] != "note":
+                parts.insert(0, self._body(row))
+                self.used.add(row[0])
+                if not self.rust:
                     break
-                yield from _bound(masked, at, min(arrow, _until(masked, at, ("if", "=>"))))
-                at = re.compile(r"\s*").match(masked, arrow + 2).end()
-                if masked[at : at + 1] == "{":
-                    at = re.compile(r"\s*,?").match(masked, _close(masked, at, "{}") + 1).end()
-                else:
-                    at = _until(masked, at, (",",)) + 1
-
-
-def _rust(text: str, at):
-    source, masked, docs, tokens = _masked(text, "rust")
-    out, used = [], set()
-    roles = {"fn": "function", "struct": "type", "enum": "type", "union": "type", "trait": "type", "type": "type", "mod": "module", "static": "constant", "const": "constant", "macro_rules!": "macro"}
-    public_traits = [(m.start(), _close(masked, masked.find("{", m.end()), "{}")) for m in re.finditer(r"\bpub\s+(?:unsafe\s+)?trait\s+\w+[^;{]*", masked) if masked.find("{", m.end()) >= 0]
-    bodies = []
-    for m in _RUST_ITEM.finditer(masked):
-        if m["kw"] == "const" and masked[m.end() : m.end() + 1] != ":" and not re.match(r"\s*:", masked[m.end() :]):
-            continue
-        position = at(m.start("name"))
-        out.append(_fact("name", position, m["name"], roles[m["kw"]]))
-        doc, first = _attached(masked, docs, m.start(), source, True)
-        unread = {"unread": True} if doc is UNREAD else {}
-        doc = None if unread else doc
-        if first is not None:
-            used |= {a for a, b, _ in docs if first <= a < m.start()}
-        nested = any(a < m.start() < b for a, b in bodies)
-        exported = any(a < m.start() < b for a, b in public_traits)
-        public = not nested and ((m["vis"] or "").strip() == "pub" or exported)
-        params, shape = [], None
-        if m["kw"] == "fn":
-            a = masked.find("(", m.end())
-            b = _close(masked, a)
-            inside = masked[a + 1 : b]
-            for p in _RUST_PARAM.finditer(inside):
-                params.append(p["name"].removeprefix("r#"))
-                out.append(_fact("name", at(a + 1 + p.start("name")), p["name"], "variable"))
-            for start, end in _parameters(masked, a + 1, b):
-                if re.match(r"[\s&]*[\[(]|[\s&]*[A-Z]\w*(?:::\w+)*\s*[({]", masked[start:end]):
-                    out += [_fact("name", at(k), spelled, "variable") for k, spelled in _bound(masked, start, end)]
-            tail = masked[b + 1 : b + 400]
-            arrow = re.match(r"\s*->\s*([^;{]+)", tail)
-            kind = arrow[1].split(" where ")[0].strip() if arrow else "()"
-            shape = "NoValue" if kind == "()" else "Never" if kind == "!" else "Unknown" if "!" in kind or "$" in kind else "Value"
-            brace = re.match(r"[^;{]*\{", masked[b + 1 :])
-            if brace:
-                bodies.append((b + brace.end(), _close(masked, b + brace.end(), "{}")))
-            out.append(_fact("subject", position, m["name"], "callable", tier="public" if public else "internal", params=params, shape=shape, doc=doc, unsafe="unsafe" in m["unsafe"], **unread))
-        elif public or (m["kw"] == "trait" and "unsafe" in m["unsafe"]):
-            out.append(_fact("subject", position, m["name"], "item", tier="internal", doc=doc, unsafe=m["kw"] == "trait" and "unsafe" in m["unsafe"], **unread))
-        if m["kw"] in ("struct", "enum"):
-            a = re.match(r"[^;{(]*\{", masked[m.end() :])
-            if a:
-                start = m.end() + a.end() - 1
-                inside = masked[start : _close(masked, start, "{}")]
-                if m["kw"] == "struct":
-                    out += [_fact("name", at(start + f.start("name")), f["name"], "variable") for f in _FIELD.finditer(inside)]
-                else:
-                    out += [_fact("name", at(start + v.start(1)), v[1], "enum_member") for v in re.finditer(r"(?:^\{|,)\s*(?:#\[[^\]]*\]\s*)*([A-Za-z_]\w*)", inside)]
-    out += [_fact("name", at(k), spelled, "variable") for k, spelled in _rust_bindings(masked)]
-    out += [_fact("name", at(m.start()), m["life"], "lifetime") for m in _RUST_LIFE.finditer(masked) if m["life"] not in ("'static", "'_")]
-    seen = set()
-    out = [f for f in out if not (f[0] == "name" and f[4] == "lifetime" and (f[3] in seen or seen.add(f[3])))]
-    out += _rust_uses(source, masked, at)
-    return out, tokens, used
-
-
-def _use_tree(text: str, offset: int):
-    """Members of one brace level: ``(key, start, wildcard?, children)``."""
-    members, depth, start = [], 0, 0
-    for k, c in enumerate(text + ","):
-        depth += (c == "{") - (c == "}")
-        if c == "," and not depth:
-            part = text[start:k]
-            if part.strip():
-                members.append((part.strip(), offset + start + len(part) - len(part.lstrip())))
-            start = k + 1
-    return members
-
-
-def _use_key(member: str):
-    path, _, alias = member.partition(" as ")
-    segments = [s.strip() for s in re.split(r"::(?![^{]*\})", path.strip(), maxsplit=0)]
-    order = {"self": 0, "super": 1, "crate": 2}
-    key = []
-    for s in segments:
-        kind = 2 if s.startswith("{") else 1 if s == "*" else 0
-        key.append((order.get(s, 3), kind, natural_key(s.removeprefix("r#")) if kind == 0 else ((), "")))
-    return tuple(key), alias.strip()
-
-
-def _rust_uses(source: str, masked: str, at):
-    out = []
-    for m in re.finditer(r"(?<![\w#])(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", masked):
-        out.append(_fact("import", at(m.start()), " ".join(m[1].split()), "use", group=0, statement=m.start(), item=0))
-        for w in re.finditer(r"\*", m[1]):
-            out.append(_fact("wildcard", at(m.start(1) + w.start()), " ".join(m[1].split())))
-        for alias in re.finditer(r"\bas\s+([A-Za-z]\w*)", m[1]):
-            out.append(_fact("name", at(m.start(1) + alias.start(1)), alias[1], "alias"))
-        levels = [(m.start(1) + b.end(), m[1][b.end() : _close(m[1], b.start(), "{}")]) for b in re.finditer(r"\{", m[1])]
-        for offset, inside in levels:
-            members = _use_tree(inside, offset)
-            for (x, _), (y, position) in zip(members, members[1:]):
-                if _use_key(x) > _use_key(y):
-                    out.append(_fact("misorder", at(position), y, "rust"))
+            edge = row[0]
+            k -= 1
+        if any(p is UNREAD for p in parts):
+            return UNREAD
+        return "\n".join(parts) if parts else None
+
+
+def _subject_fact(at, s: Declared, carriers: _Carriers, tier: str):
+    doc = carriers.of(s.begin, max(s.head, s.begin))
+    extra = {"unread": True} if doc is UNREAD else {}
+    extra |= {"effect": True} if s.effect else {}
+    extra |= {"partial": True} if s.partial else {}
+    callable_ = s.kind == "callable"
+    return _fact("subject", at(s.at), s.name, s.kind, tier=tier, params=s.params, shape=s.shape if callable_ else None, doc=None if doc is UNREAD else doc, unsafe=s.unsafe, template=s.template, **extra)
+
+
+def _rust(text: str, at, tokens: Tokens):
+    reader = RustReader(text, tokens)
+    carriers = _Carriers(text, tokens, True)
+    owners = {s.at: s.owner for s in reader.subjects if s.owner}
+    out = [_fact("name", at(k), spelled, role, **({"owner": owners[k]} if k in owners else {})) for k, spelled, role in reader.names]
+    # a lifetime or label counts where it is declared; the same subject's documentation is read once
+    for s in reader.subjects:
+        out.append(_subject_fact(at, s, carriers, s.tier))
+    return out + _rust_uses(reader, at), carriers.used
+
+
+_SEGMENT_RANK = {"self": 0, "super": 1, "crate": 2}
+_BINDING, _FURTHER, _WILDCARD, _LIST = range(4)
+
+
+def _use_tree(reader: RustReader, k: int, end: int, at, out: list, whole: tuple | None):
+    """Sort key of the use tree in a token range, ``None`` when a part of it is unknown; members out of order and wildcards become facts."""
+    t, key, begin = reader.t, [], k
+    if t.get(k) == "::":
+        key.append((_FURTHER, 3, ((), "")))
+        k += 1
+    while k < end:
+        w = t.word[k]
+        if w == "*":
+            out.append(_fact("wildcard", at(t.start[k]), "".join(t.word[begin:end])))
+            return (*key, (_WILDCARD,))
+        if w == "{":
+            members, j, before = [], k + 1, None
+            while j < t.pair[k]:
+                stop = t.until(j, t.pair[k], frozenset(","))
+                member = _use_tree(reader, j, stop, at, out, None)
+                if member is not None and before is not None and before > member:
+                    out.append(_fact("misorder", at(t.start[j]), "".join(t.word[j:stop]), "rust"))
+                before = member
+                members.append(member)
+                j = stop + 1
+            return None if None in members else (*key, (_LIST, *members))
+        if not (w.isidentifier() or w.startswith("r#")):
+            out.append(_fact("gap", whole or at(t.start[begin]), "".join(t.word[begin:end]), "dependency_declaration", body="use tree is unsupported"))
+            return None
+        name = w.removeprefix("r#")
+        key.append((_FURTHER, _SEGMENT_RANK.get(w, 3), natural_key(name)))
+        k += 1
+        if t.get(k) == "as" and k < end:
+            return (*key, (_BINDING, t.get(k + 1).removeprefix("r#")))
+        if k < end and t.word[k] == "::":
+            k += 1
+    return (*key, (_BINDING, ""))
+
+
+def _rust_uses(reader: RustReader, at):
+    """Use declarations, their wildcards and unknown members, and neighbours out of order in one group: the same block, no line between."""
+    out, before, t = [], None, reader.t
+    for offset, k, stop, block in reader.uses:
+        spelled = "".join(t.word[k:stop])
+        out.append(_fact("import", at(offset), spelled, "use", group=0, statement=offset, item=0))
+        whole = at(offset) if t.get(k) == "$" else None
+        key = _use_tree(reader, k, stop, at, out, whole)
+        if before is not None and before[0] == block and before[2] is not None and key is not None:
+            between = reader.t.text[before[1] : offset]
+            if not re.sub(r"//[^\n]*|/\*[\s\S]*?\*/", "", between).strip() and not re.search(r"\n[ \t\r]*\n", between) and before[2] > key:
+                out.append(_fact("misorder", at(offset), spelled, "rust"))
+        before = (block, t.stop[min(stop, len(t.stop) - 1)], key)
     return out
 
 
-def _c(text: str, at, language: str):
-    source, masked, docs, tokens = _masked(text, language)
-    out, used = [], set()
-    for m in _C_NAME.finditer(masked):
-        group = m.lastgroup if m.lastgroup != "kw" else "name"
-        spelled = m[group]
-        role = {"macro": "macro", "alias": "type", "typedef": "typedef" if language == "c" else "type", "tparam": "type_parameter"}.get(group) or {"namespace": "namespace"}.get(m["kw"], "tag" if language == "c" else "type")
-        out.append(_fact("name", at(m.start(group)), spelled, role))
-        if group in ("name", "macro") and m["kw"] != "namespace":
-            doc, first = _attached(masked, docs, masked.rfind("\n", 0, m.start()) + 1 if group == "macro" else m.start(), source, False)
-            used |= {first} if first is not None else set()
-            out.append(_fact("subject", at(m.start(group)), spelled, "item", tier="internal", doc=doc))
-        if m["kw"] == "enum":
-            a = masked.find("{", m.end())
-            if a >= 0 and not masked[m.end() : a].strip(" :\n\tA-Za-z_0-9"):
-                inside = masked[a : _close(masked, a, "{}")]
-                out += [_fact("name", at(a + v.start(1)), v[1], "enum_member") for v in re.finditer(r"(?:^\{|,)\s*([A-Za-z_]\w*)", inside)]
-    private = [(m.end(), masked.find("public:", m.end())) for m in re.finditer(r"\bprivate\s*:", masked)]
-    for m in _C_DECL.finditer(masked):
-        words = re.findall(r"\w+", m["spec"])
-        if not words or words[-1] in _NOT_TYPES or words[0] in _NOT_TYPES or m["name"] in _NOT_TYPES:
-            continue
-        position, start = at(m.start("name")), m.start("spec")
-        if m["next"] == "(":
-            a = m.end() - 1
-            b = _close(masked, a)
-            tail = masked[b + 1 : b + 200]
-            if not re.match(r"\s*(?:const|noexcept|override|final|->[^;{]+|\[\[[^\]]*\]\])*\s*[;{:]", tail):
-                continue
-            prefix = masked[masked.rfind("\n", 0, start) + 1 : m.start("name")]
-            depth = masked.count("{", 0, start) - masked.count("}", 0, start)
-            if depth and language == "c" and re.match(r"\s*;", tail):
-                continue
-            inside = source[a + 1 : b]
-            params = [] if inside.strip() in ("", "void") else [(re.findall(r"[A-Za-z_]\w*", re.sub(r"=.*|\[.*", "", p)) or [""])[-1] for p in re.sub(r"/\*.*?\*/", "", inside).split(",")]
-            template = re.search(r"template\s*<([^{};]*)>\s*\Z", masked[max(0, start - 200) : start])
-            shape = "Unknown" if "auto" in words or "decltype" in words else "NoValue" if words[-1] == "void" and "*" not in m["ptr"] else "Value"
-            if re.search(r"_Noreturn|\[\[\s*noreturn\s*\]\]", masked[max(0, start - 40) : m.start("name")]):
-                shape = "Never"
-            doc, first = _attached(masked, docs, start, source, False)
-            used |= {first} if first is not None else set()
-            out.append(_fact("name", position, m["name"], "function"))
-            out.append(_fact("subject", position, m["name"], "callable", tier="internal" if "static" in prefix.split() else "authority", params=params, shape=shape, doc=doc, template=re.findall(r"(?:typename|class|\w+)\s+(\w+)", template[1]) if template else []))
-        else:
-            constant = "constexpr" in words or (("const" in words) and "*" not in m["ptr"] and "&" not in m["ptr"]) or "const" in m["ptr"]
-            hidden = any(a < m.start() < (b if b >= 0 else len(masked)) for a, b in private) and m["next"] in (";", "=", "{") or m["name"].endswith("_")
-            role = "constant" if constant and m["next"] != ")" and masked[max(0, start - 1) : start] not in ("(", ",") else "private_member" if language == "cpp" and hidden else "variable"
-            out.append(_fact("name", position, m["name"], role))
-    for m in re.finditer(r"(?m)^[ \t]*#[ \t]*include\b[^\n]*|^[ \t]*(?:export\s+)?import\s+[^;\n]+;", masked):
-        out.append(_fact("import", at(m.start() + len(m[0]) - len(m[0].lstrip())), " ".join(source[m.start() : m.end()].split()), "include", group=0, statement=m.start(), item=0))
+def _c(text: str, at, language: str, tokens: Tokens):
+    reader = CReader(text, language, tokens)
+    carriers = _Carriers(text, tokens, False)
+    out = [_fact("name", at(k), spelled, role) for k, spelled, role in reader.names]
+    out += [_subject_fact(at, s, carriers, s.tier) for s in reader.subjects]
+    includes = [(a, " ".join(w.split())) for w, a, _ in tokens.directives if re.match(r"\s*#\s*include\b", w)]
+    word = tokens.word
+    for k, w in enumerate(word):
+        first = k - 1 if k and word[k - 1] == "export" else k
+        if language == "cpp" and w == "import" and (first == 0 or word[first - 1] in (";", "{", "}")) and (tokens.get(k + 1)[:1] in '<":' or tokens.get(k + 1).isidentifier()) and tokens.get(k + 1):
+            includes.append((tokens.start[first], " ".join(word[first : tokens.until(k, len(word), frozenset(";"))])))
+    out += [_fact("import", at(a), spelled, "include", group=0, statement=a, item=0) for a, spelled in sorted(includes)]
     if language == "cpp":
-        out += _module_placement(masked, at)
-    return out, tokens, used
+        out += _module_placement(tokens, at)
+    return out, carriers.used
 
 
-def _module_placement(masked: str, at):
-    """Module imports that are misplaced on every preprocessor path; a state is (closed?, global fragment?)."""
-    out, depth = [], 0
-    state, stack = (False, False), []
-    for m in re.finditer(r"[^\n;{}]*(?:[;{}]|\n|\Z)", masked):
-        piece = m[0].strip()
-        if not piece:
-            continue
-        directive = re.match(r"#\s*(\w+)", piece)
-        if directive:
-            word = directive[1]
-            if word in ("if", "ifdef", "ifndef"):
-                stack.append((state, [], False))
-            elif word in ("elif", "else") and stack:
+_CONDITION = re.compile(r"\s*#\s*(\w+)")
+
+
+def _module_placement(tokens: Tokens, at):
+    """Module imports that are misplaced on every preprocessor path.
+
+    A path's state is (an ordinary declaration was seen, the global fragment is open); conditions split the set of possible states, and what
+    follows a condition may be reached from the end of each branch, or past it where no branch is sure to be taken.
+    """
+    out, states, stack, depth = [], {(False, False)}, [], 0
+    statement: list[tuple[str, int]] = []
+
+    def flush():
+        nonlocal states
+        words = [w for w, _ in statement]
+        if not words:
+            return
+        bare = words[1:] if words[0] == "export" else words
+        if depth == 0 and bare == ["module"]:
+            states = {(False, True)}
+        elif depth == 0 and bare[:2] == ["module", ":"]:
+            states = {(True, fragment) for _, fragment in states}
+        elif depth == 0 and bare[:1] == ["module"] and len(bare) > 1 and bare[1].isidentifier():
+            states = {(False, False)}
+        elif bare[:1] == ["import"] and len(bare) > 1 and (bare[1][0] in '<":' or bare[1].isidentifier()):
+            if depth or all(closed or fragment for closed, fragment in states):
+                out.append(_fact("misplaced", at(statement[0][1]), " ".join(words)))
+        else:
+            states = {(True, fragment) for _, fragment in states}
+        statement.clear()
+
+    for w, start, _ in sorted([*tokens.directives, *zip(tokens.word, tokens.start, tokens.stop)], key=lambda t: t[1]):
+        condition = _CONDITION.match(w) if w.lstrip()[:1] == "#" else None
+        if condition:
+            kind = condition[1]
+            if kind in ("if", "ifdef", "ifndef"):
+                stack.append((states, set(), False))
+            elif kind[:2] == "el" and stack:
                 before, ends, _ = stack[-1]
-                stack[-1] = (before, [*ends, state], word == "else")
-                state = before
-            elif word == "endif" and stack:
+                stack[-1] = (before, ends | states, kind == "else")
+                states = before
+            elif kind == "endif" and stack:
                 before, ends, complete = stack.pop()
-                ends = [*ends, state, *([] if complete else [before])]
-                state = (all(e[0] for e in ends), all(e[1] for e in ends))
-            elif word == "define" and state[1]:
-                pass
-            continue
-        position = at(m.start() + len(m[0]) - len(m[0].lstrip()))
-        if depth == 0 and re.match(r"module\s*;", piece):
-            state = (False, True)
-        elif depth == 0 and re.match(r"(?:export\s+)?module\s+[\w.:]+\s*;", piece):
-            state = (False, False)
-        elif depth == 0 and re.match(r"module\s*:\s*private\s*;", piece):
-            state = (True, state[1])
-        elif re.match(r"(?:export\s+)?import\s+[\w.:<\"]", piece):
-            if depth or state[0] or state[1]:
-                out.append(_fact("misplaced", position, piece.rstrip(";")))
-        elif not re.match(r"^[{}]$", piece):
-            state = (True, state[1])
-        depth += piece.count("{") - piece.count("}")
+                states = ends | states | (set() if complete else before)
+        elif w == ";":
+            flush()
+        elif w in "{}":
+            if statement:
+                flush()
+            depth += 1 if w == "{" else -1
+        else:
+            statement.append((w, start))
     return out
 
 
@@ -641,7 +481,14 @@ def observe(content: bytes | None, language: str) -> list[tuple]:
     except UnicodeDecodeError as e:
         head = data[: e.start]
         return [*facts, _fact("damage", (head.count(b"\n") + 1, e.start - head.rfind(b"\n")), role="encoding", body="source is not valid UTF-8")]
-    problem = syntax_problem(data, language)
+    read: list[Tokens] = []
+
+    def lexer(text, language):
+        read.append(Tokens(text, language))
+        return read[0].lexed
+
+    problem, text, _ = analyse(data, language, lex_python=False, lexer=lexer)
+    at = _positions(text)
     if problem:
         position = (1, 1)
         if language == "python":
@@ -651,16 +498,15 @@ def observe(content: bytes | None, language: str) -> list[tuple]:
                 position = (e.lineno or 1, e.offset or 1)
             except (ValueError, RecursionError, MemoryError):
                 pass
+        else:
+            position = at(damage_offset(text, language))
         return [*facts, _fact("damage", position, role="syntax", body=problem)]
-    at = _positions(text)
     if language == "python":
         facts += _python(text, at)
         tokens = [(m[1], m.start(1), m.end(1)) for m in TOKEN["python"].finditer(text)]
         used: set[int] = set()
-    elif language == "rust":
-        own, tokens, used = _rust(text, at)
-        facts += own
     else:
-        own, tokens, used = _c(text, at, language)
+        own, used = _rust(text, at, read[0]) if language == "rust" else _c(text, at, language, read[0])
+        tokens = read[0].all
         facts += own
     return facts + list(_comments(tokens, at, language, used))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.plans import catalog
+from factloom.plans.shipping import checkpointed
 from factloom.sources.tables import header_profiles, normalised_path, table
 
 
@@ -171,10 +172,21 @@ def unresolved_positions(spark, directory):
 
 def nearest_rank_p95(spark, directory):
     """Nearest-rank 95th percentile and maximum of a measure per kind."""
-    events = table(spark, directory, "events").filter("value is not null")
-    return events.groupBy("event_type").agg(
-        F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.max("value").alias("most"), F.count(F.lit(1)).alias("runs")
-    )
+    events = table(spark, directory, "events").filter("value is not null").select("event_type", "value")
+    # a kind may hold most rows: values are counted where they are, ranged on (kind, value), and each range adds its own counts to those before it
+    counted = events.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("event_type", "value").withColumn("part", F.spark_partition_id())
+    counted = checkpointed(counted)
+    totals = counted.groupBy("event_type").agg(F.sum("n").alias("runs"), F.max("value").alias("most"))
+    ranges = counted.groupBy("event_type", "part").agg(F.sum("n").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("event_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.withColumn("before", before).alias("r").join(totals.alias("t"), F.col("r.event_type").eqNullSafe(F.col("t.event_type"))).select("r.event_type", "part", "held", "before", "runs", "most")
+    # the one range of each kind that holds the wanted rank
+    rank = F.expr("(runs * 95 + 99) div 100")
+    holding = placed.withColumn("rank", rank).filter("before < rank and rank <= before + held")
+    inside = counted.alias("c").join(holding.alias("h"), F.col("c.event_type").eqNullSafe(F.col("h.event_type")) & (F.col("c.part") == F.col("h.part"))).select("h.event_type", "value", "n", "before", "rank", "runs", "most")
+    upto = F.sum("n").over(Window.partitionBy("event_type").orderBy("value"))
+    reached = inside.withColumn("upto", upto + F.col("before")).filter("upto >= rank")
+    return reached.groupBy("event_type").agg(F.min("value").alias("p95"), F.max("most").alias("most"), F.max("runs").alias("runs"))
 
 
 def distinct_digests(spark, directory):
@@ -306,8 +318,8 @@ def owner_ambiguity(spark, directory):
 
 
 def canonical_facts(spark, directory):
-    """Order-insensitive digest of the header facts (U3, I1): permutations agree, any change differs."""
-    rows = header_profiles(spark, directory)
-    text = F.array_join(F.array_sort(F.collect_set(F.concat_ws("\t", "path", "profile"))), "\n")
-    per_shard = rows.groupBy(F.substring(F.sha2("path", 256), 1, 2).alias("shard")).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
-    return per_shard
+    """Order-insensitive digest of the header facts (U3, I1), a row per shard: sums of the words of their hashes, so that no group is gathered."""
+    digest = F.sha2(F.concat_ws("\t", "path", "profile").cast("binary"), 256)
+    words = [F.sum(F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("bigint")).alias(f"sum_{k}") for k in range(8)]
+    rows = header_profiles(spark, directory).select(F.substring(F.sha2("path", 256), 1, 2).alias("shard"), digest.alias("digest"))
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("facts"), *words)

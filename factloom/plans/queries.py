@@ -74,7 +74,8 @@ SELECT l_orderkey, island::BIGINT AS island, count(*)::BIGINT AS items, min(l_li
  FROM f LEFT JOIN {_RULES} USING (rule) WHERE subject IS NOT NULL) SELECT path, line_no, subject, finding_id, rule FROM j WHERE n = 1""",
     "identity_width": f"WITH {_FINDINGS} SELECT path, (max(length(subject)) + 1)::BIGINT AS description_column FROM f WHERE subject IS NOT NULL GROUP BY path",
     "owner_ambiguity": f"WITH {_FINDINGS} SELECT path, subject, count(*)::BIGINT AS owners FROM (SELECT DISTINCT path, subject, line_no FROM f WHERE subject IS NOT NULL) GROUP BY 1, 2 HAVING count(*) > 1",
-    "canonical_facts": f"""WITH {_HEADERS} SELECT substr(sha256(path), 1, 2) AS shard, sha256(string_agg(path || chr(9) || profile, chr(10) ORDER BY path || chr(9) || profile)) AS digest FROM h GROUP BY 1""",
+    "canonical_facts": f"""WITH {_HEADERS}, x AS (SELECT substr(sha256(path), 1, 2) AS shard, sha256(concat_ws(chr(9), path, profile)) AS g FROM h)
+SELECT shard, count(*)::BIGINT AS facts, {', '.join(f"sum(('0x' || substr(g, {8 * k + 1}, 8))::BIGINT)::BIGINT AS sum_{k}" for k in range(8))} FROM x GROUP BY shard""",
     "capture_inventory": f"""WITH {_FILES} SELECT file_id, octet_length(content)::BIGINT AS n_bytes, try(decode(content)) IS NOT NULL AS valid,
  {_LINES.format(_TEXT)} AS lines, sha256(content) AS digest FROM d""",
     "profile_totals": f"""WITH {_ADMITTED}, x AS (SELECT language, octet_length(content) AS b, try(decode(content)) IS NOT NULL AS ok, coalesce({_LINES.format(_TEXT)}, 0) AS n FROM l WHERE language IS NOT NULL)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +19,7 @@ from factloom.functions.contract import judge
 from factloom.functions.lexing import language_of
 from factloom.functions.observe import observe
 from factloom.plans import catalog
-from factloom.plans.shipping import ship_package
+from factloom.plans.shipping import checkpointed, ship_package
 from factloom.sources.authority import Authority, Rejection, normalise_path
 
 #: Identities of the observation methods, by language.
@@ -44,20 +43,15 @@ class Review:
         return self.summary["disposition"]
 
 
-def _checkpointed(frame: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of the session; a temporary folder only where none is set, as in tests."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
-    return frame.checkpoint(eager=True)
+def facts(documents: DataFrame, authority: Authority, header_variants: bool = False) -> DataFrame:
+    """Fact rows of ``documents(relative_path, content)``; unmanaged files give none.
 
-
-def facts(documents: DataFrame, authority: Authority) -> DataFrame:
-    """Fact rows of ``documents(relative_path, content)``; unmanaged files give none.  A ``language`` column, if present, is taken as decided."""
+    The header languages of the project facts, one admitted document on the driver, go to the workers; with ``header_variants`` a header is read as
+    C and as C++ instead, for a caller that has the languages as a table and keeps the right rows afterwards.
+    """
     import pyarrow as pa
 
     ship_package(documents.sparkSession)
-    given = "language" in documents.columns
     headers = documents.sparkSession.sparkContext.broadcast(dict(authority.header_languages))
     schema = T._parse_datatype_string(_FACTS)
     names = [f.name for f in schema]
@@ -68,18 +62,18 @@ def facts(documents: DataFrame, authority: Authority) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 rows = []
-                paths, contents = part.column("relative_path").to_pylist(), part.column("content").to_pylist()
-                decided = part.column("language").to_pylist() if given else [None] * len(paths)
-                for path, content, language in zip(paths, contents, decided):
+                for path, content in zip(part.column("relative_path").to_pylist(), part.column("content").to_pylist()):
                     own = (path or "").replace("\\", "/")
-                    if not given and not (own.endswith(".h") and own not in headers.value):
-                        language = language_of(own, headers.value.get(own))
-                    if language:
+                    if header_variants and own.endswith(".h"):
+                        languages = ("c", "cpp")
+                    else:
+                        languages = () if own.endswith(".h") and own not in headers.value else (language_of(own, headers.value.get(own)),)
+                    for language in filter(None, languages):
                         rows += [(own, language, *fact) for fact in observe(content, language)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return documents.select("relative_path", "content", *["language"] * given).mapInArrow(run, schema)
+    return documents.select("relative_path", "content").mapInArrow(run, schema)
 
 
 def _finding(frame: DataFrame, rule, observation, message, question=None, subject="subject") -> DataFrame:
@@ -117,12 +111,15 @@ def _names(table: DataFrame) -> DataFrame:
             rows.append((bare, naming.name_tokens(bare), naming.form_ok(n, r, lang), naming.is_reserved(n, lang)))
         return pd.DataFrame(rows, columns=["bare", "tokens", "form_ok", "reserved"])
 
-    names = table.filter("fact = 'name' and role <> 'receiver'")
-    return names.withColumn("p", parts("subject", "role", "language")).select("path", "language", "line", "column_no", "subject", "role", "p.*")
+    names = table.filter("fact = 'name' and role <> 'receiver'").withColumn("owner", F.get_json_object("detail", "$.owner"))
+    return names.withColumn("p", parts("subject", "role", "language")).select("path", "language", "line", "column_no", "subject", "role", "owner", "p.*")
+
 
+def identifier_rules(table: DataFrame, authority: Authority, vocabulary: DataFrame | None = None) -> DataFrame:
+    """C5 to C9 with at most one finding per declaration (C25): candidate, reserved, form, suffix, unknown.
 
-def identifier_rules(table: DataFrame, authority: Authority) -> DataFrame:
-    """C5 to C9 with at most one finding per declaration (C25): candidate, reserved, form, suffix, unknown."""
+    ``vocabulary(token)`` stands for the words of the project facts where they are a table of their own.
+    """
     spark = table.sparkSession
     names = _names(table)
     single = F.exists("tokens", lambda t: F.length(t) == 1)
@@ -139,7 +136,7 @@ def identifier_rules(table: DataFrame, authority: Authority) -> DataFrame:
         [(c, "is registered without a suffix") for c in quantities] + [(f"{c}_{s}", "has the suffix of another concept") for c, own in quantities.items() for s in suffixes if s not in own],
         "name string, wrong string",
     ).dropDuplicates(["name"])
-    vocabulary = spark.createDataFrame([(w,) for w in authority.token_vocabulary], "token string")
+    vocabulary = spark.createDataFrame([(w,) for w in authority.token_vocabulary], "token string") if vocabulary is None else vocabulary
     marked = names.withColumn("id", F.struct("path", "line", "column_no", "subject")).withColumn("name", role_free).withColumn("words", word)
     marked = marked.join(pairs, "name", "left").join(wrong, "name", "left")
     wrong_suffix = snake & F.col("wrong").isNotNull() & F.col("registered").isNull()
@@ -147,15 +144,13 @@ def identifier_rules(table: DataFrame, authority: Authority) -> DataFrame:
     prefixes = [*catalog.ROLE_PREFIXES]
     unknown = tokens.filter(~F.col("token").rlike("^[0-9]+$") & ~F.col("token").isin(*prefixes)).join(vocabulary, "token", "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("unknown"))
     judged = marked.join(unknown, "id", "left")
-    if authority.external_fixed_identifiers:
-        fixed = spark.createDataFrame([(s,) for _, _, _, s in authority.external_fixed_identifiers], "subject string").distinct().withColumn("fixed", F.lit(True))
-        judged = judged.join(fixed, "subject", "left")
-    else:
-        judged = judged.withColumn("fixed", F.lit(None).cast("boolean"))
-    confirmed = F.col("fixed") & (F.col("language") == "rust") & (F.col("role") == "function")
+    # registered spellings count for the very trait they are registered for
+    registered = spark.createDataFrame(list(authority.external_fixed_identifiers), "language string, role string, owner string, subject string").distinct().withColumn("fixed", F.lit(True))
+    judged = judged.join(registered, ["language", "role", "owner", "subject"], "left")
+    confirmed = F.coalesce("fixed", F.lit(False))
     rule = (
         F.when((single | greek) & F.col("registered").isNull() & ~wrong_suffix, "identifier.candidate").when(F.col("reserved"), "identifier.reserved").when(~F.col("form_ok"), "identifier.canonical_form")
-        .when(wrong_suffix, "identifier.representation_suffix").when(F.col("unknown").isNotNull() & ~F.coalesce(confirmed, F.lit(False)), "identifier.unknown_token")
+        .when(wrong_suffix, "identifier.representation_suffix").when(F.col("unknown").isNotNull() & ~confirmed, "identifier.unknown_token")
     )
     ruled = judged.withColumn("rule", rule).filter("rule is not null")
     review = F.col("rule").isin("identifier.candidate", "identifier.unknown_token")
@@ -169,7 +164,7 @@ def identifier_rules(table: DataFrame, authority: Authority) -> DataFrame:
 def _subjects(table: DataFrame, authority: Authority) -> DataFrame:
     """Documentation subjects with the tier that the public-callable facts decide."""
     spark = table.sparkSession
-    detail = "struct<tier:string, params:array<string>, shape:string, doc:string, unsafe:boolean, template:array<string>, unread:boolean>"
+    detail = "struct<tier:string, params:array<string>, shape:string, doc:string, unsafe:boolean, template:array<string>, unread:boolean, effect:boolean, partial:boolean>"
     subjects = table.filter("fact = 'subject'").withColumn("d", F.from_json("detail", detail)).select("path", "language", "line", "column_no", "subject", "role", "d.*")
     public = spark.createDataFrame(list(authority.public_callables), "path string, subject string").withColumn("listed", F.lit(True))
     paths = spark.createDataFrame([(p,) for p in authority.listed_paths], "path string").withColumn("has_list", F.lit(True))
@@ -183,17 +178,17 @@ def documentation_rules(subjects: DataFrame) -> DataFrame:
     """One Arrow pass of the contract over the subjects."""
 
     @F.pandas_udf("array<string>")
-    def broken(language, role, tier, doc, params, shape, template, unsafe):
+    def broken(language, role, tier, doc, params, shape, template, unsafe, effect):
         import pandas as pd
 
         out = []
-        for lang, kind, t, text, p, s, tp, u in zip(language, role, tier, doc, params, shape, template, unsafe):
+        for lang, kind, t, text, p, s, tp, u, e in zip(language, role, tier, doc, params, shape, template, unsafe, effect):
             text = None if text is None or text != text else text
-            out.append(judge(lang, kind, t, text, list(p) if p is not None else [], s, list(tp) if tp is not None else [], False, bool(u) if u is not None else False))
+            out.append(judge(lang, kind, t, text, list(p) if p is not None else [], s, list(tp) if tp is not None else [], bool(e), bool(u)))
         return pd.Series(out)
 
     read = subjects.filter(~F.coalesce("unread", F.lit(False)))
-    rows = read.withColumn("rule", F.explode(broken("language", "role", "tier", "doc", "params", "shape", "template", "unsafe")))
+    rows = read.withColumn("rule", F.explode(broken("language", "role", "tier", "doc", "params", "shape", "template", F.coalesce("unsafe", F.lit(False)), F.coalesce("effect", F.lit(False)))))
     grade = F.when(F.col("rule") == "documentation.parentheses", "review_required").otherwise("hard_violation")
     return rows.select(
         "rule", grade.alias("grade"), "path", "line", "column_no", "subject", F.col("role").alias("observation"),
@@ -244,9 +239,10 @@ def coverage(table: DataFrame, subjects: DataFrame, authority: Authority) -> Dat
 
     at = F.concat_ws(":", "line", "column_no")
     tier_gap, return_gap = F.col("tier") == "unknown", (F.col("shape") == "Unknown") & F.col("tier").isin("public", "unknown")
+    name_gap = F.coalesce("partial", F.lit(False)) & F.col("tier").isin("public", "unknown")
     unread, called = F.coalesce("unread", F.lit(False)), F.col("role") == "callable"
-    gaps = subjects.filter(called & (tier_gap | return_gap) | unread).withColumn(
-        "gap", F.concat(F.col("subject"), F.lit("@"), at, F.when(called & tier_gap, "[tier]").otherwise(""), F.when(called & return_gap, "[return]").otherwise(""), F.when(unread, "[text]").otherwise(""))
+    gaps = subjects.filter(called & (tier_gap | return_gap | name_gap) | unread).withColumn(
+        "gap", F.concat(F.col("subject"), F.lit("@"), at, F.when(called & tier_gap, "[tier]").otherwise(""), F.when(called & return_gap, "[return]").otherwise(""), F.when(called & name_gap, "[parameters]").otherwise(""), F.when(unread, "[text]").otherwise(""))
     )
     documentation = joined(gaps, "documentation", ["subject", "line"]).withColumn("gap", F.concat(F.lit("unresolved callable documentation facts: "), F.col("gap")))
     imports = _imports(table, authority)
@@ -254,8 +250,9 @@ def coverage(table: DataFrame, subjects: DataFrame, authority: Authority) -> Dat
     mixed = imports.filter("language = 'python'").groupBy("path", "statement").agg(F.countDistinct("class_rank").alias("n"), F.min("line").alias("line"), F.min("column_no").alias("column_no")).filter("n > 1").withColumn("gap", F.lit("mixed-class import statement layout is unsupported"))
     includes = imports.filter("role = 'include'").withColumn("gap", F.concat(F.lit("target and preprocessing analysis is unsupported at "), at))
     columns = ["path", "line", "column_no", "gap"]
-    dependency = joined(unclassified.select(columns).unionByName(mixed.select(columns)).unionByName(includes.select(columns)), "dependency_declaration", ["line", "column_no"])
-    identifier = joined(table.filter("fact = 'gap'").withColumn("gap", F.concat(F.col("body"), F.lit(" at "), at)), "identifier", ["line", "column_no"])
+    unknown = table.filter("fact = 'gap' and role = 'dependency_declaration'").withColumn("gap", F.concat(F.col("body"), F.lit(" at "), at, F.lit(": "), F.col("subject")))
+    dependency = joined(unclassified.select(columns).unionByName(mixed.select(columns)).unionByName(includes.select(columns)).unionByName(unknown.select(columns)), "dependency_declaration", ["line", "column_no"])
+    identifier = joined(table.filter("fact = 'gap' and role = 'identifier'").withColumn("gap", F.concat(F.col("body"), F.lit(" at "), at)), "identifier", ["line", "column_no"])
     gap_cells = documentation.unionByName(dependency).unionByName(identifier)
     counts = (
         table.filter("fact in ('name', 'subject')").groupBy("path", F.when(F.col("fact") == "name", "identifier").otherwise("documentation").alias("family")).agg(F.count(F.lit(1)).alias("n"))
@@ -277,10 +274,14 @@ def presented(findings: DataFrame) -> DataFrame:
 
 
 def _seal(frame: DataFrame, keys: list[str]) -> str:
-    """Order-insensitive digest: rows hash in the engine, a digest per bucket reaches the driver."""
+    """Order-insensitive digest: the count of rows and the sums of the eight words of their SHA-256; one row of numbers reaches the driver.
+
+    Sums of hashes commute, so rows are combined where they are and no group of them is ever gathered; equal rows count as often as they occur.
+    """
     row = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(k) for k in keys])), 256)
-    buckets = frame.select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d")).collect()
-    return hashlib.sha256("".join(f"{r.bucket}{r.d}" for r in sorted(buckets)).encode()).hexdigest()
+    words = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)") for k in range(8)]
+    sums = frame.select(row.alias("h")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(w).alias(f"w{k}") for k, w in enumerate(words)]).first()
+    return hashlib.sha256(repr([str(x or 0) for x in sums]).encode()).hexdigest()
 
 
 def admit_documents(documents: DataFrame, authority: Authority, revision: str | None) -> None:
@@ -293,11 +294,8 @@ def admit_documents(documents: DataFrame, authority: Authority, revision: str |
     if doubled or bad:
         raise Rejection("scope.path", f"path is not normal or occurs twice: {(doubled or bad)[0][0]}")
     if revision is not None:
-        listed = dict(authority.header_languages)
-        managed = F.col("p").rlike(r"\.(py|rs|c|cc|cpp|cxx|hpp|hh|hxx)$")
-        if listed:
-            managed = managed | F.col("p").isin(*listed)
-        stray = paths.filter(~managed).limit(1).collect()
+        listed = documents.sparkSession.createDataFrame([(p,) for p, _ in authority.header_languages], "p string")
+        stray = paths.filter(~F.col("p").rlike(r"\.(py|rs|c|cc|cpp|cxx|hpp|hh|hxx)$")).join(listed, "p", "left_anti").limit(1).collect()
         if stray:
             raise Rejection("scope.language", f"file has no managed language: {stray[0][0]}")
 
@@ -305,12 +303,12 @@ def admit_documents(documents: DataFrame, authority: Authority, revision: str |
 def review(documents: DataFrame, authority: Authority, revision: str | None = None, root: str | None = None) -> Review:
     """Review ``documents(relative_path, content)``: a document set with a revision, or a workspace with a root."""
     admit_documents(documents, authority, revision)
-    table = _checkpointed(facts(documents, authority))
+    table = checkpointed(facts(documents, authority))
     subjects = _subjects(table, authority)
-    findings = _checkpointed(
+    findings = checkpointed(
         source_rules(table).unionByName(identifier_rules(table, authority)).unionByName(documentation_rules(subjects)).unionByName(dependency_rules(table, authority)).select(*_FINDING).distinct()
     )
-    cells = _checkpointed(coverage(table, subjects, authority))
+    cells = checkpointed(coverage(table, subjects, authority))
     counted = findings.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("grade") == "hard_violation").alias("hard"), F.count_if(F.col("grade") == "review_required").alias("review")).first()
     blocked = cells.filter("state = 'blocked'").count()
     metrics = table.filter("fact = 'lines'").count()
@@ -318,10 +316,12 @@ def review(documents: DataFrame, authority: Authority, revision: str | None = No
     completion = "incomplete" if blocked else "complete"
     disposition = "incomplete" if blocked else "findings" if counted.total else "clean"
     scope = {"kind": "documents", "value": {"revision": revision, "files": metrics}} if revision is not None else {"kind": "workspace", "value": {"root": root, "files": metrics}}
-    seal = hashlib.sha256(json.dumps([SCHEMA_VERSION, scope, completion, _seal(findings, _FINDING), _seal(cells, ["path", "family", "state", "count", "reason"]), _seal(documents.withColumn("digest", F.sha2("content", 256)), ["relative_path", "digest"])], sort_keys=True).encode()).hexdigest()
+    snapshot = _seal(documents.withColumn("digest", F.sha2("content", 256)), ["relative_path", "digest"])
+    parts = [SCHEMA_VERSION, scope, completion, _seal(findings, _FINDING), _seal(cells, ["path", "family", "state", "count", "reason"]), snapshot]
+    seal = hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
     summary = {
         "completion": completion, "disposition": disposition, "finding_summary": {"total": counted.total, "hard_violation": counted.hard, "review_required": counted.review}, "blocked_families": blocked,
-        "metrics": {"files_read": metrics, "byte_sweeps": metrics, "structural_parses": metrics - encoding}, "semantic_authority_digest": hashlib.sha256(authority.canonical().encode()).hexdigest(), "seal": seal,
+        "metrics": {"files_read": metrics, "byte_sweeps": metrics, "structural_parses": metrics - encoding}, "semantic_authority_digest": hashlib.sha256(authority.canonical().encode()).hexdigest(), "snapshot_digest": snapshot, "seal": seal,
     }
     return Review(findings, cells, summary, scope)
 
@@ -333,10 +333,9 @@ def review_workspace(spark: SparkSession, root: str, authority: Authority) -> Re
     ship_package(spark)
     spark.dataSource.register(WorkspaceSource)
     documents = spark.read.format("workspace").load(root)
-    unlisted = documents.filter(F.col("relative_path").endswith(".h"))
-    listed = [p for p, _ in authority.header_languages]
-    strays = unlisted.filter(~F.col("relative_path").isin(*listed)) if listed else unlisted
-    return review(documents.join(strays.select("relative_path"), "relative_path", "left_anti"), authority, root=root)
+    listed = spark.createDataFrame([(p,) for p, _ in authority.header_languages], "relative_path string")
+    strays = documents.select("relative_path").filter(F.col("relative_path").endswith(".h")).join(listed, "relative_path", "left_anti")
+    return review(documents.join(strays, "relative_path", "left_anti"), authority, root=root)
 
 
 def to_json(result: Review) -> str:
@@ -356,7 +355,7 @@ def canonical(result: Review) -> bytes:
     """The sealed bytes without presentation, fields in their fixed order."""
     full = json.loads(to_json(result))["review"]
     cells = [r.asDict() for r in result.coverage.orderBy("path", "family_ordinal").toLocalIterator()]
-    ordered = {"schema_version": SCHEMA_VERSION, "scope": full["scope"], "completion": full["completion"], "coverage": cells, "findings": full["findings"], "metrics": full["metrics"], "semantic_authority_digest": result.summary["semantic_authority_digest"], "seal": full["seal"]}
+    ordered = {"schema_version": SCHEMA_VERSION, "scope": full["scope"], "completion": full["completion"], "coverage": cells, "findings": full["findings"], "metrics": full["metrics"], "semantic_authority_digest": result.summary["semantic_authority_digest"], "snapshot_digest": result.summary["snapshot_digest"], "seal": full["seal"]}
     return json.dumps(ordered, ensure_ascii=False).encode()
 
 
@@ -389,34 +388,42 @@ def to_text(result: Review) -> str:
     return "\n".join(out + (rows or ["  none"]))
 
 
-def stored_facts(spark: SparkSession, directory: str) -> tuple[DataFrame, Authority]:
-    """Checkpointed facts of the stored files, each once, and project facts that suit them: the words of the part names as vocabulary."""
-    from factloom.operators.tables import language_admission
+def stored_facts(spark: SparkSession, directory: str) -> tuple[DataFrame, Authority, DataFrame]:
+    """Checkpointed facts of the stored files, each once, project facts that suit them, and the words of the part names as vocabulary.
+
+    Contents are read once and never shuffled: a header's facts are computed for both languages, and the header facts then decide by path.
+    """
+    from factloom.sources.tables import header_profiles
     from factloom.sources.tables import table as stored
 
-    words = stored(spark, directory, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("w")).filter("w <> ''").distinct().orderBy("w").limit(10_000).collect()
-    authority = Authority(token_vocabulary=tuple(r.w for r in words), dependency_classes=(("itertools", "standard"), ("json", "standard"), ("math", "standard"), ("os", "standard"), ("sys", "standard")), python_reorder_safe=True, rust_reorder_safe=True)
-    languages = language_admission(spark, directory).filter("language is not null").select("file_id", "language")
-    files = stored(spark, directory, "source_documents").select("file_id", "relative_path", "content").join(languages, "file_id").dropDuplicates(["file_id"])
-    return _checkpointed(facts(files, authority)), authority
+    words = stored(spark, directory, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("token")).filter("token <> ''").distinct()
+    authority = Authority(dependency_classes=(("itertools", "standard"), ("json", "standard"), ("math", "standard"), ("os", "standard"), ("sys", "standard")), python_reorder_safe=True, rust_reorder_safe=True)
+    files = stored(spark, directory, "source_documents").filter("file_id is not null and relative_path is not null").select("relative_path", "content")
+    key = ["path", "language", "fact", "line", "column_no", "subject", "role", "body"]
+    read = checkpointed(facts(files, authority, header_variants=True).dropDuplicates(key))
+    profiles = header_profiles(spark, directory).withColumnRenamed("profile", "_profile")
+    headers = read.filter(F.col("path").endswith(".h")).join(profiles, "path", "left")
+    kept = headers.filter(F.col("language") == F.when(F.col("_profile") == "cpp", "cpp").otherwise("c")).drop("_profile")
+    return read.filter(~F.col("path").endswith(".h")).unionByName(kept), authority, words
 
 
 def stored_findings(spark: SparkSession, directory: str) -> DataFrame:
     """Findings of all rules over the stored files."""
-    table, authority = stored_facts(spark, directory)
+    table, authority, words = stored_facts(spark, directory)
     subjects = _subjects(table, authority)
-    return source_rules(table).unionByName(identifier_rules(table, authority)).unionByName(documentation_rules(subjects)).unionByName(dependency_rules(table, authority)).select(*_FINDING).distinct()
+    found = source_rules(table).unionByName(identifier_rules(table, authority, words)).unionByName(documentation_rules(subjects)).unionByName(dependency_rules(table, authority))
+    return found.select(*_FINDING).distinct()
 
 
 def stored_coverage(spark: SparkSession, directory: str) -> DataFrame:
     """Coverage cells of the stored files."""
-    table, authority = stored_facts(spark, directory)
+    table, authority, _ = stored_facts(spark, directory)
     return coverage(table, _subjects(table, authority), authority)
 
 
 def stored_observations(spark: SparkSession, directory: str) -> DataFrame:
     """Observed facts per language, kind and role."""
-    table, _ = stored_facts(spark, directory)
+    table, _, _ = stored_facts(spark, directory)
     return table.groupBy("language", "fact", F.when(F.col("fact").isin("name", "subject", "import", "damage"), F.col("role")).alias("role")).agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("path").alias("files"))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -24,3 +24,20 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, os.path.dirname(package)))
     context.addPyFile(archive)
     context._factloom_shipped = True
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Write rows that several branches read to the shared checkpoint folder of the session, and cut their lineage.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A local session without one takes a temporary folder; any other session
+    without one is an error, as executors would each write to a folder of their own machine.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if folder is None and context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
+    return frame.checkpoint(eager=True)

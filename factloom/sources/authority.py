@@ -160,3 +160,10 @@ def read(directory: str) -> Authority:
     except OSError as e:
         raise Rejection("authority.read", f"{path} cannot be read") from e
     return admit(raw)
+
+
+def from_documents(documents: dict[str, bytes]) -> Authority:
+    """Admit a set of in-memory documents by name (A4): exactly one, named ``authority.json``."""
+    if list(documents) != ["authority.json"]:
+        raise Rejection("authority.read", f"exactly one document named authority.json is needed, not {sorted(documents)}")
+    return admit(documents["authority.json"])
