@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.lexing import EXTENSION_LANGUAGE
+from factloom.plans.shipping import checkpointed
 from factloom.sources.tables import header_profiles, table
 
 #: Rows handled together inside a Python worker; bounds its memory when texts are long.
@@ -35,14 +35,6 @@ def scan(frame: DataFrame, per_slice: Callable[[dict[str, list]], Iterable[tuple
     return frame.mapInArrow(run, target)
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Write small per-file results that several branches read to the session's shared checkpoint folder; a temporary one only where none is set."""
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="factloom-"))
-    return frame.checkpoint(eager=True)
-
-
 def managed_language(path: str | None) -> str | None:
     """``h`` for headers whose language the facts decide, the language for other managed files, ``None`` otherwise."""
     name = (path or "").rpartition("/")[2]
@@ -74,3 +66,6 @@ def keep_header_language(results: DataFrame, spark: SparkSession, directory: str
 def repository(column: str = "relative_path") -> F.Column:
     """First component of a path."""
     return F.substring_index(F.col(column), "/", 1)
+
+
+__all__ = ["checkpointed", "keep_header_language", "managed_files", "managed_language", "repository", "scan", "variants"]
