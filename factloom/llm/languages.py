@@ -1,8 +1,10 @@
 """Natural language hidden inside code (problem 3).
 
-A hidden Markov model over characters has one state for code and one for each language; emissions are character bigrams within a state,
-transitions are sticky.  Its Viterbi path runs over comments and string literals only; a language is reported when a stretch of its
-state holds a prose passage.  Decoding is batched over the spans of an Arrow slice, and spans that differ only in digits are decoded once.
+A file is one sequence of characters under a hidden Markov model with one state for code and one for each language; emissions are character bigrams
+within a state.  Whatever lies outside comments and string literals, and identifiers, numbers, labels and commented-out code inside them, is held in
+the code state, so the Viterbi search is restricted to the rest.  Transitions are sticky within a line and free between lines; with the state known
+outside the spans and free at line ends the best path of a file is made of the best paths of its lines, which are searched together in blocks, those
+that differ only in digits once.  A language is reported when words or ideographs in its state make a prose passage within one comment or literal.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.grammar import analyse
+from factloom.functions.lexing import SPAN
 from factloom.llm.common import keep_header_language, managed_files, scan, variants
 from factloom.sources.tables import table
 
 LANGUAGES = ("en", "zh", "de", "fr", "es", "ja", "ru")
 STATES = ("code", *LANGUAGES)
-#: Log cost of changing the state between two characters; the state a span begins in is free.
+#: Log cost of changing the state between two characters of a line.
 SWITCH = 25.0
 #: Weight of a state's single characters against its bigrams.
 BACKED_OFF = 20.0
@@ -33,24 +36,49 @@ WORDS, HAN_CHARACTERS = 4, 8
 _SEEDS = {
     "code": "if (x > 15.24) return y; for i in range(3): a[i] = b.c * 2 + d; src/lib/file_name.bin let mut v = f(a, b); int n = 0; while (p != NULL) { p = p->next; } "
     "import os def g(a, b=None): return {k: v} snake_case_name CamelCaseName E352) %s %d {} x = y if z else w; auto q = std::move(r); #include <a.h> self.value += 1 &str f64 const char *s;",
-    "en": "the first entries belong to this list and the rest to that one. we read each value once because it may change. callers must hold the lock while they write. do not edit this "
-    "file by hand. it returns early so that the other part stays as it was, falls back to samples when there is none. units follow the window. which of them should be used here",
-    "de": "die schleife endet nach einigen schritten oder bei leerem feld. der aufrufer muss den wert vorher prüfen und danach freigeben. wird nur einmal gelesen, weil es sonst veraltet "
-    "ist. wir runden zuerst und vergleichen dann. ältere geräte liefern hier manchmal etwas anderes. bitte nicht ändern, solange der puffer noch benutzt wird. hält den wert unter",
-    "fr": "la première colonne appartient au groupe. l'appelant doit vérifier avant de libérer la mémoire. le résultat ne vaut que pour une entrée et non pour les autres. cette boucle "
-    "s'arrête après quelques tours ou quand elle est vide. ne pas modifier tant que c'est encore utilisé. nous arrondissons d'abord puis nous comparons. garde la valeur sous",
-    "es": "la primera fila pertenece al grupo de la tabla. el llamador debe comprobar antes de liberar la memoria. el resultado solo vale para una entrada y no para otras. este ciclo "
-    "termina después de unas vueltas o cuando está vacío. no cambiar mientras siga en uso en otro hilo. primero redondeamos y luego comparamos con los equipos antiguos",
-    "ru": "первая строка относится к группе таблицы. вызывающий код должен проверить значение до освобождения памяти. результат верен только для этого входа и не подходит для других. "
-    "цикл завершается после нескольких проходов или при пустом канале. сначала округляем, а потом сравниваем. старые приборы иногда возвращают другое. не менять, пока используется",
-    "zh": "调用方必须先检查，再释放占用的内存。结果只适用于这种输入，不适用于其他。循环在几次之后或者为空时结束。因为可能漂移，所以每个只读取一次。旧设备有时会返回其他数值。先取整，然后与上限进行比较。在下一轮开始之前把数值保持在以下",
-    "ja": "呼び出し側は確認してから解放すること。結果はこの入力にだけ使えてほかには使えない。くり返すか空になったら終わる。ずれることがあるので一度だけ読み込む。古い機器では代わりに返ることがある。先に丸めてから上限と比べる。次の処理が始まる前に値を未満に保つ",
+    "en": "all human beings are born free and equal in dignity and rights. they are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. "
+    "everyone has the right to life, liberty and security of person. no one shall be held in slavery. what do you want to do when it rains and there is nothing left but this book"
+    " everyone is entitled to all the rights and freedoms set forth in this declaration, without distinction of any kind, such as race, colour, sex, langua"
+    "ge, religion, political or other opinion, national or social origin, property, birth or other status. all are equal before the law and are entitled wi"
+    "thout any discrimination to equal protection of the law. no one shall be subjected to arbitrary arrest, detention or exile. everyone charged with a pe"
+    "nal offence has the right to be presumed innocent until proved guilty according to law",
+    "de": "alle menschen sind frei und gleich an würde und rechten geboren. sie sind mit vernunft und gewissen begabt und sollen einander im geist der brüderlichkeit begegnen. jeder hat "
+    "das recht auf leben, freiheit und sicherheit der person. niemand darf in sklaverei gehalten werden. was möchtest du machen, wenn es regnet und nichts übrig ist außer diesem buch"
+    " jeder hat anspruch auf alle in dieser erklärung verkündeten rechte und freiheiten, ohne irgendeinen unterschied, etwa nach rasse, hautfarbe, geschlec"
+    "ht, sprache, religion, politischer oder sonstiger anschauung, nationaler oder sozialer herkunft, vermögen, geburt oder sonstigem stand. alle menschen "
+    "sind vor dem gesetz gleich und haben ohne unterschied anspruch auf gleichen schutz durch das gesetz. niemand darf willkürlich festgenommen, in haft ge"
+    "halten oder des landes verwiesen werden. jeder gilt als unschuldig, solange seine schuld nicht nachgewiesen ist",
+    "fr": "tous les êtres humains naissent libres et égaux en dignité et en droits. ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de "
+    "fraternité. tout individu a droit à la vie, à la liberté et à la sûreté de sa personne. nul ne sera tenu en esclavage. que veux-tu faire quand il pleut et qu'il ne reste rien d'autre"
+    " chacun peut se prévaloir de tous les droits et de toutes les libertés proclamés dans la présente déclaration, sans distinction aucune, notamment de r"
+    "ace, de couleur, de sexe, de langue, de religion, d'opinion politique ou de toute autre opinion, d'origine nationale ou sociale, de fortune, de naissa"
+    "nce ou de toute autre situation. tous sont égaux devant la loi et ont droit sans distinction à une égale protection de la loi. nul ne peut être arbitr"
+    "airement arrêté, détenu ni exilé. toute personne accusée est présumée innocente jusqu'à ce que sa culpabilité ait été établie. ce n'est pas encore le "
+    "moment, tant que personne ne l'a demandé",
+    "es": "todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. todo "
+    "individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona. nadie estará sometido a esclavitud. qué quieres hacer cuando llueve y no queda más que este libro"
+    " toda persona tiene los derechos y libertades proclamados en esta declaración, sin distinción alguna de raza, color, sexo, idioma, religión, opinión p"
+    "olítica o de cualquier otra índole, origen nacional o social, posición económica, nacimiento o cualquier otra condición. todos son iguales ante la ley"
+    " y tienen, sin distinción, derecho a igual protección de la ley. nadie podrá ser arbitrariamente detenido, preso ni desterrado. toda persona acusada d"
+    "e delito tiene derecho a que se presuma su inocencia mientras no se pruebe su culpabilidad",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах. они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. каждый человек "
+    "имеет право на жизнь, на свободу и на личную неприкосновенность. никто не должен содержаться в рабстве. что ты хочешь делать, когда идет дождь и ничего не осталось, кроме этой книги"
+    " каждый человек должен обладать всеми правами и всеми свободами, провозглашенными настоящей декларацией, без какого бы то ни было различия, как то в о"
+    "тношении расы, цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения, имущественного, сословн"
+    "ого или иного положения. все люди равны перед законом и имеют право, без всякого различия, на равную защиту закона. никто не может быть подвергнут про"
+    "извольному аресту, задержанию или изгнанию",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有权享有生命、自由和人身安全。任何人不得使为奴隶或奴役。下雨的时候你想做什么，除了这本书什么都没有了"
+    "人人有资格享有本宣言所载的一切权利和自由，不分种族、肤色、性别、语言、宗教、政治或其他见解、国籍或社会出身、财产、出生或其他身份等任何区别。法律之前人人平等，并有权享受法律的平等保护，不受任何歧视。任何人不得加以任意逮捕、拘禁或放逐。凡受刑事控告者，在未经依法证实有罪以前，有权被视为无罪",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。すべて人は、生命、自由及び身体の安全に対する権利を有する。雨が降ってこの本しか残っていないときは何をしたいですか"
+    "すべて人は、人種、皮膚の色、性、言語、宗教、政治上その他の意見、国民的若しくは社会的出身、財産、門地その他の地位又はこれに類するいかなる事由による差別をも受けることなく、この宣言に掲げるすべての権利と自由とを享有することができる。すべての人は、法の下において平等であり、また、いかなる差別もなしに法の"
+    "平等な保護を受ける権利を有する。何人も、ほしいままに逮捕、拘禁、又は追放されることはない",
 }
 
 _LATIN = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz" "äöüßéèêëàâçîïôùûœáíóúñ" "абвгдежзийклмнопрстуфхцчшщъыьэюяё" " '\"-.,;:!?()[]{}<>=+*/&|%#$@^~\\_`¿¡«»。，、；：（）「」・！？…—")}
 _DIGIT, _HAN, _KANA, _OTHER = len(_LATIN), len(_LATIN) + 1, len(_LATIN) + 2, len(_LATIN) + 3
 _SYMBOLS = _OTHER + 1
 _HAN_BUCKETS = 4096
+_SHARED = [_LATIN[c] for c in "\"-.,;:!?()[]{}<>=+*/&|%#$@^~\\_`"] + [_DIGIT]
 
 
 def _encode(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +128,19 @@ class SpanModel:
         alone = pairs.sum(axis=1, keepdims=True) + 0.5
         alone /= alone.sum(axis=2, keepdims=True)
         smoothed = (pairs + BACKED_OFF * alone) / (pairs.sum(axis=2, keepdims=True) + BACKED_OFF)
+        # marks and digits tell code from prose but no language from another: their probabilities are the same for all of them
+        shared = smoothed[1:, :, _SHARED].mean(axis=0)
+        smoothed[1:, :, _SHARED] = shared
+        smoothed /= smoothed.sum(axis=2, keepdims=True)
         self.pairs = np.log(smoothed).transpose(1, 2, 0).astype(np.float32)
         self.ideographs = np.log(ideographs / ideographs.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        # a line begins in a language as often as the sample's documents are in it, in code as often as in any language
+        documents = np.array([len(texts.get(state, ())) + 1.0 for state in LANGUAGES])
+        self.start = np.log(np.concatenate([[0.5], 0.5 * documents / documents.sum()])).astype(np.float32)
 
     def likeliest(self, text: str) -> str:
-        """Language under which the beginning of a text is likeliest as a whole."""
-        classes, han = _encode(" " + text[:600])
+        """Language under which a text is likeliest as a whole."""
+        classes, han = _encode(" " + text)
         score = self.pairs[classes[:-1], classes[1:]].sum(axis=0) + self.ideographs[han[han >= 0]].sum(axis=0)
         return LANGUAGES[int(score[1:].argmax())]
 
@@ -130,7 +165,7 @@ class SpanModel:
         for row, k in enumerate(block):
             c, h = _encode(spans[k])
             classes[row, 1 : len(c) + 1], han[row, : len(h)] = c, h
-        score = np.zeros((len(block), len(STATES)), dtype=np.float32)
+        score = np.tile(self.start, (len(block), 1))
         back = np.empty((longest, len(block), len(STATES)), dtype=np.int8)
         own = np.arange(len(STATES), dtype=np.int8)
         # the block is sorted by length: rows that have ended are a prefix, and each keeps the state it ended in
@@ -290,67 +325,91 @@ def passages(text: str, path: np.ndarray) -> dict[str, int]:
     return out
 
 
-def prose_spans(lexed: list[str], language: str) -> list[str]:
-    """Texts of a file's comments and string literals; adjacent line comments make one, comments before the first code are left out."""
+def prose_spans(lexed: list[str], language: str) -> list[tuple[str, float]]:
+    """Comments and string literals of a file as ``(text, characters of the file per character of it)``.
+
+    Adjacent line comments make one span, comments before the first code are left out, those inside directives count like all others.
+    """
     quotes = ('"', "'") if language == "python" else ('"',)
-    out: list[str] = []
+    out: list[tuple[str, float]] = []
     block: list[str] = []
     seen_code = False
+
+    def literal(token: str) -> None:
+        text = literal_text(token)
+        out.append((text, (len(token) - 2) / len(text) if "\\" in token and text else 1.0))
+
+    def flush() -> None:
+        if block:
+            out.append((comment_text("\n".join(block)), 1.0))
+            block.clear()
+
     for token in lexed:
         first = token[0]
         if (first == "/" and token[1:2] in ("/", "*")) or (first == "#" and language == "python"):
             if seen_code:
                 if token[:2] == "/*":
-                    if block:
-                        out.append(comment_text("\n".join(block)))
-                        block = []
-                    out.append(comment_text(token))
+                    flush()
+                    out.append((comment_text(token), 1.0))
                 else:
                     block.append(token)
             continue
         seen_code = True
-        if block:
-            out.append(comment_text("\n".join(block)))
-            block = []
-        if len(token) > 5 and token[-1] in quotes or (token[-1] == "#" and '"' in token and language == "rust"):
-            if language == "rust" and out and token[0] in "bc" and token[1:2] == "'":
-                continue
-            out.append(literal_text(token))
-    if block:
-        out.append(comment_text("\n".join(block)))
+        flush()
+        if first == "#" and language in ("c", "cpp"):
+            for m in SPAN[language].finditer(token):
+                if m.lastgroup == "c":
+                    out.append((comment_text(m[0]), 1.0))
+                elif m.lastgroup == "s":
+                    literal(m[0])
+        elif len(token) > 5 and token[-1] in quotes or (token[-1] == "#" and '"' in token and language == "rust"):
+            if not (language == "rust" and token[0] in "bc" and token[1:2] == "'"):
+                literal(token)
+    flush()
     return out
 
 
 _cache: dict[str, dict[str, int]] = {}
 
 
+def _short(line: str) -> bool:
+    """Whether a line alone cannot hold a passage but has words or ideographs that may be part of one."""
+    clean = _IDENTIFIER.sub(" ", line)
+    return len(_IDEOGRAPH.findall(clean)) < HAN_CHARACTERS and 0 < len(_WORD.findall(clean)) < WORDS
+
+
 def pieces(text: str) -> list[str]:
-    """Lines of a span; one too short to hold a passage goes with the line before it, so that wrapped passages stay whole."""
+    """Lines of a span; ones too short to hold a passage go with the line before them, so that wrapped passages stay whole."""
+    if "\n" not in text:
+        return [text]
     out: list[str] = []
+    joins = False
     for line in text.split("\n"):
-        if out and line.strip() and len(line.split()) < WORDS and not _IDEOGRAPH.search(line) and not _IDENTIFIER.search(line):
-            out[-1] += " " + line
+        short = bool(line) and not line.isspace() and _short(line)
+        if short and joins:
+            out[-1] += ("" if _IDEOGRAPH.search(line) else " ") + line
         else:
             out.append(line)
+        joins = bool(line) and not line.isspace()
     return out
 
 
-def decode_spans(model: SpanModel, spans: list[str]) -> list[dict[str, int]]:
-    """Languages of each span; ``{}`` for one without a passage."""
-    forms = [[f for f in map(prepared, pieces(s)) if f is not None] for s in spans]
-    missing = list({f for own in forms for f in own if f not in _cache})
+def decode_spans(model: SpanModel, spans: list[tuple[str, float]]) -> list[dict[str, float]]:
+    """Languages of each span ``(text, characters of the file that one of its characters takes)`` with the characters of the file that each takes."""
+    forms = [[(f, len(p.strip()) * scale) for p in pieces(text) if (f := prepared(p)) is not None] for text, scale in spans]
+    missing = list({f for own in forms for f, _ in own if f not in _cache})
     if missing:
         if len(_cache) > 400_000:
             _cache.clear()
-            missing = list({f for own in forms for f in own})
+            missing = list({f for own in forms for f, _ in own})
         for form, path in zip(missing, model.paths(missing)):
             _cache[form] = passages(form, path)
-    out: list[dict[str, int]] = []
+    out: list[dict[str, float]] = []
     for own in forms:
-        total: dict[str, int] = defaultdict(int)
-        for f in own:
-            for k, n in _cache[f].items():
-                total[k] += n
+        total: dict[str, float] = defaultdict(float)
+        for form, characters in own:
+            for k, n in _cache[form].items():
+                total[k] += characters * n / len(form)
         out.append(total)
     return out
 
@@ -396,12 +455,12 @@ def language_shares(spark: SparkSession, directory: str) -> DataFrame:
                     spans += own
         decoded = decode_spans(model.value, spans)
         for file_id, path, language, size, a, b in files:
-            total: dict[str, int] = defaultdict(int)
+            total: dict[str, float] = defaultdict(float)
             for d in decoded[a:b]:
                 for k, n in d.items():
                     total[k] += n
             for k, n in total.items():
-                yield file_id, path, language, k, n, n / size
+                yield file_id, path, language, k, round(n), min(1.0, n / size)
 
     rows = scan(managed_files(spark, directory), per_slice, "file_id bigint, relative_path string, language string, lang string, characters bigint, share double")
     kept = keep_header_language(rows, spark, directory)

@@ -49,11 +49,11 @@ def test_prose_that_ends_like_code(spark, tables, source_rows):
 
 
 def test_language_accuracy():
-    """Held-out lines: every second seed sentence decodes to its language."""
+    """Sentences of the seeds decode to their language; held-out lines are tested below."""
     model = languages.SpanModel({})
     for language in ("en", "de", "fr", "es", "ru"):
         lines = [x.strip() for x in languages._SEEDS[language].split(".") if len(x.split()) >= 6]
-        decoded = languages.decode_spans(model, lines)
+        decoded = languages.decode_spans(model, [(x, 1.0) for x in lines])
         assert sum(list(d) == [language] for d in decoded) >= 0.8 * len(lines)
 
 
@@ -222,3 +222,38 @@ def test_documentation_of_unusual_heads():
     assert found("struct A {\n/// Tells whether it is set\noperator bool() const;\n/// Adds two of a kind\nA operator+(A);\n/// Makes one of a number\nexplicit A(int x) : b{x} {}\n/// Frees all that it holds\n~A();\n};\n", "cpp") == [(7, "A"), (9, "~A")]
     assert found("/// Keeps it below the bound\ntemplate <typename T, int N = (3 > 2)>\n[[nodiscard]] auto keep(T x) -> std::vector<T>;\n\n/// Far above\n\nint far(int x);\n", "cpp") == [(3, "keep")]
     assert found('/// Adds both given numbers\n#[cfg(x)]\n#[doc = r#"and says so"#]\npub const unsafe extern "C" fn add(a: u8) {}\nfn outer() {\n    /// Works on the inside\n    fn inner() {}\n}\nm! {\n    /// Is only a pattern\n    fn none() {}\n}\n', "rust") == [(4, "add"), (7, "inner")]
+
+
+def test_held_out_lines():
+    """Lines of labelled documents that the model was not fitted on decode to their language."""
+    duckdb, os = pytest.importorskip("duckdb"), __import__("os")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are absent")
+    rows = duckdb.sql(f"SELECT doc_id, lower(lang) AS lang, text FROM '{path}' WHERE text IS NOT NULL AND source <> 'code'").fetchall()
+    rows = [(d, lang, text) for d, lang, text in rows if lang in languages.LANGUAGES]
+    fitted_on = {text for d, _, text in rows if d % 2}
+    seen = {line for text in fitted_on for line in text.split("\n")}
+    model = languages.fitted([(lang, text[: languages.SAMPLE_CHARACTERS]) for d, lang, text in rows if d % 2])
+    right, total = {}, {}
+    for d, lang, text in rows:
+        if d % 2 or text in fitted_on or model.likeliest(text) != lang:
+            continue  # wrong labels are planted; the whole text tells
+        for line in text.split("\n"):
+            if line not in seen and languages.prepared(line) and not languages.is_code(line) and (lang in ("zh", "ja") or len(line.split()) > 7):
+                languages._cache.clear()
+                found = languages.decode_spans(model, [(line, 1.0)])[0]
+                total[lang] = total.get(lang, 0) + 1
+                right[lang] = right.get(lang, 0) + (lang in found)
+    assert set(total) == set(languages.LANGUAGES)
+    assert all(right[k] >= 0.97 * total[k] for k in total), (right, total)
+
+
+def test_shares_in_characters_of_the_file(spark, tables, source_rows):
+    prose = "Keep the block_size value 42 of every reader below the limit that was agreed on with all of its many users."
+    escaped = "".join(f"\\u{ord(c):04x}" for c in "任何人不得使为奴隶或奴役")
+    files = {"a/x.c": f"int x;\n// {prose}\n", "a/y.py": f'x = "{escaped}"\n', "a/z.c": '#define TEXT "what do you want to do now" // and nothing else is left to say\nint x;\n', "a/w.c": "int x;\n// reads block_size bytes only\n// with read_ahead turned on\n"}
+    found = {(r.file_id, r.lang): (r.characters, r.share) for r in languages.language_shares(spark, tables(source_documents=source_rows(files))).collect()}
+    assert found[1, "en"] == (len(prose), round(len(prose) / (len(prose) + 11), 6)) and len(prose) == 107
+    assert found[2, "zh"] == (72, round(72 / (len(escaped) + 7), 6))
+    assert found[3, "en"][0] == len("what do you want to do now") + len("and nothing else is left to say") and (4, "en") in found and len(found) == 4
