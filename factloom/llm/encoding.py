@@ -12,8 +12,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm.common import checkpointed
 from factloom.sources.tables import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -101,8 +103,15 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+#: Repeated document ids up to which they are sent to the scan instead of being joined by an exchange.
+REPEATED_IDS = 1_000_000
+
+
 def ids(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """``p8_ids(doc_id, ids)``; a null or empty text has no ids, strings like special tokens are ordinary text, repeated rows come once."""
+    """``p8_ids(doc_id, ids)``; a null or empty text has no ids, strings like special tokens are ordinary text, rows without a doc_id are no documents.
+
+    Texts are encoded where they are read.  Only the ids are counted to find documents that come more than once; of these the least encoding stands.
+    """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     path = f"{tokenizers}/byte_bpe_50k.tiktoken"
 
@@ -114,5 +123,12 @@ def ids(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) -> Da
                 encoded = [bpe.encode(t) if t else [] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(encoded, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    documents = table(spark, directory, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
-    return documents.mapInArrow(run, schema)
+    documents = table(spark, directory, "documents").select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    repeated = checkpointed(documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    count = repeated.count()
+    if not count:
+        return documents.mapInArrow(run, schema)
+    side = F.broadcast(repeated) if count <= REPEATED_IDS else repeated
+    once = documents.join(side, "doc_id", "left_anti").mapInArrow(run, schema)
+    several = documents.join(side, "doc_id", "left_semi").mapInArrow(run, schema)
+    return once.unionByName(several.groupBy("doc_id").agg(F.min("ids").alias("ids")))

@@ -2,13 +2,13 @@
 
 Each shard of the corpus (a bounded run of documents inside a partition) gets an FM-index over symbols that occur in the test items at all;
 every other symbol only separates, and runs too short for a match are left out, which loses none.  All phrases are searched backwards together
-through a wavelet matrix, occurrences are located by sampled suffix positions, and overlapping ones merge into removal spans.
+through a wavelet matrix, occurrences are located by sampled suffix positions, and overlapping ones merge into removal spans.  Test items are taken
+in buckets of bounded text, one pass over the corpus for each, so that a set of any size fits the driver and the workers.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.sources.tables import bounded, table
+from factloom.sources.tables import table
 
-#: Units of a phrase: words, and characters for Chinese; symbols of a shard; distance of sampled suffix positions; bound of the test set in rows.
-WORDS, CHARACTERS, SHARD, SAMPLED, ITEMS = 13, 26, 400_000, 8, 100_000
+#: Units of a phrase: words, and characters for Chinese; symbols of a shard; distance of sampled suffix positions; characters of the items of a bucket.
+WORDS, CHARACTERS, SHARD, SAMPLED, BUCKET = 13, 26, 400_000, 8, 4_000_000
 _WORD = re.compile(r"[^\W_]+")
 _UNIT = re.compile(r"[^\W_]")
 _HAN = re.compile("[㐀-鿿]")
@@ -113,15 +113,27 @@ class Phrases:
     def __init__(self, items: list[tuple[int, list[str]]], size: int):
         self.size = size
         self.alphabet: dict[str, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        rows, owners, self.least_han = [], [], 0
         for item, units in items:
-            coded = [self.alphabet.setdefault(u, len(self.alphabet) + 1) for u in units]
-            for k in range(len(coded) - size + 1):
-                owners[tuple(coded[k : k + size])].add(item)
-        self.owners = [sorted(v) for v in owners.values()]
-        self.matrix = np.array(list(owners), dtype=np.int64).reshape(-1, size)
-        han = [sum(bool(_HAN.match(u)) for u in units[k : k + size]) for _, units in items for k in range(len(units) - size + 1)]
-        self.least_han = min(han, default=0)
+            if len(units) < size:
+                continue
+            coded = np.fromiter((self.alphabet.setdefault(u, len(self.alphabet) + 1) for u in units), np.int32, len(units))
+            rows.append(np.lib.stride_tricks.sliding_window_view(coded, size))
+            owners.append(np.full(len(units) - size + 1, item, np.int64))
+        if not rows:
+            self.matrix, self.owner, self.first = np.empty((0, size), np.int32), np.empty(0, np.int64), np.zeros(1, np.int64)
+            return
+        every, owner = np.concatenate(rows), np.concatenate(owners)
+        self.matrix, phrase = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([phrase.reshape(-1).astype(np.int64), owner], axis=1), axis=0)
+        self.owner = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
+        han = np.array([False, *map(bool, map(_HAN.match, self.alphabet))])
+        self.least_han = int(han[self.matrix].sum(axis=1).min())
+
+    def owners(self, phrase: int) -> list[int]:
+        """Items that hold a phrase."""
+        return self.owner[self.first[phrase] : self.first[phrase + 1]].tolist()
 
     def coded(self, units: list[str]) -> np.ndarray:
         """Symbols of a document with runs too short for a phrase cut out; 0 separates."""
@@ -151,7 +163,7 @@ def _matches(phrases: Phrases, shard: list[tuple[int, np.ndarray]]):
         parts += [symbols, np.zeros(1, np.int64)]
         at += len(symbols) + 1
     index = FmIndex(np.concatenate(parts), len(phrases.alphabet) + 1)
-    phrase, low, high = index.search(phrases.matrix)
+    phrase, low, high = index.search(phrases.matrix.astype(np.int64))
     if not len(phrase):
         return
     counts = high - low
@@ -159,7 +171,7 @@ def _matches(phrases: Phrases, shard: list[tuple[int, np.ndarray]]):
     positions = index.locate(rows)
     documents = np.searchsorted(starts, positions, side="right") - 1
     for p, d, x in zip(np.repeat(phrase, counts).tolist(), documents.tolist(), positions.tolist()):
-        for item in phrases.owners[p]:
+        for item in phrases.owners(p):
             yield shard[d][0], item, x - starts[d], x - starts[d] + phrases.size
 
 
@@ -171,18 +183,13 @@ def _characters(text: str) -> list[str]:
     return _UNIT.findall(text.lower())
 
 
-def leaks(spark: SparkSession, directory: str) -> DataFrame:
-    """``(doc_id, item_id, unit, first, last)``: merged removal spans of each item in each document, in words or (Chinese items) characters.
+_SPANS = T.StructType(
+    [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("item_id", T.LongType()), ("unit", T.StringType()), ("first", T.LongType()), ("last", T.LongType()))]
+)
 
-    Null and empty texts hold nothing, items shorter than a phrase cannot leak, repeated rows give their spans once.
-    """
-    rows = bounded(table(spark, directory, "benchmark").select("item_id", "text", "lang").filter("item_id is not null and text is not null").distinct(), ITEMS, "benchmark")
-    by_word = Phrases([(r.item_id, _words(r.text)) for r in rows if (r.lang or "").lower() != "zh"], WORDS)
-    by_character = Phrases([(r.item_id, _characters(r.text)) for r in rows if (r.lang or "").lower() == "zh"], CHARACTERS)
-    shared = spark.sparkContext.broadcast((by_word, by_character))
-    schema = T.StructType(
-        [T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("item_id", T.LongType()), ("unit", T.StringType()), ("first", T.LongType()), ("last", T.LongType()))]
-    )
+
+def _search(shared):
+    """One pass over the corpus for the phrases of a bucket."""
 
     def run(batches):
         kinds = tuple(zip(("word", "character"), shared.value, (_words, _characters)))
@@ -200,7 +207,7 @@ def leaks(spark: SparkSession, directory: str) -> DataFrame:
             shards[kind], sizes[kind] = [], 0
             out = [(d, i, kind, a, b) for (d, i), own in spans.items() for a, b in own]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=_SPANS.names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -218,8 +225,31 @@ def leaks(spark: SparkSession, directory: str) -> DataFrame:
         for kind, phrases, _ in kinds:
             yield from emit(kind, phrases)
 
+    return run
+
+
+def _bucket(spark: SparkSession, items: DataFrame, bucket: int, buckets: int):
+    """The phrases of a bucket of items, sent to the workers."""
+    rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(buckets)) == bucket).collect()
+    by_word = Phrases([(r.item_id, _words(r.text)) for r in rows if (r.lang or "").lower() != "zh"], WORDS)
+    by_character = Phrases([(r.item_id, _characters(r.text)) for r in rows if (r.lang or "").lower() == "zh"], CHARACTERS)
+    return spark.sparkContext.broadcast((by_word, by_character))
+
+
+def leaks(spark: SparkSession, directory: str) -> DataFrame:
+    """``(doc_id, item_id, unit, first, last)``: merged removal spans of each item in each document, in words or (Chinese items) characters.
+
+    Null and empty texts hold nothing, items shorter than a phrase cannot leak, repeated rows give their spans once.
+    """
+    items = table(spark, directory, "benchmark").select("item_id", "text", "lang").filter("item_id is not null and text is not null").distinct()
+    characters = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-characters // BUCKET))
     documents = table(spark, directory, "documents").select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    return documents.mapInArrow(run, schema).distinct()
+    out = None
+    for bucket in range(buckets):
+        found_in = documents.mapInArrow(_search(_bucket(spark, items, bucket, buckets)), _SPANS)
+        out = found_in if out is None else out.unionByName(found_in)
+    return out.distinct()
 
 
 def found(spark: SparkSession, directory: str) -> DataFrame:
