@@ -224,12 +224,12 @@ def cjk_summaries(spark, directory):
 
 def _subject_tokens(spark, directory) -> DataFrame:
     names = table(spark, directory, "findings").filter("subject is not null").select("subject").distinct()
-    bare = F.regexp_replace("subject", "^_+|^r#|^'|_t$|_$", "")
+    bare = F.regexp_replace(F.regexp_replace("subject", "^_+|^r#|^'|_t$|_$", ""), "([a-z])([A-Z])", "$1_$2")
     return names.select("subject", F.posexplode(F.split(bare, "_"))).filter("col <> ''").select("subject", "pos", F.col("col").alias("token"))
 
 
 def identifier_tokens(spark, directory):
-    """Tokens of each judged name (F1) with the candidate test (C5, F3, J4): a single raw character or a transliterated Greek letter."""
+    """Tokens of each judged name (F1), parted by underscores and changes of case, with the candidate test (C5, F3, J4): a single raw character or a transliterated Greek letter."""
     greek = F.lower("token").isin(*catalog.GREEK)
     return _subject_tokens(spark, directory).select("subject", F.col("pos").cast("bigint").alias("pos"), "token", ((F.length("token") == 1) | greek).alias("is_candidate"))
 

@@ -20,7 +20,7 @@ _LINES = "(length({0}) - length(replace({0}, chr(10), '')) + CASE WHEN length({0
 _PAIRS = "(VALUES " + ", ".join(f"('{c}', '{s}')" for c, own in t.QUANTITIES.items() for s in own) + ") AS q(concept, suffix)"
 _GREEK = ", ".join(f"'{g}'" for g in catalog.GREEK)
 _TOKENS = r"""tok AS (SELECT subject, pos - 1 AS pos, parts[pos] AS token FROM (SELECT subject, parts, unnest(range(1, len(parts) + 1)) AS pos FROM
- (SELECT DISTINCT subject, string_split(regexp_replace(subject, '^_+|^r#|^''|_t$|_$', '', 'g'), '_') AS parts FROM findings WHERE subject IS NOT NULL)) WHERE parts[pos] <> '')"""
+ (SELECT DISTINCT subject, string_split(regexp_replace(regexp_replace(subject, '^_+|^r#|^''|_t$|_$', '', 'g'), '([a-z])([A-Z])', '\1_\2', 'g'), '_') AS parts FROM findings WHERE subject IS NOT NULL)) WHERE parts[pos] <> '')"""
 
 ORACLE = {
     "language_admission": f"WITH {_ADMITTED} SELECT file_id, path, language FROM l",

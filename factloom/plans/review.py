@@ -328,8 +328,9 @@ def review(documents: DataFrame, authority: Authority, revision: str | None = No
 
 def review_workspace(spark: SparkSession, root: str, authority: Authority) -> Review:
     """Review the managed files below a directory."""
-    from factloom.sources.workspace import WorkspaceSource
+    from factloom.sources.workspace import WorkspaceSource, check_paths
 
+    check_paths(root)
     ship_package(spark)
     spark.dataSource.register(WorkspaceSource)
     documents = spark.read.format("workspace").load(root)
@@ -351,6 +352,18 @@ def to_json(result: Review) -> str:
     return json.dumps({"schema_version": SCHEMA_VERSION, "terminal": "sealed", "disposition": result.disposition, "review": body}, ensure_ascii=False)
 
 
+def write_json(result: Review, folder: str) -> None:
+    """The machine projection of a result of any size: findings and blocked cells as sorted JSON lines written by the executors, the head beside them."""
+    ranked = presented(result.findings).select(*_FINDING[:4], F.col("column_no").alias("column"), *_FINDING[5:], "grade_rank", "rule_rank")
+    keys = ["grade_rank", "rule_rank", "path", "line", "column", "subject", "observation"]
+    ranked.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("grade_rank", "rule_rank").write.mode("overwrite").json(f"{folder}/findings")
+    cells = result.coverage.filter("state = 'blocked'").select(F.col("path").alias("file"), "family", "reason", "family_ordinal")
+    cells.repartitionByRange("file", "family_ordinal").sortWithinPartitions("file", "family_ordinal").drop("family_ordinal").write.mode("overwrite").json(f"{folder}/blocked_family_details")
+    head = {"schema_version": SCHEMA_VERSION, "terminal": "sealed", "disposition": result.disposition, "scope": result.scope, **result.summary}
+    spark = result.findings.sparkSession
+    spark.createDataFrame([(json.dumps(head, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/review")
+
+
 def canonical(result: Review) -> bytes:
     """The sealed bytes without presentation, fields in their fixed order."""
     full = json.loads(to_json(result))["review"]

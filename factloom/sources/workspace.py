@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,6 +27,22 @@ def managed_paths(root: str):
                     yield path
 
 
+def check_paths(root: str) -> None:
+    """Reject a workspace whose managed paths are no Unicode or collide once they are written with ``/`` (A10)."""
+    from factloom.sources.authority import Rejection
+
+    seen: set[bytes] = set()
+    for path in managed_paths(root):
+        try:
+            own = path.replace("\\", "/").encode("utf-8")
+        except UnicodeEncodeError as e:
+            raise Rejection("scope.path", f"path is not Unicode: {os.fsencode(path)!r}") from e
+        digest = hashlib.sha256(own).digest()[:16]
+        if digest in seen:
+            raise Rejection("scope.path", f"paths collide after normalisation: {path}")
+        seen.add(digest)
+
+
 class _Batch(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths

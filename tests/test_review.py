@@ -156,3 +156,26 @@ def test_workspace(spark, tmp_path):
     (tmp_path / "authority.json").write_text('{"schema_version": 4, "token_vocabulary": ["value"]}')
     assert main(["review", "--authority", str(tmp_path), "--workspace", str(tmp_path / "w")]) == 0
     assert main(["review", "--authority", str(tmp_path / "none"), "--workspace", str(tmp_path / "w"), "--format", "json"]) == 2
+
+
+def test_workspace_paths_and_written_results(spark, tmp_path):
+    """Paths that are no Unicode or collide are rejected before anything is read; the written projection has the findings in order."""
+    import os
+
+    from factloom.sources.workspace import check_paths
+
+    (tmp_path / "w" / "a").mkdir(parents=True)
+    (tmp_path / "w" / "a" / "b.py").write_text("mystery = 1\nx = 2\n")
+    check_paths(str(tmp_path / "w"))
+    result = plan.review_workspace(spark, str(tmp_path / "w"), Authority(token_vocabulary=("value",)))
+    plan.write_json(result, str(tmp_path / "out"))
+    lines = [json.loads(line) for part in sorted(os.listdir(tmp_path / "out" / "findings")) if part.startswith("part") for line in open(tmp_path / "out" / "findings" / part)]
+    assert [(r["rule"], r["line"]) for r in lines] == [(f["rule"], f["line"]) for f in json.loads(plan.to_json(result))["review"]["findings"]] and len(lines) == 2
+    (tmp_path / "w" / "a\\b.py").write_text("")
+    with pytest.raises(Rejection):
+        check_paths(str(tmp_path / "w"))
+    os.remove(tmp_path / "w" / "a\\b.py")
+    with open(os.path.join(os.fsencode(tmp_path / "w"), b"\xff.py"), "wb"):
+        pass
+    with pytest.raises(Rejection):
+        plan.review_workspace(spark, str(tmp_path / "w"), Authority())
