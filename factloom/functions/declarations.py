@@ -179,7 +179,7 @@ class CReader:
             elif w == "{":
                 self.scope(k + 1, t.pair[k], "block", "")
                 k = t.past(k)
-            elif w in _PAIR or w in _CLOSE:
+            elif (w in _PAIR or w in _CLOSE) and not (w == "[" and t.get(k + 1) == "["):
                 k = t.past(k)
             elif kind == "class" and w in ("public", "private", "protected") and t.get(k + 1) == ":":
                 access = w
@@ -344,10 +344,13 @@ class CReader:
         t, never = self.t, False
         while k < end:
             if t.word[k] == "[" and t.get(k + 1) == "[":
-                never |= "noreturn" in t.word[k : t.past(k)]
+                j, close = k + 2, t.pair.get(k + 1, end)
+                while j < close:  # the plain attribute alone, without a namespace or arguments
+                    stop = t.until(j, close, frozenset(","))
+                    never |= t.word[j:stop] in (["noreturn"], ["_Noreturn"])
+                    j = stop + 1
                 k = t.past(k)
             elif t.word[k] in _ATTRIBUTES and t.get(k + 1) == "(":
-                never |= "noreturn" in t.word[k : t.past(k + 1)]
                 k = t.past(k + 1)
             else:
                 break
@@ -380,7 +383,7 @@ class CReader:
             w = t.word[k]
             if w in _QUALIFIERS:
                 spec["words"].append(w)
-                spec["never"] |= w in ("_Noreturn", "noreturn")
+                spec["never"] |= w == "_Noreturn"
                 k += 1
                 if w in ("explicit", "_Atomic") and t.get(k) == "(":
                     spec["typed"] |= w == "_Atomic"
@@ -560,7 +563,7 @@ class CReader:
                 elif _is_name(t.get(j)) and t.get(j) not in ("new", "delete", "co_await") or t.get(j) == "::":
                     d.fixed = "conversion"
                     j = t.until(j, end, frozenset("("))
-                    d.spelled = "operator " + "".join(t.word[k + 1 : j])
+                    d.spelled = "operator " + "".join(t.word[k + 1 : j]) + "()"
                 else:
                     while j < end and t.word[j] != "(":
                         j = t.past(j) if t.word[j] == "[" else j + 1

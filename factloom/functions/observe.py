@@ -36,7 +36,7 @@ def _fact(fact, position, subject="", role="", body="", **detail):
     return fact, position[0], position[1], subject, role, body, json.dumps(detail, ensure_ascii=False, sort_keys=True) if detail else None
 
 
-_MARK = {"python": re.compile(r"#+!?\s?"), "other": re.compile(r"//+!?\s?|/\*+\s?")}
+_MARK = {"python": re.compile(r"#+!?\s?"), "other": re.compile(r"//+!?[ \t]?|/\*+[ \t]?")}
 
 
 def _comments(tokens, at, language: str, docs: set[int]):
@@ -77,6 +77,10 @@ def _comments(tokens, at, language: str, docs: set[int]):
 # ---------------------------------------------------------------------------------------------------------------- Python
 
 
+#: Annotations of functions that never return.
+_NEVER = frozenset(("Never", "NoReturn", "typing.Never", "typing.NoReturn"))
+
+
 def _python(text: str, at):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -195,7 +199,7 @@ def _python(text: str, at):
         declared = [a.arg for a in arguments[1 if receiver else 0 :]]
         returns = node.returns
         text_of = ast.unparse(returns) if returns is not None else None
-        shape = "Unknown" if text_of is None else "NoValue" if text_of == "None" else "Never" if native(returns) in ("typing.Never", "typing.NoReturn") else "Value"
+        shape = "Unknown" if text_of is None else "NoValue" if text_of == "None" else "Never" if native(returns) in ("typing.Never", "typing.NoReturn") or text_of in _NEVER else "Value"
         public = not nested and (not node.name.startswith("_") or re.fullmatch(r"__\w+__", node.name) is not None)
         subject(node, node.name, "public" if public else "internal", "callable", declared, shape)
 

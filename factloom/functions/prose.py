@@ -13,7 +13,7 @@ _DIRECTIVES = {
     "c": re.compile(rf"IWYU pragma: keep|NOLINT(?:\({_CODES}\))?"),
     "cpp": re.compile(rf"IWYU pragma: keep|NOLINT(?:\({_CODES}\))?"),
 }
-_TICKS = re.compile(r"(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
+_TICKS = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
 _TARGET = re.compile(r"(\[[^\]\n]*\])\([^()\n]*\)")
 _FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
 STOP = re.compile(r"。|(?<![\s.])\.(?=[\s\"'”’)\]]*(?:\s|$))(?!\.)")

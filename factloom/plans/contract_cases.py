@@ -5,12 +5,14 @@ The queries read no stored table; they run the observer and the rule plan over t
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.observe import observe
 from factloom.plans import review
-from factloom.sources.authority import Authority
+from factloom.sources.authority import Authority, Rejection, admit
 
 _PY = """class X:
     Q: int = 1
@@ -268,8 +270,143 @@ def _expected():
                 yield path, rule, int(line)
 
 
-QUERIES = {"contract_names": declared_names, "contract_findings": rule_findings}
+_PY_RETURN = """def calculate_totals(duration_s: float){0}:
+    \"\"\"
+    计算汇总结果
+
+    Args:
+        duration_s: 持续时间
+    Returns:
+{1}    Raises:
+        无
+    \"\"\"
+    return duration_s
+"""
+_RUST_RETURN = """/// 计算汇总结果
+///
+/// # Arguments
+/// - duration_s： 持续时间
+/// # Returns
+{1}/// # Errors
+/// - 无
+pub fn calculate_totals(duration_s: f64){0} {{
+    todo()
+}}
+"""
+_NATIVE_RETURN = """/**
+ * 计算汇总结果
+ *
+ * 参数：
+ * - 无
+ * 返回：
+{1} * 错误：
+ * - 无
+ */
+{0};
+"""
+_CONVERSION = "/**\n * 表示速度值\n */\nclass Velocity {\npublic:\n    /**\n     * 转换为布尔状态\n     *\n     * 参数：\n     * - 无\n     * 返回：\n     * - 是否处于有效状态\n     * 错误：\n     * - 无\n     */\n    operator bool() { return true; }\n};\n"
+_VALUE, _NONE, _BROKEN = " * - 汇总结果值\n", " * - 无\n", "documentation.public_contract"
+#: Sources with a return surface and an entry, and what the contract says of the pair: clean, blocked or the rule.
+RETURNS = (
+    *((f"returns/{k}.py", _PY_RETURN.format(f" -> {surface}" if surface else "", f"        {entry}\n"), outcome) for k, (surface, entry, outcome) in enumerate((
+        ("list[float]", "list[float]: 汇总结果序列", "clean"), ("dict[str, int]", "dict[str, int]: 汇总结果映射", "clean"), ("MyAlias", "MyAlias: 汇总别名结果", "clean"), ("MyAlias", "无", _BROKEN), ("None", "value: 数值描述", _BROKEN), ("None", "无", "clean"),
+        ("", "无", "blocked"), ("NoReturn", "NoReturn: 永不正常返回", _BROKEN), ("NoReturn", "无", _BROKEN), ("typing.NoReturn", "typing.NoReturn: 永不正常返回", _BROKEN), ("Never", "Never: 永不正常返回", _BROKEN), ("typing.Never", "typing.Never: 永不正常返回", _BROKEN),
+    ))),
+    *((f"returns/{k}.rs", _RUST_RETURN.format(f" -> {surface}" if surface else "", f"/// - {entry}\n"), outcome) for k, (surface, entry, outcome) in enumerate((
+        ("", "无", "clean"), ("()", "无", "clean"), ("Vec<f64>", "汇总结果序列", "clean"), ("Vec<f64>", "无", _BROKEN), ("()", "汇总结果值", _BROKEN), ("answer!()", "汇总结果值", "blocked"), ("!", "无", _BROKEN), ("!", "不返回", "clean"),
+    ))),
+    *((f"returns/{k}.c", _NATIVE_RETURN.format(f"{surface}calculate_totals(void)", entry), outcome) for k, (surface, entry, outcome) in enumerate((
+        ("_Noreturn void ", _NONE, _BROKEN), ("[[noreturn]] int ", _NONE, _BROKEN), ("MyResult ", _VALUE, "clean"), ("MyResult ", _NONE, _BROKEN), ("void ", _VALUE, _BROKEN), ("unsigned ", _VALUE, "clean"), ("void *", _VALUE, "clean"), ("noreturn void ", _NONE, "clean"),
+    ))),
+    *((f"returns/{k}.cpp", _NATIVE_RETURN.format(declaration, entry), outcome) for k, (declaration, entry, outcome) in enumerate((
+        ("auto calculate_totals() -> void", _NONE, "clean"), ("auto calculate_totals() -> int", _VALUE, "clean"), ("auto calculate_totals() -> int", _NONE, _BROKEN), ("auto calculate_totals() -> void", _VALUE, _BROKEN), ("auto calculate_totals()", _VALUE, "blocked"),
+        ("[[noreturn(1)]] void calculate_totals()", _NONE, "clean"), ("decltype(auto) calculate_totals()", _VALUE, "blocked"), ("[[noreturn]] void calculate_totals()", _NONE, _BROKEN), ("[[vendor::noreturn]] void calculate_totals()", _NONE, "clean"),
+    ))),
+    ("returns/conversion.cpp", _CONVERSION, "clean"),
+)
+
+_MARKS = (("py", "#"), ("rs", "//"), ("c", "//"), ("cpp", "//"))
+_PROSE = (
+    ("计算距离。", "source.comment_punctuation", 1), ("计算距离。再计算时间", "source.comment_punctuation", 1), ("Calculate distance.", "source.comment_punctuation", 1), ("Calculate distance. Then return", "source.comment_punctuation", 1),
+    ("计算距离（附加说明）", "source.comment_parentheses", 1), ("计算距离(additional explanation)", "source.comment_parentheses", 1), ("数组形状(B,C,H,W)", "source.comment_parentheses", 1),
+    ("计算距离并返回结果", None, 0), ("采用 v3.0.0 与 1.25 进行计算", None, 0), ("参见 https://example.org/guide 与 src/model.rs", None, 0), ("使用 `calculate_distance(1.25)` 与 `（。）`", None, 0), ("参见 [调用说明](https://example.org/guide)", None, 0),
+    ("```text\n示例内容。Calculate distance. (B,C,H,W)\n```", None, 0), ("~~~~text\n示例内容。（附加说明）\n~~~~", None, 0),
+    ("```text\n示例内容。（附加说明）\n```\n仍需检查。", "source.comment_punctuation", 4), ("`未配对的技术标记。", "source.comment_punctuation", 1), ("``未配对的技术标记。`", "source.comment_punctuation", 1), ("```call()``` 这里是正文。", "source.comment_punctuation", 1),
+)
+#: Comments of each language and the one finding they give, if any; and sources without any.
+PROSE = (
+    *((f"prose/{k}.{e}", "".join(f"{mark} {line}\n" for line in body.split("\n")), rule, line) for e, mark in _MARKS for k, (body, rule, line) in enumerate(_PROSE)),
+    *((f"prose/block.{e}", "/*\n * ```text\n * 示例内容。（附加说明）\n * ```\n */\n", None, 0) for e in ("rs", "c", "cpp")),
+    ("prose/indented.rs", "/*\n    println!(\"说明。\");\n*/\n", None, 0), ("prose/literal.py", "distance_m = '# 文本。 (字符串)'\n", None, 0), ("prose/literal.rs", "const DISTANCE_M: &str = \"// 文本。 (字符串)\";\n", None, 0),
+    ("prose/literal.c", "const char *distance_m = \"// 文本。 (字符串)\";\n", None, 0), ("prose/literal.cpp", "const char *distance_m = R\"(// 文本。 (字符串))\";\n", None, 0), ("prose/directive.py", "distance_m = 1 # pyright: ignore[report_error.1]\n", None, 0),
+    ("prose/directive.c", "double distance_m = 1; // NOLINT(readability.magic)\n", None, 0), ("prose/trailing.py", "distance_m = 1 # 距离\n", "source.trailing_comment", 1), ("prose/trailing.rs", "const DISTANCE_M: f64 = 1.0; // 距离\n", "source.trailing_comment", 1),
+)
+
+_FIXED = '{{"schema_version": 4, "external_fixed_identifiers": [{{"profile": "rust", "role": "function", "owner": "Trait<\'{0}>", "spelling": "format_value"}}]}}'
+_QUANTITY = '{{"schema_version": 4, "quantity_concepts": {0}}}'
+_ROOTS = '{{"schema_version": 4, "dependency_authority": {{"python_project_roots": [{0}]}}}}'
+#: Project facts as raw text and the code of their rejection, or ``admitted``.
+ADMISSION = (
+    ('{"schema_version": 3}', "authority.version"), ('{"schema_version": 4, "rules": null}', "authority.syntax"), ("{", "authority.syntax"), ('{"schema_version": 4, "token_vocabulary": ["a"], "token_vocabulary": []}', "authority.syntax"),
+    ('{"schema_version": 4}', "admitted"), ('{"schema_version":4,"header_languages":{"src/a.h":"rust"}}', "authority.header_language"), ('{"schema_version":4,"header_languages":{"src/a.h":"c","src\\\\a.h":"c"}}', "authority.path"),
+    *((_QUANTITY.format(q), "authority.quantity") for q in ('{"":["rad"]}', '{"phase offset":["rad"]}', '{"phase":[]}', '{"phase":["rad","rad"]}', '{"Phase":["rad"]}', '{"phase":["RAD"]}', '{"phase":["rad "]}', '{"_phase":["rad"]}', '{"phase_":["rad"]}', '{"phase__offset":["rad"]}', '{"phase":["_rad"]}', '{"phase":["rad_"]}', '{"phase":["m__s"]}', '{"phase":["2m"]}', '{"phase":["m2s"]}', '{"phase":["rad"],"phase_rad":["deg"]}')),
+    (_QUANTITY.format('{"acceleration": ["m_per_s2"]}'), "admitted"),
+    *((_FIXED.format(n), "admitted") for n in "value static _ union async await dyn try gen".split()), *((_FIXED.format(n), "authority.external_fixed") for n in "self Self crate super fn for type".split()),
+    *((_ROOTS.format(json.dumps(n)), "admitted") for n in ("数据", "℘", "a\u0301", "match", "case", "type", "_vendor")),
+    *((_ROOTS.format(json.dumps(n)), "authority.dependency") for n in ("class", "async", "await", "True", "None", "a.b", "a, b", "a as b", "a#comment", "a\nimport b", "a\\\n", " a", "a ", "a\u200b", "\u0301a", "7zip", "", "a;", "a\0")),
+    ('{"schema_version": 4, "dependency_authority": {"python_standard_library": ["shared"], "python_third_party": ["shared"]}}', "authority.dependency"),
+)
+
+
+def _reviewed(spark: SparkSession, sources, authority: Authority) -> tuple[DataFrame, DataFrame]:
+    documents = spark.createDataFrame([(path, bytearray(source.encode())) for path, source, *_ in sources], "relative_path string, content binary")
+    table = review.checkpointed(review.facts(documents, authority))
+    subjects = review._subjects(table, authority)
+    return review.source_rules(table).unionByName(review.documentation_rules(subjects)), review.coverage(table, subjects, authority)
+
+
+def return_shapes(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, outcome)``: whether return surface and entry of each source agree (B16, C12): clean, blocked, or the rule broken."""
+    paths = [path for path, _, _ in RETURNS if not path.endswith((".py", ".rs"))]
+    names = {path: ("Velocity", "operator bool()") if path.endswith("conversion.cpp") else ("calculate_totals",) for path in paths}
+    authority = Authority(public_callables=tuple((p, n) for p in paths for n in names[p]), listed_paths=tuple(paths))
+    findings, cells = _reviewed(spark, RETURNS, authority)
+    broken = findings.filter("rule like 'documentation.%' and grade = 'hard_violation'").select("path", "rule").distinct()
+    documentation = cells.filter("family = 'documentation'").select("path", "state", "reason")
+    returned = F.when((F.col("state") == "blocked") & F.col("reason").contains("[return]"), "blocked").when(F.col("state") == "blocked", F.col("reason"))
+    return documentation.join(broken, "path", "left").select("path", F.coalesce("rule", returned, F.lit("clean")).alias("outcome"))
+
+
+def comment_prose(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, rule, line)``: findings in ordinary comments (B4 to B6, C2 to C4): stops, parentheses and comments behind code, code left out."""
+    return _reviewed(spark, PROSE, Authority())[0].filter("rule like 'source.%'").select("path", "rule", F.col("line").cast("bigint").alias("line"))
+
+
+def admission_codes(spark: SparkSession, directory: str) -> DataFrame:
+    """``(pos, code)``: admission of raw project facts."""
+
+    @F.pandas_udf("string")
+    def code(raw):
+        import pandas as pd
+
+        out = []
+        for text in raw:
+            try:
+                admit(text)
+                out.append("admitted")
+            except Rejection as e:
+                out.append(e.code)
+        return pd.Series(out)
+
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(ADMISSION)], "pos bigint, raw string")
+    return rows.select("pos", code("raw").alias("code"))
+
+
+QUERIES = {"contract_names": declared_names, "contract_findings": rule_findings, "contract_returns": return_shapes, "contract_prose": comment_prose, "contract_admission": admission_codes}
 ORACLE = {
     "contract_names": f"SELECT path, pos::BIGINT AS pos, name FROM {_values([(path, k, n) for path, _, names in NAMES for k, n in enumerate(names.split())])} AS v(path, pos, name)",
     "contract_findings": f"SELECT path, rule, line::BIGINT AS line FROM {_values(_expected())} AS v(path, rule, line)",
+    "contract_returns": f"SELECT path, outcome FROM {_values((path, outcome) for path, _, outcome in RETURNS)} AS v(path, outcome)",
+    "contract_prose": f"SELECT path, rule, line::BIGINT AS line FROM {_values((path, rule, line) for path, _, rule, line in PROSE if rule)} AS v(path, rule, line)",
+    "contract_admission": f"SELECT pos::BIGINT AS pos, code FROM {_values((k, code) for k, (_, code) in enumerate(ADMISSION))} AS v(pos, code)",
 }

@@ -12,6 +12,8 @@ from factloom.functions.naming import RUST_KEYWORDS, is_root
 SCHEMA_VERSION = 4
 _FIELDS = {"schema_version", "public_callables", "token_vocabulary", "quantity_concepts", "header_languages", "external_fixed_identifiers", "dependency_authority"}
 _DEPENDENCY = {"python_standard_library": [], "python_third_party": [], "python_project_roots": [], "python_reorder_safe": False, "rust_reorder_safe": False}
+#: Keywords that some edition allows as the name of a lifetime.
+_LIFETIMES = frozenset("static async await dyn try gen union".split())
 _CONCEPT = re.compile(r"[a-z]+(?:_[a-z]+)*")
 _SUFFIX = re.compile(r"[a-z]+\d*(?:_[a-z]+\d*)*")
 
@@ -97,10 +99,11 @@ def _external(rows) -> set[tuple[str, str, str, str]]:
         spelling, owner = row["spelling"], row["owner"]
         raw = spelling.startswith("r#")
         word = spelling.removeprefix("r#")
-        path = re.fullmatch(r"((?:r#)?\w+(?:::(?:r#)?\w+)*)(?:<'[a-z_]\w*>)?", owner)
+        path = re.fullmatch(r"((?:r#)?\w+(?:::(?:r#)?\w+)*)(?:<'(\w+)>)?", owner)
         segments = path[1].split("::") if path else []
         bad = not word.isidentifier() or (raw and word in ("_", "crate", "self", "Self", "super")) or (not raw and word in RUST_KEYWORDS) or word == "_"
         bad_owner = not path or any((not s.startswith("r#") and s in RUST_KEYWORDS and not (k == 0 and len(segments) > 1 and s in ("crate", "self", "super", "Self"))) or not s.removeprefix("r#").isidentifier() or s == "_" for k, s in enumerate(segments))
+        bad_owner = bad_owner or path[2] in RUST_KEYWORDS - _LIFETIMES
         if row["profile"] != "rust" or row["role"] != "function" or bad or bad_owner:
             raise Rejection("authority.external_fixed", f"entry is not an observable Rust function: {owner}::{spelling}")
         out.add((row["profile"], row["role"], owner, spelling))

@@ -103,7 +103,7 @@ def test_roles_of_declarators():
 
 SUBJECTS = [
     ("cpp", "class A { public: A(int x); ~A(); bool operator==(const A &) const; operator bool() const; static int f(int, int b); };\ntemplate <typename T> [[noreturn]] void g(T a);\nstatic int h(void) { static int i; return i; }", [
-        ("A", "item", [], None, False), ("A", "callable", ["x"], "NoValue", True), ("~A", "callable", [], "NoValue", True), ("operator==", "callable", [], "Value", True), ("operator bool", "callable", [], "Value", False), ("f", "callable", ["b"], "Value", False),
+        ("A", "item", [], None, False), ("A", "callable", ["x"], "NoValue", True), ("~A", "callable", [], "NoValue", True), ("operator==", "callable", [], "Value", True), ("operator bool()", "callable", [], "Value", False), ("f", "callable", ["b"], "Value", False),
         ("g", "callable", ["a"], "Never", False), ("h", "callable", [], "Value", False),
     ]),
     ("c", "#define X 1\nint f(int a, ...), *g(void);\nvoid (*h)(int);\nstruct s { int m; };\n", [("X", "item", [], None, False), ("f", "callable", ["a"], "Value", False), ("g", "callable", [], "Value", False), ("s", "item", [], None, False), ("m", "item", [], None, False)]),
