@@ -13,6 +13,7 @@ from factloom.functions.lexing import TOKEN, flattened
 
 _PAIR = {"(": ")", "[": "]", "{": "}"}
 _CLOSE = frozenset(")]}")
+_BRACKETS = frozenset("()[]{}")
 
 
 @dataclass
@@ -42,35 +43,38 @@ class Tokens:
 
     def __init__(self, text: str, language: str):
         self.text = flattened(text, language)
-        self.lexed: list[str] = []
         self.comments: list[tuple[str, int, int]] = []
         self.directives: list[tuple[str, int, int]] = []
-        self.word: list[str] = []
-        self.start: list[int] = []
+        rust = language == "rust"
+        found = list(TOKEN[language].finditer(self.text))
+        self.lexed: list[str] = [m[1] for m in found]
+        starts = [m.end() - len(w) for m, w in zip(found, self.lexed)]
+        apart = set()
+        for k, w in [(k, w) for k, w in enumerate(self.lexed) if w[0] in "/#\\"]:
+            if w[0] == "/":
+                if w[1:2] not in ("/", "*") or len(w) < 2:
+                    continue
+                self.comments.append((w, starts[k], starts[k] + len(w)))
+            elif w[0] == "#":
+                if rust or w == "##":
+                    continue
+                self.directives.append((w, starts[k], starts[k] + len(w)))
+            apart.add(k)
+        if apart:
+            self.word = [w for k, w in enumerate(self.lexed) if k not in apart]
+            self.start = [a for k, a in enumerate(starts) if k not in apart]
+        else:
+            self.word, self.start = list(self.lexed), starts
+        self.stop = [a + len(w) for a, w in zip(self.start, self.word)]
         self.pair: dict[int, int] = {}
-        rust, stack, word, start, lexed = language == "rust", [], self.word, self.start, self.lexed
-        for m in TOKEN[language].finditer(self.text):
-            w, end = m[1], m.end()
-            lexed.append(w)
-            first = w[0]
-            if first == "/" and w[1:2] in ("/", "*") and len(w) > 1:
-                self.comments.append((w, end - len(w), end))
-                continue
-            if first == "#" and not rust and w != "##":
-                self.directives.append((w, end - len(w), end))
-                continue
-            if first in "([{":
-                stack.append(len(word))
-            elif first in ")]}":
-                if stack:
-                    self.pair[stack.pop()] = len(word)
-            elif first == "\\":
-                continue
-            word.append(w)
-            start.append(end - len(w))
+        stack: list[int] = []
+        for k, w in [(k, w) for k, w in enumerate(self.word) if w in _BRACKETS]:
+            if w in _PAIR:
+                stack.append(k)
+            elif stack:
+                self.pair[stack.pop()] = k
         for k in stack:
-            self.pair[k] = len(word)
-        self.stop = [a + len(w) for a, w in zip(start, word)]
+            self.pair[k] = len(self.word)
 
     @property
     def all(self) -> list[tuple[str, int, int]]:
