@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,9 @@ def scan(frame: DataFrame, per_slice: Callable[[dict[str, list]], Iterable[tuple
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # models and compiled patterns stay for good, and a file's tokens are freed by their counts: few searches for cycles are due
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
