@@ -1,8 +1,9 @@
-"""Syntactic validity of Rust, C and C++ files by a pushdown reduction.
+"""Syntactic validity of Python, Rust, C and C++ files by a pushdown reduction.
 
 A file is lexed to one class character per token.  A stack then reduces innermost bracket groups first: each closed group becomes one
 character whose bits say as which grammar roles (argument list, block, fields, ...) its content parses, so every nesting level is a flat
-string checked by compiled expressions.  Python files go to the interpreter's own parser after the same lexical checks.
+string checked by compiled expressions.  The indented blocks of Python are one more kind of group; what the stack says of a Python file is then
+confirmed by the interpreter's own parser, whose verdict is exact.
 """
 
 from __future__ import annotations
@@ -295,10 +296,131 @@ def _rust_rules() -> dict:
     }
 
 
+# ------------------------------------------------------------------------------------------------------------------ Python
+
+#: Python keywords by role.
+_PY_WORDS = {
+    "f": "def", "c": "class", "I": "if", "J": "elif", "e": "else", "W": "while", "F": "for", "N": "in", "R": "return", "b": "pass break continue", "M": "import", "G": "from", "a": "as", "H": "with", "X": "try",
+    "Y": "except", "Z": "finally", "r": "raise", "A": "assert", "d": "del", "g": "global nonlocal", "L": "lambda", "o": "and or", "!": "not", "q": "is", "y": "yield", "w": "await", "s": "async", "n": "None True False",
+}
+_PY_PUNCT = {
+    "+": "u", "-": "u", "*": "m", "**": "P", "@": "t", "~": "~", "=": "=", ":=": "x", "->": "p", ".": ".", "...": "n", ",": ",", ";": ";", ":": ":", "(": "(", ")": ")", "[": "[", "]": "]", "{": "D(", "}": ")",
+}
+_PY_NUMBER = re.compile(r"(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)$")
+_PY_STRING_START = re.compile(r"[A-Za-z]{0,2}[\"']")
+
+
+def _python_class(token: str, _words={w: k for k, v in _PY_WORDS.items() for w in v.split()}) -> str:
+    if token in _words:
+        return _words[token]
+    if token in _PY_PUNCT:
+        return _PY_PUNCT[token]
+    first = token[0]
+    if len(token) > 1 and token[-1] in "\"'" and _PY_STRING_START.match(token):
+        return "S"
+    if first.isdigit() or (first == "." and len(token) > 1):
+        return "n" if _PY_NUMBER.match(token) else _BAD
+    if token.isidentifier():
+        return "i"
+    if token in ("==", "!=", "<", ">", "<=", ">="):
+        return "k"
+    if token in ("/", "//", "%", "|", "&", "^", "<<", ">>"):
+        return "o"
+    return "Q" if len(token) > 1 and token[-1] == "=" else _BAD
+
+
+def _python_rules() -> dict:
+    """Roles of brackets and indented blocks; ``$`` ends a logical line, braces hold an indented block."""
+    par, sq, block = _any(_PAREN, 1), _any(_SQUARE, 1), _having(_BRACE, 1, 1)
+    prim = rf"(?:i|n|S+|{par}|{sq}|D{par})"
+    unary = rf"(?:[u~!w]*{prim}(?:\.i|{par}|{sq})*+)"
+    test = rf"(?:{unary}(?:(?:[uomPkqNt]|!N|q!){unary})*)"
+    expr = rf"(?:(?:ix)?(?:L[^:;$]*:)*{test}(?:I{test}e(?:L[^:;$]*:)*{test})*)"
+    yields = rf"(?:y(?:G{expr}|m?{expr}(?:,m?{expr})*,?)?)"
+    several = rf"(?:m?{expr}(?:,m?{expr})*,?)"
+    # the loop variables end at the first "in", so they hold no comparison
+    target = rf"(?:m?[u~]*{prim}(?:\.i|{par}|{sq})*)"
+    loop = rf"(?:s?F{target}(?:,{target})*,?N{expr}(?:I{expr})*)"
+    item = rf"(?:[mP]?{expr}(?::m?{expr})?(?:={expr})?{loop}*|m|o|L[^:;$]*:{expr})"
+    inside = rf"(?:{yields}|{item}(?:,{item})*,?)?"
+    slice_ = rf"(?:{expr}?:{expr}?(?::{expr}?)?)"
+    subscript = rf"(?:(?:{slice_}|{item})(?:,(?:{slice_}|{item}))*,?)?"
+    dotted = r"i(?:\.i)*"
+    small = (
+        rf"(?:b|R{several}?|r(?:{expr}(?:G{expr})?)?|A{expr}(?:,{expr})?|d{several}|gi(?:,i)*|M{dotted}(?:ai)?(?:,{dotted}(?:ai)?)*|G[.n]*(?:{dotted})?M(?:m|{par}|i(?:ai)?(?:,i(?:ai)?)*)"
+        rf"|ii{sq}?={expr}|(?:{yields}|{several}(?::{expr})?)(?:[=Q](?:{yields}|{several}))*)"
+    )
+    line = rf"(?:{small}(?:;{small})*;?\$)"
+    suite = rf"(?:\${block}|{line})"
+    with_item = rf"{expr}(?:a{target})?"
+    compound = (
+        rf"(?:t{expr}\$)*(?:s?fi{sq}?{par}(?:p{expr})?:{suite}|ci{sq}?{par}?:{suite}|I{expr}:{suite}(?:J{expr}:{suite})*(?:e:{suite})?|W{expr}:{suite}(?:e:{suite})?|s?F{target}(?:,{target})*,?N{several}:{suite}(?:e:{suite})?"
+        rf"|X:{suite}(?:(?:Ym?(?:{expr}(?:,{expr})*(?:ai)?)?:{suite})+(?:e:{suite})?)?(?:Z:{suite})?|s?H(?:{with_item}(?:,{with_item})*|{par}):{suite}|i{several}(?:ai)?(?:,m?{expr}(?:ai)?)*(?:I{expr})?:{suite})"
+    )
+    # inside parentheses an import or a with statement renames, and a pattern may too
+    renamed = rf"(?:[mP]?{expr}(?:={expr})?(?:a{target})?(?:,[mP]?{expr}(?:={expr})?(?:a{target})?)*,?)"
+    statements = rf"(?>{compound}|{line})*+"
+    return {
+        "(": (_PAREN, [re.compile(rf"{inside}|{renamed}")]), "[": (_SQUARE, [re.compile(rf"{subscript}|{renamed}")]), "{": (_BRACE, [re.compile(rf"(?>{compound}|{line})++")]),
+        "file": re.compile(statements), "start": re.compile(statements),
+    }
+
+
+def _python_shape(text: str) -> tuple[str, str | None]:
+    """Classes of a file's tokens with line ends and indented blocks, and the damage that the stacks of brackets and indents meet."""
+    classes = _machine("python")[0]
+    out: list[str] = []
+    opened: list[str] = []
+    indents = [0]
+    fresh, joined = True, False
+    for m in PYTHON_TOKEN.finditer(text):
+        token = m[1]
+        if token[0] == "#":
+            continue
+        start = m.end() - len(token)
+        broken = "\n" in text[m.start() : start] or m.start() == 0
+        if not broken and not fresh:
+            # a comment between hides the line end from the blanks before this token
+            broken = "\n" in text[last:start]
+        if broken and not opened and not joined:
+            if out and not fresh:
+                out.append("$")
+            line = text.rfind("\n", 0, start) + 1
+            column = len(text[line:start].expandtabs(8))
+            if column > indents[-1]:
+                indents.append(column)
+                out.append("{")
+            while column < indents[-1]:
+                indents.pop()
+                out.append("}")
+            if column != indents[-1]:
+                return "", "inconsistent indentation"
+        joined = token == "\\"
+        last, fresh = m.end(), False
+        if joined:
+            continue
+        if token in ("(", "[", "{"):
+            opened.append(token)
+        elif token in _OPENS:
+            if not opened or opened.pop() != _OPENS[token]:
+                return "", "unbalanced delimiter"
+        elif token in ("'", '"'):
+            return "", "unterminated literal or stray character"
+        out.append(classes[token])
+    if opened:
+        return "", "input ended inside a delimiter"
+    if not fresh:
+        out.append("$")
+    out.extend("}" for _ in indents[1:])
+    return "".join(out), None
+
+
 @lru_cache(maxsize=None)
 def _machine(language: str):
     if language == "rust":
         return _Classes(_rust_class), _rust_rules()
+    if language == "python":
+        return _Classes(_python_class), _python_rules()
     return _Classes(_c_class(language == "cpp")), _c_rules(language == "cpp")
 
 
@@ -339,7 +461,7 @@ def reduce_control(rules: dict, content: str) -> str:
 
 def _candidate_roles(language: str, kind: str, content: str, n: int):
     """Roles that the content cannot rule out by one character that only some of them may hold."""
-    if kind != "{":
+    if kind != "{" or language == "python":
         return range(n)
     if language == "rust":
         if "F" in content:
@@ -553,34 +675,33 @@ def damage_offset(text: str, language: str) -> int:
     return kept[problem[1]][1] if problem and kept else 0
 
 
-def _python_problem(text: str) -> str | None:
+def _python_problem(text: str, words: bool = True) -> str | None:
+    """Damage that the lexer, the stacks and the grammar of lines and blocks find, confirmed by the interpreter's own parser; or else what that finds.
+
+    Without ``words`` only the verdict counts, which is the interpreter's in either case.
+    """
+    shape, reason = _python_shape(text) if words else ("", None)
+    if reason is None and _BAD in shape:
+        reason = "unterminated literal or stray character"
+    if reason is None and words:
+        found = _reduced(shape, "python", False)
+        reason = found and found[0]
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             _symtable.symtable(text, "source", "exec")
             return None
         except (SyntaxError, ValueError) as e:
-            reason = str(e).split(" (")[0]
+            return reason or str(e).split(" (")[0].replace("\n", " ")
         except (RecursionError, MemoryError):
-            reason = ""
-    stack: list[str] = []
-    for token in PYTHON_TOKEN.findall(text):
-        if token in ("(", "[", "{"):
-            stack.append(token)
-        elif token in _OPENS:
-            if not stack or stack.pop() != _OPENS[token]:
-                return "unbalanced delimiter"
-        elif token in ("'", '"'):
-            return "unterminated literal or stray character"
-    if stack:
-        return "input ended inside a delimiter"
-    return reason.replace("\n", " ") or None
+            return reason
 
 
-def analyse(content: bytes | None, language: str | None, lex_python: bool = True, lexer=tokens) -> tuple[str | None, str, list[str]]:
+def analyse(content: bytes | None, language: str | None, lex_python: bool = True, lexer=tokens, words: bool = True) -> tuple[str | None, str, list[str]]:
     """``(problem, text, tokens)`` of one file: why it is no valid program (``None`` when it is), its text and its tokens.
 
-    A null content or language is not judged: ``(None, "", [])``.  Bytes that are no UTF-8 give no text.
+    A null content or language is not judged: ``(None, "", [])``.  Bytes that are no UTF-8 give no text.  A caller that asks for no ``words`` gets the
+    same verdict with a reason of any wording.
     """
     if content is None or language is None:
         return None, "", []
@@ -591,7 +712,7 @@ def analyse(content: bytes | None, language: str | None, lex_python: bool = True
     if text[:1] == "\ufeff":
         text = text[1:]
     lexed = lexer(text, language) if lex_python or language != "python" else []
-    problem = _python_problem(text) if language == "python" else _braced_problem(lexed, language)
+    problem = _python_problem(text, words) if language == "python" else _braced_problem(lexed, language)
     if problem and re.search(r"^<{7}", text, re.M) and _CONFLICT.search(text):
         problem = "merge conflict marker"
     return problem, text, lexed

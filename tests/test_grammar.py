@@ -73,3 +73,27 @@ def test_place_of_damage(language, text, at):
     from factloom.functions.grammar import damage_offset
 
     assert syntax_problem(text.encode(), language) and damage_offset(text, language) == at
+
+
+def test_python_by_the_stack():
+    """The stacks of brackets and indents and the grammar of lines judge Python by themselves; the interpreter only confirms."""
+    from factloom.functions import grammar
+
+    def damaged(text):
+        shape, reason = grammar._python_shape(text)
+        return reason or (grammar._BAD in shape and "unterminated literal or stray character") or (grammar._reduced(shape, "python", False) or (None,))[0]
+
+    valid = [
+        "", "\n# c\n", "x = 1", "def f(a, /, b: int = 1, *c, d, **e) -> list[int]:\n    '''doc'''\n    return a if b else c[1:2, ::3]\n", "@d(1)\nclass A(B, metaclass=C):\n    x: int = 1\n\n    async def f(self):\n        async with a as b, c:\n            yield await d\n",
+        "if x:\n    pass\nelif y: z = 1; w = 2\nelse:\n\tfor a, *b in c: print(a, *b, **d)\n", "try:\n    import a.b as c\nexcept (A, B) as e:\n    raise C from e\nelse:\n    pass\nfinally:\n    del x[0], y\n",
+        "x = {**a, 'b': 1, 'c': lambda q=1, *r: (q, r)}\ny = [i for j in k if l for i in j]\nz = {m for m in n}\n", "match x:\n    case A(b=1) as c if c > 2:\n        pass\n    case [1, *_] | {'k': v}:\n        pass\n", "with (open(a) as b, open(c) as d):\n    pass\n",
+        "x = a \\\n    + b\nassert x, 'y'\nglobal z\nif (n := 10) > 5: pass\n", "type X[T] = list[T]\ndef f[T](x: T): ...\nprint(f'{x!r:>{w}}' 'y')\nx, y = y, x\na = b = yield\n", "for x in a, b:\n    continue\nwhile not x is not y:\n    break\nelse:\n    pass\n",
+    ]
+    broken = [
+        "x = (1\n", "x = 1)\n", "x = 'a\n", "def f(:\n    pass\n", "if x:\nprint(1)\n", "  x = 1\ny = 2\n", "x = = 1\n", "class A\n    pass\n", "fn f() -> u8 { 1 }\n", "#include <a.h>\nint main(void) {\n  return 0;\n}\n",
+        "x = 1\n<<<<<<< HEAD\ny = 2\n=======\ny = 3\n>>>>>>> b\n", "def f():\n    return 1 +\n", "for x y:\n    pass\n", "x = [1, 2\ny = 3\n", "def f():\n", "import\n", "if x:\n        a\n    b\n", "x = 12abc\n", "this is no code.\n",
+    ]
+    for text in valid:
+        assert not damaged(text) and syntax_problem(text.encode(), "python") is None, text
+    for text in broken:
+        assert damaged(text) and syntax_problem(text.encode(), "python") == damaged(text) or "merge" in syntax_problem(text.encode(), "python"), text
