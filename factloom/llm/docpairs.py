@@ -131,7 +131,7 @@ def _documented(columns: dict[str, list]):
 
         for language in variants(path):
 
-            problem, text, _ = analyse(content, language, lex_python=False, lexer=lexer)
+            problem, text, _ = analyse(content, language, lex_python=False, lexer=lexer, words=False)
             if problem is None and text:
                 for line, name, documentation, code in documented_functions(text, language, read[0] if read else None):
                     yield file_id, path, language, line, name, documentation, code

@@ -448,7 +448,7 @@ def language_shares(spark: SparkSession, directory: str) -> DataFrame:
         files, spans = [], []
         for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
             for language in variants(path):
-                problem, text, lexed = analyse(content, language)
+                problem, text, lexed = analyse(content, language, words=False)
                 if problem is None and lexed:
                     own = prose_spans(lexed, language)
                     files.append((file_id, path, language, len(text), len(spans), len(spans) + len(own)))
