@@ -118,8 +118,16 @@ def documented_functions(text: str, language: str, tokens: Tokens | None = None)
             yield line, name, documentation, code
 
 
+class _Undocumented(Exception):
+    """A file without any documentation, of which nothing more need be known."""
+
+
+#: A docstring stands behind a colon, at most comments and line ends between.
+_DOCSTRING = re.compile(rb":(?:[ \t\f\\]|\r?\n|#[^\n]*)*[rRuU]?[\"']")
+
+
 def _documented(columns: dict[str, list]):
-    """Rows of :data:`_SCHEMA`; a file is lexed once for the check of its grammar and the reading of its declarations."""
+    """Rows of :data:`_SCHEMA`; a file is lexed once for the check of its grammar and the reading of its declarations, one without documentation only lexed."""
     for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
         read: list[Tokens] = []
 
@@ -127,11 +135,19 @@ def _documented(columns: dict[str, list]):
             # the two languages of a header differ in raw strings alone
             if not read or 'R"' in text:
                 read[:] = [Tokens(text, language)]
+            rust = language == "rust"
+            if not any(_doc_comment(token, rust) is not None for token, _, _ in read[0].comments) and not (rust and any(True for _ in doc_attributes(read[0]))):
+                raise _Undocumented
             return read[0].lexed
 
         for language in variants(path):
 
-            problem, text, _ = analyse(content, language, lex_python=False, lexer=lexer, words=False)
+            if language == "python" and not _DOCSTRING.search(content or b""):
+                continue
+            try:
+                problem, text, _ = analyse(content, language, lex_python=False, lexer=lexer, words=False)
+            except _Undocumented:
+                continue
             if problem is None and text:
                 for line, name, documentation, code in documented_functions(text, language, read[0] if read else None):
                     yield file_id, path, language, line, name, documentation, code
