@@ -131,9 +131,16 @@ def language_of(path: str, header_profile: str | None) -> str | None:
     return EXTENSION_LANGUAGE.get(extension)
 
 
+_last: list = [None, []]
+
+
 def tokens(text: str, language: str) -> list[str]:
-    """All tokens, comments and directives included, in source order."""
-    return TOKEN[language].findall(flattened(text, language))
+    """All tokens, comments and directives included, in source order; not to be changed, as a header read as C and as C++ is lexed once."""
+    if language not in ("c", "cpp"):
+        return TOKEN[language].findall(flattened(text, language))
+    if _last[0] != text or 'R"' in text:
+        _last[:] = [text, TOKEN[language].findall(flattened(text, language))]
+    return _last[1]
 
 
 def spans(text: str, language: str):
