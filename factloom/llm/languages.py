@@ -305,8 +305,24 @@ def prepared(text: str) -> str | None:
     return _DIGITS.sub("0", clean)
 
 
+def _words_in_a_row(text: str) -> int:
+    """Words of a text, those with ideographs apart."""
+    words = _WORD.findall(text)
+    return len(words) if text.isascii() else sum(1 for w in words if not _IDEOGRAPH.search(w))
+
+
 def passages(text: str, path: np.ndarray) -> dict[str, int]:
     """Languages with a prose passage in the decoded normal form, and how many of its characters each of them takes."""
+    first = int(path[0]) if len(path) else 0
+    if not (path != first).any():
+        language = STATES[first]
+        if language == "code":
+            return {}
+        if language in ("zh", "ja"):
+            held = len(_IDEOGRAPH.findall(text)) >= HAN_CHARACTERS
+        else:
+            held = _words_in_a_row(text) >= WORDS
+        return {language: len(path)} if held else {}
     best: dict[str, int] = defaultdict(int)
     run, count = None, 0
     for m in _WORD.finditer(text):
@@ -355,7 +371,8 @@ def prose_spans(lexed: list[str], language: str) -> list[tuple[str, float]]:
                     block.append(token)
             continue
         seen_code = True
-        flush()
+        if block:
+            flush()
         if first == "#" and language in ("c", "cpp"):
             for m in SPAN[language].finditer(token):
                 if m.lastgroup == "c":
@@ -374,6 +391,9 @@ _cache: dict[str, dict[str, int]] = {}
 
 def _short(line: str) -> bool:
     """Whether a line alone cannot hold a passage but has words or ideographs that may be part of one."""
+    # plain words stay when identifiers and labels go, but for the first word of a label
+    if sum(map(str.isalpha, line.split())) > WORDS and line.isascii():
+        return False
     clean = _IDENTIFIER.sub(" ", line)
     return len(_IDEOGRAPH.findall(clean)) < HAN_CHARACTERS and 0 < len(_WORD.findall(clean)) < WORDS
 
@@ -447,12 +467,15 @@ def language_shares(spark: SparkSession, directory: str) -> DataFrame:
     def per_slice(columns):
         files, spans = [], []
         for file_id, path, content in zip(columns["file_id"], columns["relative_path"], columns["content"]):
+            held = None
             for language in variants(path):
                 problem, text, lexed = analyse(content, language, words=False)
                 if problem is None and lexed:
-                    own = prose_spans(lexed, language)
-                    files.append((file_id, path, language, len(text), len(spans), len(spans) + len(own)))
-                    spans += own
+                    if held is None or held[0] is not lexed:  # a header's tokens are the same in both languages
+                        begin = len(spans)
+                        spans += prose_spans(lexed, language)
+                        held = lexed, begin, len(spans)
+                    files.append((file_id, path, language, len(text), *held[1:]))
         decoded = decode_spans(model.value, spans)
         for file_id, path, language, size, a, b in files:
             total: dict[str, float] = defaultdict(float)
