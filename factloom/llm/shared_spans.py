@@ -16,7 +16,7 @@ from factloom.llm.common import checkpointed, scan
 from factloom.sources.tables import table
 
 #: Least length of a shared span; bytes of a seed.  Every MINIMUM bytes hold MINIMUM - SEED + 1 seeds, the window of the winnowing.
-MINIMUM, SEED = 400, 256
+MINIMUM, SEED = 400, 200
 #: Holders of one span that a task pairs with as many others; a larger group is split into blocks of this size.
 BLOCK = 2000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
