@@ -81,27 +81,57 @@ def _comments(tokens, at, language: str, docs: set[int]):
 _NEVER = frozenset(("Never", "NoReturn", "typing.Never", "typing.NoReturn"))
 
 
+_NATIVE_MODULES = ("enum", "typing", "ctypes", "builtins")
+_BUILTIN_DECORATORS = ("staticmethod", "classmethod", "property")
+_PLAIN_METHODS = ("enum.nonmember", *(f"builtins.{d}" for d in _BUILTIN_DECORATORS))
+#: Methods that take the class without being told so.
+_CLASS_METHODS = ("__init_subclass__", "__class_getitem__", "__new__")
+
+
+def _rebound(tree: ast.Module) -> set[str]:
+    """Names that the module's own statements bind other than by importing, branches included; an attribute set on a name counts as well."""
+    out: set[str] = set()
+    stack: list = list(tree.body)
+    while stack:
+        node = stack.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            out.add(node.name)
+            continue
+        if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.For, ast.AsyncFor)):
+            for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                for x in ast.walk(t):
+                    if isinstance(x, ast.Name):
+                        out.add(x.id)
+        for field in ("body", "orelse", "finalbody", "handlers", "cases"):
+            stack.extend(getattr(node, field, None) or () if isinstance(getattr(node, field, None), list) else ())
+    return out
+
+
 def _python(text: str, at):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(text)
     lines = text.split("\n")
-    natives = {}
+    natives: dict[str, str] = {}
     for node in tree.body:
-        if isinstance(node, ast.ImportFrom) and node.module in ("enum", "typing", "ctypes", "builtins") and not node.level:
+        if isinstance(node, ast.ImportFrom) and node.module in _NATIVE_MODULES and not node.level:
             natives |= {a.asname or a.name: f"{node.module}.{a.name}" for a in node.names}
         elif isinstance(node, ast.Import):
-            natives |= {a.asname or a.name: a.name for a in node.names if a.name in ("enum", "typing", "ctypes", "builtins")}
-        elif isinstance(node, (ast.Assign, ast.FunctionDef, ast.ClassDef)):
-            for name in [t.id for t in getattr(node, "targets", ()) if isinstance(t, ast.Name)] or [getattr(node, "name", "")]:
-                natives.pop(name, None)
+            natives |= {a.asname or a.name: a.name for a in node.names if a.name in _NATIVE_MODULES}
+    imported = {a.asname or a.name.split(".")[0] for node in ast.walk(tree) if isinstance(node, (ast.Import, ast.ImportFrom)) for a in node.names}
+    shadowed = _rebound(tree)
+    for name in shadowed:
+        natives.pop(name, None)
 
     def native(node) -> str:
         if isinstance(node, ast.Call):
             node = node.func
         if isinstance(node, ast.Attribute) and isinstance(node.value, ast.Name):
             return f"{natives.get(node.value.id, '')}.{node.attr}"
-        return natives.get(node.id, "") if isinstance(node, ast.Name) else ""
+        if not isinstance(node, ast.Name):
+            return ""
+        own = natives.get(node.id, "")
+        return own or (f"builtins.{node.id}" if node.id in _BUILTIN_DECORATORS and node.id not in shadowed and node.id not in imported else "")
 
     def where(node, name=None):
         column = node.col_offset
@@ -118,7 +148,7 @@ def _python(text: str, at):
 
     def target(node, role="variable", scope="module"):
         if isinstance(node, ast.Name):
-            constant = scope in ("module", "class") and node.id.isupper() and role == "variable"
+            constant = scope == "module" and node.id.isupper() and role == "variable"
             if (node.id == "__all__" and scope == "module") or (node.id == "__slots__" and scope == "class"):
                 return
             name(node, node.id, "constant" if constant and "_" in node.id + "_" and len(node.id) > 1 else role)
@@ -136,7 +166,7 @@ def _python(text: str, at):
         for child in ast.iter_child_nodes(node):
             inner, kind, below = scope, owner, nested
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                name(child, child.name, "function")
+                method_role(child, scope, owner)
                 inner, below = "function", True
                 function(child, scope, nested)
                 kind = None
@@ -153,6 +183,8 @@ def _python(text: str, at):
                 for t in child.targets:
                     if scope == "class" and owner == "enum" and isinstance(t, ast.Name):
                         if t.id in ("_ignore_", "_order_"):
+                            if t.id == "_ignore_" and not isinstance(child.value, (ast.Constant, ast.List, ast.Tuple)):
+                                out.append(_fact("gap", where(t), t.id, "identifier", body="enum member role is unresolved"))
                             continue
                         if isinstance(child.value, (ast.Constant, ast.Tuple)) or factory in ("enum.auto", "enum.member"):
                             name(t, t.id, "enum_member")
@@ -190,10 +222,22 @@ def _python(text: str, at):
                 name(child, child.name, "type_parameter")
             visit(child, inner, kind if inner == scope or inner == "class" else None, below)
 
+    def method_role(node, scope, owner):
+        """A decorated member of an enumeration is a member where ``enum.member`` says so; other decorators must be known."""
+        decorators = [native(d) for d in node.decorator_list]
+        if scope == "class" and owner == "enum" and "enum.member" in decorators and len(decorators) == 1:
+            name(node, node.name, "enum_member")
+        elif scope == "class" and owner == "enum" and any(d not in _PLAIN_METHODS for d in decorators):
+            out.append(_fact("gap", where(node, node.name), node.name, "identifier", body="enum member role is unresolved"))
+        else:
+            name(node, node.name, "function")
+
     def function(node, scope, nested):
         arguments = _arguments(node.args)
-        decorators = {native(d) or getattr(d, "id", "") for d in node.decorator_list}
-        receiver = scope == "class" and arguments and arguments[0].arg in ("self", "cls") and "staticmethod" not in decorators
+        decorators = {native(d) for d in node.decorator_list}
+        static = "builtins.staticmethod" in decorators
+        takes_class = not static and ("builtins.classmethod" in decorators or node.name in _CLASS_METHODS)
+        receiver = scope == "class" and bool(arguments) and not static and arguments[0].arg == ("cls" if takes_class else "self")
         for k, a in enumerate(arguments):
             name(a, a.arg, "receiver" if receiver and not k else "variable")
         declared = [a.arg for a in arguments[1 if receiver else 0 :]]

@@ -189,7 +189,15 @@ FINDINGS = (
     ("imports/unknown.rs", "use $first;\nuse crate::{zeta, alpha};\nuse $second;\n", "dependency.order:2"), ("imports/member.rs", "use crate::{zeta, $unknown, alpha};\n", ""),
     ("imports/partial.rs", "use zeta;\nuse crate::{zeta, alpha, $unknown};\nuse alpha;\n", "dependency.order:2"), ("imports/neighbours.rs", "use std::b;\nuse std::a;\n", "dependency.order:2"),
     ("imports/kinds.rs", "use self::a;\nuse super::a;\nuse crate::a;\nuse a::b2;\nuse a::b10;\nuse a::b10::c;\nuse a::{x};\n", ""), ("imports/sorted.py", "import os\nimport sys\n\nimport numpy\n", ""),
-    ("imports/unsorted.py", "import sys\nimport os\n", "dependency.order:2"), ("imports/star.py", "from project import *\n", "dependency.wildcard:1"),
+    ("imports/unsorted.py", "import sys\nimport os\n", "dependency.order:2"),
+    ("imports/star.c", "#include \"*\"\n", ""), ("imports/star.cpp", "#include \"*\"\n", ""), ("imports/glob.rs", "use crate::module::*;\n", "dependency.wildcard:1"), ("imports/groups.py", "import sys\nvalue = 1\nimport os\n", ""),
+    ("imports/groups.rs", "use zeta::module;\nmod inner { use alpha::module; }\n", ""), ("imports/modules.rs", "use zeta::module;\nuse alpha::module;\n", "dependency.order:2"), ("imports/spacing.py", "import os\n\nimport sys\n", "dependency.order:3"),
+    ("imports/tiers.py", "import os\nimport numpy\n", "dependency.order:2"), ("imports/tie.rs", "use alpha1::module;\nuse alpha01::module;\n", "dependency.order:2"), ("imports/roots.rs", "use alpha::module;\npub(crate) use self::module;\n", "dependency.order:2"),
+    *((f"imports/evidence_{k}.py", source, " ".join(f"dependency.order:{n}" for n in lines)) for k, (source, lines) in enumerate((
+        ("import sys\nimport os\nimport unknown\n", (2,)), ("import unknown\nimport sys\nimport os\n", (3,)), ("import sys\nimport unknown\nimport os\n", ()), ("import sys\nimport os, numpy\nimport os\n", (2, 3)), ("import sys\nimport os\nimport os, numpy\n", (2,)),
+        ("import sys\nimport os\ndef _value():\n    import unknown\n", (2,)), ("import sys\ndef _value():\n    import unknown\nimport os\n", ()), ("import unknown\nif TYPE_CHECKING:\n    import sys\n    import os\n", (4,)), ("import unknown\nimport os\nimport numpy\n", (3,)),
+        ("def _load():\n    import sys, first_missing as missing, os\n    import second_missing, sys, os\n", (3,)),
+    ))), ("imports/star.py", "from project import *\n", "dependency.wildcard:1"),
     ("names/invalid.py", "velocity = 1\nclass calculate_velocity:\n    def Velocity(self, Distance_velocity):\n        Q = Distance_velocity\n        return Q\n", f"{_HARD} 4"),
     ("names/invalid.rs", "struct calculate_velocity;\nconst velocity: f64 = 1.0;\nenum Distance { VELOCITY }\nfn Velocity(distance_m: f64) { let Q = distance_m; }\n", f"{_HARD} 4"),
     ("names/invalid.c", "typedef int Velocity;\nenum distance { velocity };\ndouble Velocity(double distance_m);\nint _Velocity;\nint __velocity;\nint _velocity;\nint Q;\n", f"{_HARD} 6"),
@@ -402,8 +410,64 @@ def admission_codes(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("pos", code("raw").alias("code"))
 
 
-QUERIES = {"contract_names": declared_names, "contract_findings": rule_findings, "contract_returns": return_shapes, "contract_prose": comment_prose, "contract_admission": admission_codes}
+_ENUM = "from enum import Enum\nclass Direction(Enum):\n    "
+_MEMBER = "from enum import Enum, member\nclass Direction(Enum):\n    "
+#: Python sources, a subject, and whether its native role is proven (no form is broken), disproven (the rule), or unresolved (blocked).
+ROLES = tuple((f"roles/{k}.py", *row) for k, row in enumerate((
+    ("from typing import TypeAlias as Declaration\nFieldValue: Declaration = int\n", "FieldValue", "proven"), (_MEMBER + "@member\n    def LEFT():\n        return 1\n", "LEFT", "proven"), ("from enum import Enum, nonmember\nclass Direction(Enum):\n    left = nonmember(1)\n", "left", "proven"),
+    (_ENUM + "@staticmethod\n    def lower_name():\n        return 1\n", "lower_name", "proven"), ("from enum import Enum, member as staticmethod\nclass Direction(Enum):\n    @staticmethod\n    def LEFT():\n        return 1\n", "LEFT", "proven"), (_ENUM + "@classmethod\n    def lower_name(cls):\n        return 1\n", "lower_name", "proven"),
+    ("from enum import Enum, member as property\nclass Direction(Enum):\n    @property\n    def LEFT():\n        return 1\n", "LEFT", "proven"), (_ENUM + "@property\n    def lower_name(self):\n        return 1\n", "lower_name", "proven"), ("from enum import Enum, nonmember\nclass Direction(Enum):\n    @nonmember\n    def lower_name():\n        return 1\n", "lower_name", "proven"),
+    ("TypeAlias = int\nFieldValue: TypeAlias = 1\n", "FieldValue", "identifier.canonical_form"), (_ENUM + "LEFT = 1\n", "LEFT", "proven"), ('from typing import TypeVar\n_FieldValue = TypeVar("_FieldValue")\n', "_FieldValue", "proven"), ("import ctypes\nclass MemoryStatus(ctypes.Structure):\n    _fields_ = []\n", "_fields_", "proven"),
+    ("from enum import IntFlag as Options\nclass Direction(Options):\n    LEFT = 1\n", "LEFT", "proven"), ("import enum as choices\nclass Direction(choices.StrEnum):\n    LEFT = 'left'\n", "LEFT", "proven"), ('from typing import TypeVar as Parameter\n_FieldValue = Parameter("_FieldValue")\n', "_FieldValue", "proven"),
+    ('import typing as types\n_FieldValue = types.TypeVar("_FieldValue")\n', "_FieldValue", "proven"), ("from ctypes import Union as Storage\nclass MemoryStatus(Storage):\n    _fields_ = []\n", "_fields_", "proven"),
+    ("from builtins import classmethod as method\nclass Distance:\n    @method\n    def value(cls) -> int:\n        return 1\n", "cls", "proven"), ("class Medium:\n    def __init_subclass__(\n        # 子类接收者\n        cls,\n    ) -> None:\n        pass\n", "cls", "proven"), ("class Medium:\n    def __class_getitem__(cls, index):\n        pass\n", "cls", "proven"),
+    ("class Distance:\n    @transform\n    def value(self) -> int:\n        return 1\n", "self", "proven"), ("from builtins import staticmethod as method\nclass Distance:\n    @method\n    def value(cls) -> int:\n        return 1\n", "cls", "identifier.unknown_token"), ("class Direction:\n    LEFT = 1\n", "LEFT", "identifier.canonical_form"),
+    ("class Enum:\n    pass\nclass Direction(Enum):\n    LEFT = 1\n", "LEFT", "identifier.canonical_form"), ("from enum import Enum\nEnum = object\nclass Direction(Enum):\n    LEFT = 1\n", "LEFT", "identifier.canonical_form"), ("from enum import Enum\nif active:\n    Enum = object\nclass Direction(Enum):\n    LEFT = 1\n", "LEFT", "identifier.canonical_form"),
+    ("from enum import Enum\nif active:\n    Enum = object\n    class Direction(Enum):\n        LEFT = 1\n", "LEFT", "identifier.canonical_form"), ("from another import Enum\nclass Direction(Enum):\n    LEFT = 1\n", "LEFT", "identifier.canonical_form"), (_ENUM + "left = 1\n", "left", "identifier.canonical_form"),
+    ('from typing import TypeVar\nTypeVar = object\n_FieldValue = TypeVar("_FieldValue")\n', "_FieldValue", "identifier.canonical_form"), ('from typing import TypeVar\nfield_value = TypeVar("field_value")\n', "field_value", "identifier.canonical_form"), ("class MemoryStatus:\n    _fields_ = []\n", "_fields_", "identifier.canonical_form"),
+    ("import ctypes\nctypes = other\nclass MemoryStatus(ctypes.Structure):\n    _fields_ = []\n", "_fields_", "identifier.canonical_form"), ("import ctypes\nctypes.Structure = other\nclass MemoryStatus(ctypes.Structure):\n    _fields_ = []\n", "_fields_", "identifier.canonical_form"),
+    ("def __init_subclass__(cls) -> None:\n    pass\n", "cls", "identifier.unknown_token"), ("class Medium:\n    @staticmethod\n    def __init_subclass__(cls) -> None:\n        pass\n", "cls", "identifier.unknown_token"),
+    (_ENUM + "left = descriptor()\n", "left", "unresolved"), (_ENUM + "_ignore_ = names\n    LEFT = 1\n", "_ignore_", "unresolved"), ("from enum import Enum\nfrom typing import TypeVar\nclass Direction(Enum):\n    FieldValue = TypeVar('FieldValue')\n", "FieldValue", "unresolved"),
+    (_MEMBER + "@transform\n    @member\n    def LEFT():\n        return 1\n    RIGHT = 2\n", "LEFT", "unresolved"), (_MEMBER + "_ignore_ = names\n    @member\n    def LEFT():\n        return 1\n", "_ignore_", "unresolved"), ("from enum import Enum, member\nDECORATOR = member\nclass Direction(Enum):\n    @DECORATOR\n    def lower_name(cls):\n        return 1\n", "lower_name", "unresolved"),
+    (_MEMBER + "DECORATOR = member\n    @DECORATOR\n    def lower_name(cls):\n        return 1\n", "lower_name", "unresolved"), ("from enum import Enum\nfrom other import DECORATOR\nclass Direction(Enum):\n    @DECORATOR\n    def lower_name(cls):\n        return 1\n", "lower_name", "unresolved"),
+)))
+
+
+def native_roles(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, outcome)``: native roles of Python names (B11): proven, unresolved where the family is blocked, or the rule that the subject breaks."""
+    documents = spark.createDataFrame([(path, bytearray(source.encode())) for path, source, _, _ in ROLES], "relative_path string, content binary")
+    wanted = spark.createDataFrame([(path, subject) for path, _, subject, _ in ROLES], "path string, subject string")
+    table = review.checkpointed(review.facts(documents, AUTHORITY))
+    broken = review.identifier_rules(table, AUTHORITY).filter("grade = 'hard_violation' or subject = 'cls'").join(wanted, ["path", "subject"]).groupBy("path").agg(F.min("rule").alias("rule"))
+    cells = review.coverage(table, review._subjects(table, AUTHORITY), AUTHORITY).filter("family = 'identifier'").select("path", "state")
+    outcome = F.when(F.col("state") == "blocked", "unresolved").otherwise(F.coalesce("rule", F.lit("proven")))
+    return cells.join(broken, "path", "left").select("path", outcome.alias("outcome"))
+
+
+_REJECTED = "observation method python@ast+direct-source-facts-v3 rejected source at 2:7: source is not valid UTF-8"
+_UNSUPPORTED = "target and preprocessing analysis is unsupported at "
+#: Sources and the blocked families with the reason that the contract states (the name of the observation method is this project's own).
+REASONS = (
+    ("src/velocity.py", b"# \xce\xb1\r\n    \xc3\xa9\xff", tuple((f, _REJECTED) for f in ("structure", "identifier", "documentation", "dependency_declaration"))),
+    ("src/value.c", b"#include <stddef.h>\n#if ENABLED\n#include <stdint.h>\n#endif\n", (("dependency_declaration", _UNSUPPORTED + "1:1, 3:1"),)),
+    ("src/value.cpp", b"import first;\n#include <vector>\n#if ENABLED\nimport second;\n#include <string>\n#endif\n", (("dependency_declaration", _UNSUPPORTED + "1:1, 2:1, 4:1, 5:1"),)),
+    ("src/unowned.c", "/** 计算速度 */\n\n/** 计算距离 */\ndouble calculate_velocity(double value);\ndouble calculate_distance(double value);\n".encode(), (("documentation", "unresolved callable documentation facts: calculate_distance@5:8[tier]; calculate_velocity@4:8[tier]"),)),
+    ("src/missing.py", b"def _load() -> None:\n    import sys, first_missing as missing, os\n    import second_missing, sys, os\n", (("dependency_declaration", "classification is absent from Authority at 2:17: first_missing; classification is absent from Authority at 3:12: second_missing"),)),
+    ("src/clean.py", b"value = 1\n", ()),
+)
+
+
+def blocked_reasons(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, family, reason)``: blocked cells of the coverage with their reasons in order."""
+    documents = spark.createDataFrame([(path, bytearray(content)) for path, content, _ in REASONS], "relative_path string, content binary")
+    table = review.checkpointed(review.facts(documents, AUTHORITY))
+    return review.coverage(table, review._subjects(table, AUTHORITY), AUTHORITY).filter("state = 'blocked'").select("path", "family", "reason")
+
+
+QUERIES = {"contract_roles": native_roles, "contract_reasons": blocked_reasons, "contract_names": declared_names, "contract_findings": rule_findings, "contract_returns": return_shapes, "contract_prose": comment_prose, "contract_admission": admission_codes}
 ORACLE = {
+    "contract_roles": f"SELECT path, outcome FROM {_values((path, outcome) for path, _, _, outcome in ROLES)} AS v(path, outcome)",
+    "contract_reasons": f"SELECT path, family, reason FROM {_values((path, family, reason) for path, _, cells in REASONS for family, reason in cells)} AS v(path, family, reason)",
     "contract_names": f"SELECT path, pos::BIGINT AS pos, name FROM {_values([(path, k, n) for path, _, names in NAMES for k, n in enumerate(names.split())])} AS v(path, pos, name)",
     "contract_findings": f"SELECT path, rule, line::BIGINT AS line FROM {_values(_expected())} AS v(path, rule, line)",
     "contract_returns": f"SELECT path, outcome FROM {_values((path, outcome) for path, _, outcome in RETURNS)} AS v(path, outcome)",

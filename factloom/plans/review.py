@@ -86,12 +86,18 @@ def _finding(frame: DataFrame, rule, observation, message, question=None, subjec
     )
 
 
+def _rejected() -> F.Column:
+    """What a damage fact says of the source, as finding and as reason of the blocked families."""
+    method = F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair])[F.col("language")]
+    return F.format_string("observation method %s rejected source at %d:%d: %s", method, F.col("line"), F.col("column_no"), F.col("body"))
+
+
 def source_rules(table: DataFrame) -> DataFrame:
     """C1 to C4."""
     no_subject = F.lit("")
     damage, trailing, lines = table.filter("fact = 'damage'"), table.filter("fact = 'trailing'"), table.filter("fact = 'prose'")
     return (
-        _finding(damage, "source.parseability", F.col("body"), "source must be valid for its language", subject=no_subject)
+        _finding(damage, "source.parseability", _rejected(), "source must be valid for its language", subject=no_subject)
         .unionByName(_finding(trailing, "source.trailing_comment", F.col("body"), "ordinary comments must not share a physical line with code", subject=no_subject))
         .unionByName(_finding(lines.filter(F.col("body").rlike(prose.STOP.pattern)), "source.comment_punctuation", F.col("body"), "comment prose must not end sentences with a full stop", subject=no_subject))
         .unionByName(_finding(lines.filter(F.col("body").rlike("[()（）]")), "source.comment_parentheses", F.col("body"), "comment prose has parentheses", "are the parentheses technically necessary?", subject=no_subject))
@@ -229,10 +235,7 @@ def coverage(table: DataFrame, subjects: DataFrame, authority: Authority) -> Dat
     """The dense grid (A.6, G5): six cells per file, each complete with a count or blocked with its reasons in order."""
     spark = table.sparkSession
     files = table.filter("fact = 'lines'").select("path", "language", F.col("line").alias("physical"))
-    method = F.create_map(*[F.lit(x) for pair in METHODS.items() for x in pair])[F.col("language")]
-    damage = table.filter("fact = 'damage'").select(
-        "path", F.format_string("observation method %s rejected source at %d:%d: %s", method, F.col("line"), F.col("column_no"), F.col("body")).alias("damage")
-    )
+    damage = table.filter("fact = 'damage'").select("path", _rejected().alias("damage"))
 
     def joined(rows, family, sort):
         return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*sort, "gap"))), lambda x: x["gap"]), "; ").alias("gap")).withColumn("family", F.lit(family))
@@ -248,7 +251,10 @@ def coverage(table: DataFrame, subjects: DataFrame, authority: Authority) -> Dat
     imports = _imports(table, authority)
     unclassified = imports.filter("(language = 'python' and class_rank is null and role <> 'future')").withColumn("gap", F.concat(F.lit("classification is absent from Authority at "), at, F.lit(": "), F.col("subject")))
     mixed = imports.filter("language = 'python'").groupBy("path", "statement").agg(F.countDistinct("class_rank").alias("n"), F.min("line").alias("line"), F.min("column_no").alias("column_no")).filter("n > 1").withColumn("gap", F.lit("mixed-class import statement layout is unsupported"))
-    includes = imports.filter("role = 'include'").withColumn("gap", F.concat(F.lit("target and preprocessing analysis is unsupported at "), at))
+    # one reason for all of a file's native imports, their places in source order
+    places = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "column_no"))), lambda x: F.concat_ws(":", x["line"], x["column_no"])), ", ")
+    native = imports.filter("role = 'include'").groupBy("path").agg(places.alias("places"), F.min("line").alias("line"), F.min("column_no").alias("column_no"))
+    includes = native.withColumn("gap", F.concat(F.lit("target and preprocessing analysis is unsupported at "), F.col("places")))
     columns = ["path", "line", "column_no", "gap"]
     unknown = table.filter("fact = 'gap' and role = 'dependency_declaration'").withColumn("gap", F.concat(F.col("body"), F.lit(" at "), at, F.lit(": "), F.col("subject")))
     dependency = joined(unclassified.select(columns).unionByName(mixed.select(columns)).unionByName(includes.select(columns)).unionByName(unknown.select(columns)), "dependency_declaration", ["line", "column_no"])
