@@ -145,7 +145,6 @@ class _Declarator:
     constant: bool = False  # its outermost derivation is const
     fixed: str = ""  # constructor, destructor, operator, conversion
     bindings: list[int] = field(default_factory=list)
-    arrow: tuple[int, int] | None = None
     reference: bool = False
 
 
@@ -157,7 +156,6 @@ class CReader:
         self.cpp = language == "cpp"
         self.names: list[tuple[int, str, str]] = []
         self.subjects: list[Declared] = []
-        self.imports: list[tuple[int, str]] = []
         for token, start, _ in self.t.directives:
             m = _DEFINE.match(token)
             if m:
