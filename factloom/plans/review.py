@@ -6,6 +6,7 @@ small admitted tables.  Rules are filters and joins over the facts, their union
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from dataclasses import dataclass
@@ -25,6 +26,8 @@ from factloom.sources.authority import Authority, Rejection, normalise_path
 #: Identities of the observation methods, by language.
 METHODS = {"python": "python@ast+direct-source-facts-v3", "rust": "rust@lexer+direct-source-facts-v3", "c": "c@lexer+direct-source-facts-v3", "cpp": "cpp@lexer+direct-source-facts-v3"}
 SCHEMA_VERSION = 4
+#: Repeated paths up to which they are sent to the facts instead of being joined by an exchange.
+REPEATED_PATHS = 1_000_000
 _FACTS = "path string, language string, fact string, line int, column_no int, subject string, role string, body string, detail string"
 _FINDING = ["rule", "grade", "path", "line", "column_no", "subject", "observation", "question", "message"]
 
@@ -58,6 +61,9 @@ def facts(documents: DataFrame, authority: Authority, header_variants: bool = Fa
     types = [pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string() for f in schema]
 
     def run(batches):
+        # a file's tokens are freed by their counts: few searches for cycles are due
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
@@ -418,8 +424,14 @@ def stored_facts(spark: SparkSession, directory: str) -> tuple[DataFrame, Author
     words = stored(spark, directory, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("token")).filter("token <> ''").distinct()
     authority = Authority(dependency_classes=(("itertools", "standard"), ("json", "standard"), ("math", "standard"), ("os", "standard"), ("sys", "standard")), python_reorder_safe=True, rust_reorder_safe=True)
     files = stored(spark, directory, "source_documents").filter("file_id is not null and relative_path is not null").select("relative_path", "content")
-    key = ["path", "language", "fact", "line", "column_no", "subject", "role", "body"]
-    read = checkpointed(facts(files, authority, header_variants=True).dropDuplicates(key))
+    read = checkpointed(facts(files, authority, header_variants=True))
+    # only the facts of files that were delivered more than once have to be compared with each other
+    repeated = checkpointed(files.groupBy(F.translate("relative_path", "\\", "/").alias("path")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("path"))
+    count = repeated.count()
+    if count:
+        side = F.broadcast(repeated) if count <= REPEATED_PATHS else repeated
+        several = read.join(side, "path", "left_semi").dropDuplicates(["path", "language", "fact", "line", "column_no", "subject", "role", "body"])
+        read = read.join(side, "path", "left_anti").unionByName(several)
     profiles = header_profiles(spark, directory).withColumnRenamed("profile", "_profile")
     headers = read.filter(F.col("path").endswith(".h")).join(profiles, "path", "left")
     kept = headers.filter(F.col("language") == F.when(F.col("_profile") == "cpp", "cpp").otherwise("c")).drop("_profile")
