@@ -41,7 +41,7 @@ _MARK = {"python": re.compile(r"#+!?\s?"), "other": re.compile(r"//+!?[ \t]?|/\*
 
 def _comments(tokens, at, language: str, docs: set[int]):
     """Ordinary comments: trailing ones, and each line of their masked prose."""
-    last_code_line, run = 0, []
+    last_code, run = None, []
 
     def flush():
         if run:
@@ -53,15 +53,16 @@ def _comments(tokens, at, language: str, docs: set[int]):
     for token, start, end in tokens:
         is_comment = token.startswith("#") if language == "python" else token.startswith(("//", "/*"))
         if not is_comment:
-            yield from flush()
-            last_code_line = at(max(start, end - 1))[0]
+            if run:
+                yield from flush()
+            last_code = max(start, end - 1)
             continue
         if start in docs:
             continue
         line, column = at(start)
         body = _MARK["python" if language == "python" else "other"].sub("", token, count=1)
         body = re.sub(r"\*+/$", "", body) if token.startswith("/*") else body
-        if last_code_line == line:
+        if last_code is not None and at(last_code)[0] == line:
             yield from flush()
             if not prose.is_directive(body, language):
                 yield _fact("trailing", (line, column), body=body.strip())
@@ -535,11 +536,12 @@ def observe(content: bytes | None, language: str) -> list[tuple]:
         read.append(Tokens(text, language))
         return read[0].lexed
 
-    problem, text, _ = analyse(data, language, lex_python=False, lexer=lexer)
+    problem, text, _ = analyse(data, language, lex_python=False, lexer=lexer, words=False)
     at = _positions(text)
     if problem:
         position = (1, 1)
         if language == "python":
+            problem = analyse(data, language, lex_python=False)[0] or problem
             try:
                 ast.parse(text)
             except SyntaxError as e:

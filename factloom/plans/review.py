@@ -1,6 +1,6 @@
 """The review: admitted files to facts, facts to findings and coverage, and one sealed, deterministic result.
 
-Facts are computed once per file in an Arrow pass and written to the shared checkpoint folder, because every rule reads them; project facts are
+Facts are computed once per file in an Arrow pass and written as a table to the shared checkpoint folder, because every rule reads them; project facts are
 small admitted tables.  Rules are filters and joins over the facts, their union is the findings, coverage is the dense grid of file and family.
 """
 
@@ -20,7 +20,7 @@ from factloom.functions.contract import judge
 from factloom.functions.lexing import language_of
 from factloom.functions.observe import observe
 from factloom.plans import catalog
-from factloom.plans.shipping import checkpointed, ship_package
+from factloom.plans.shipping import checkpointed, ship_package, written
 from factloom.sources.authority import Authority, Rejection, normalise_path
 
 #: Identities of the observation methods, by language.
@@ -315,7 +315,7 @@ def admit_documents(documents: DataFrame, authority: Authority, revision: str |
 def review(documents: DataFrame, authority: Authority, revision: str | None = None, root: str | None = None) -> Review:
     """Review ``documents(relative_path, content)``: a document set with a revision, or a workspace with a root."""
     admit_documents(documents, authority, revision)
-    table = checkpointed(facts(documents, authority))
+    table = written(facts(documents, authority))
     subjects = _subjects(table, authority)
     findings = checkpointed(
         source_rules(table).unionByName(identifier_rules(table, authority)).unionByName(documentation_rules(subjects)).unionByName(dependency_rules(table, authority)).select(*_FINDING).distinct()
@@ -424,7 +424,7 @@ def stored_facts(spark: SparkSession, directory: str) -> tuple[DataFrame, Author
     words = stored(spark, directory, "part").select(F.explode(F.split(F.lower("p_name"), "[^a-z]+")).alias("token")).filter("token <> ''").distinct()
     authority = Authority(dependency_classes=(("itertools", "standard"), ("json", "standard"), ("math", "standard"), ("os", "standard"), ("sys", "standard")), python_reorder_safe=True, rust_reorder_safe=True)
     files = stored(spark, directory, "source_documents").filter("file_id is not null and relative_path is not null").select("relative_path", "content")
-    read = checkpointed(facts(files, authority, header_variants=True))
+    read = written(facts(files, authority, header_variants=True))
     # only the facts of files that were delivered more than once have to be compared with each other
     repeated = checkpointed(files.groupBy(F.translate("relative_path", "\\", "/").alias("path")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("path"))
     count = repeated.count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,13 @@ def ship_package(spark: SparkSession) -> None:
     context._factloom_shipped = True
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Write rows that several branches read to the shared checkpoint folder of the session, and cut their lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A local session without one takes a temporary folder; any other session
-    without one is an error, as executors would each write to a folder of their own machine.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  A local session without one takes a temporary folder; any other session without
+    one is an error, as executors would each write to a folder of their own machine.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local"):
@@ -40,4 +41,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
         if folder is None and context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Write rows that several branches read to the shared checkpoint folder, and cut their lineage."""
+    checkpoint_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """The same as a Parquet table in that folder: branches that read a few columns or kinds of rows of a wide table read only those."""
+    path = f"{checkpoint_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
